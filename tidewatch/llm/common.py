@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +56,12 @@ def texts_of(column: pa.Array) -> list[str]:
 def with_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns that an operator reads, under fixed names; other columns and clashes fall away."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+def id_bytes(encoded: list) -> list[bytes]:
+    """Little-endian 32-bit ids of each of the tokenizers library's encodings."""
+    lists = [e.ids for e in encoded]
+    ends = np.cumsum([0, *map(len, lists)])
+    raw = np.fromiter(chain.from_iterable(lists), "<u4", int(ends[-1])).tobytes()
+    ends = (ends * 4).tolist()
+    return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
