@@ -65,3 +65,15 @@ def id_bytes(encoded: list) -> list[bytes]:
     raw = np.fromiter(chain.from_iterable(lists), "<u4", int(ends[-1])).tobytes()
     ends = (ends * 4).tolist()
     return [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about size bytes: what is done once per distinct word pays off more."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)

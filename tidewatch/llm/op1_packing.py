@@ -15,7 +15,6 @@ Null text counts as empty (one end id). Repeated rows are packed each on its own
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,19 +22,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.bpe import PIECES
-from tidewatch.llm.common import arrow_map, id_bytes, materialise, table, with_text
+from tidewatch.llm.bpe import PIECES, ByteVocabulary
+from tidewatch.llm.common import arrow_map, materialise, table, texts_of, with_text
 
 SIZE = 1024
-#: Distinct units that a worker keeps between batches.
-MEMO = 1_000_000
-#: A space before more white space (or at the end): such a text is not told apart at spaces.
-LOOSE = r" ([\s\v\x{85}\pZ]|$)"
 TABLE = "doc_id long, n long, crcs array<long>, r int, tail_crc long, tail binary, pid int, rank long, full_before long"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -176,76 +170,30 @@ def make_plan(histogram: dict[int, int], size: int = SIZE) -> Plan:
     return Plan(size, ready, covered, stream, np.array(cuts), seq, seq + total // size + len(cuts) - 1)
 
 
-class UnitEncoder:
-    """The library's ids of whole texts; distinct units (a space and what follows it) are encoded once."""
+class TextEncoder:
+    """Ids of whole texts as the tokenizers library gives them for a byte-level file, by tiktoken's core over the same vocabulary."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.pieces_only = Tokenizer.from_file(path)  # for pieces that are split already
-        self.pieces_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.split = regex.compile(PIECES).findall
-        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.units: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def learn(self, units: list[str]) -> None:
-        new = {u: self.split(u) for u in units}
-        pieces = list({p for ps in new.values() for p in ps if p not in self.pieces})
-        for k in range(0, len(pieces), 20_000):
-            part = pieces[k : k + 20_000]
-            self.pieces.update(zip(part, id_bytes(self.pieces_only.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        get = self.pieces.__getitem__
-        self.units.update((u, get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))) for u, ps in new.items())
-
-    def encode(self, texts: pa.Array, end: int) -> list[np.ndarray]:
-        """Ids of each text, the end id after them."""
-        if len(self.units) + len(self.pieces) > MEMO:
-            self.units.clear()
-            self.pieces.clear()
-        loose = pc.match_substring_regex(texts, LOOSE).to_numpy(zero_copy_only=False)
-        for t in self.added:
-            loose = loose | pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
-        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
-        rows = np.flatnonzero(loose)
-        for r, e in zip(rows, self.library.encode_batch(texts.take(pa.array(rows)).to_pylist(), add_special_tokens=False), strict=True):
-            out[r] = np.array([*e.ids, end], "<u4")
-        rows = np.flatnonzero(~loose)
-        if not len(rows):
-            return out
-        words = pc.split_pattern(texts.take(pa.array(rows)), " ")
-        sizes = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = words.flatten()
-        coded = flat.dictionary_encode()
-        index = coded.indices.to_numpy().astype(np.int64)
-        firsts = np.cumsum(sizes) - sizes
-        heads = flat.take(pa.array(firsts)).dictionary_encode()
-        distinct = [" " + w for w in coded.dictionary.to_pylist()]
-        alone = heads.dictionary.to_pylist()
-        self.learn([u for u in (*distinct, *alone) if u not in self.units])
-        known = [self.units[u] for u in (*distinct, *alone)]
-        index[firsts] = heads.indices.to_numpy() + len(distinct)
-        lengths = np.append(np.fromiter(map(len, known), np.int64, len(known)) // 4, 1)
-        ids = np.append(np.frombuffer(b"".join(known), "<u4"), np.uint32(end))
-        starts = np.cumsum(lengths) - lengths
-        stops = np.cumsum(sizes)
-        index = np.insert(index, stops, len(known))
-        counts = lengths[index]
-        ends = np.cumsum(counts)
-        ids = ids[np.repeat(starts[index] - (ends - counts), counts) + np.arange(ends[-1])]
-        marks = ends[stops + np.arange(len(stops))]
-        for r, part in zip(rows, np.split(ids, marks[:-1]), strict=True):
-            out[r] = part
+        import tiktoken
+
+        vocabulary = ByteVocabulary(path)
+        self.added = vocabulary.added
+        ranks = {label: i for i, label in vocabulary.label.items() if i not in self.added.values()}
+        self.core = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+        self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
+
+    def encode(self, text: str) -> list[int]:
+        if not self.split or not any(t in text for t in self.added):
+            return self.core.encode_ordinary(text)
+        out: list[int] = []
+        for k, part in enumerate(self.split(text)):
+            out += [self.added[part]] if k % 2 else self.core.encode_ordinary(part)
         return out
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> UnitEncoder:
-    return UnitEncoder(path)
+def encoder(path: str) -> TextEncoder:
+    return TextEncoder(path)
 
 
 def tokenize(docs: DataFrame, vocabulary_path: str, end_id: int, size: int) -> DataFrame:
@@ -255,7 +203,8 @@ def tokenize(docs: DataFrame, vocabulary_path: str, end_id: int, size: int) -> D
         enc, rank, full = encoder(vocabulary_path), np.zeros(size, np.int64), 0
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
-            for ids in enc.encode(batch.column("text"), end_id):
+            for text in texts_of(batch.column("text")):
+                ids = np.array([*enc.encode(text), end_id], "<u4")
                 n = len(ids)
                 q, r = divmod(n, size)
                 tail = ids[q * size :]

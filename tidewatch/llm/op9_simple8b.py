@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import arrow_map, id_bytes, shared_dir, table, with_text
+from tidewatch.llm.common import arrow_map, gathered, id_bytes, shared_dir, table, with_text
 
 #: Ids per word and bits per id, by selector; the first two hold only zeros.
 SLOTS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -37,8 +37,8 @@ WIDTH = np.frexp(np.arange(1 << 18, dtype=np.float64))[1].astype(np.uint8)
 BLOCK = 4096
 #: Ids of a row of the file table at least, unless its partition ends.
 ROW_IDS = 1 << 16
-#: Distinct words that a worker keeps between batches.
-MEMO = 800_000
+#: Bytes of text that a worker encodes together.
+TOGETHER = 24 << 20
 FILE_SCHEMA = "part int, row int, doc_ids array<long>, lengths array<long>, n_ids long, words binary, block_words array<long>, escape_at array<long>, escape_value array<long>"
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -49,9 +49,11 @@ def encode_block(ids: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint64)
     padded = np.concatenate([ids.astype(np.uint64), np.zeros(240, np.uint64)])  # a last word may be part empty
-    width = WIDTH[padded] if n and int(ids.max()) < len(WIDTH) else np.frexp(padded.astype(np.float64))[1].astype(np.uint8)
-    best = np.full(n, 15, np.int64)
-    for k in range(14, -1, -1):
+    width = WIDTH[padded] if int(ids.max()) < len(WIDTH) else np.frexp(padded.astype(np.float64))[1].astype(np.uint8)
+    widest = int(width.max())
+    whole = next(k for k in range(16) if SLOTS[k][1] >= widest)
+    best = np.full(n, whole, np.int64)
+    for k in range(whole - 1, -1, -1):
         size, bits = SLOTS[k]
         narrow = np.flatnonzero(width <= bits)
         # places from which the next size ids are all narrow enough
@@ -128,58 +130,57 @@ class WordEncoder:
         self.library.no_padding()
         last = [t.endswith(self.END) for t, _ in sorted(self.library.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])]
         self.ends = np.array(last)
-        self.memo: dict[str, bytes] = {}
+
+    def units(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after the other, and how many each has."""
+        raw = id_bytes(self.library.encode_batch_fast(words, add_special_tokens=False)) if words else []
+        return np.frombuffer(b"".join(raw), "<u4"), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+
+    def letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters alone: each is one unit to the library, so many share a call and last tokens tell them apart."""
+        flat, counts = [], []
+        for k in range(0, len(words), 2000):
+            part = words[k : k + 2000]
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            if len(sizes) != len(part):
+                ids, sizes = self.units(part)
+            flat.append(ids)
+            counts.append(sizes)
+        return (np.concatenate(flat), np.concatenate(counts)) if flat else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, each text's end id after its own, and where each text's ids end. Words are told apart and looked up by Arrow; Python sees distinct ones."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
+        """All ids of the texts, each text's end id after its own, and where each text's ids end. Words are told apart and matched by Arrow; the library sees distinct ones."""
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        self.learn({w for w in distinct if w not in self.memo})
-        known = [self.memo[w] for w in distinct]
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        flat = np.append(np.frombuffer(b"".join(known), "<u4"), np.uint32(end))
-        # the end id is one word more, after the words of each text
-        stops = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64).cumsum() if len(words) else np.zeros(0, np.int64)
-        index = np.insert(coded.indices.to_numpy().astype(np.int64), stops, len(distinct))
-        sizes, starts = np.append(sizes, 1), np.append(np.cumsum(sizes) - sizes, len(flat) - 1)
-        counts = sizes[index]
-        ends = np.cumsum(counts)
-        ids = flat[np.repeat(starts[index] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, ends[stops + np.arange(len(stops))] if len(stops) else stops
-
-    def learn(self, words: set[str]) -> None:
-        """Letters alone are one unit to the library, so many such words share a call; punctuation after letters is a unit of its own."""
-        memo, stops = self.memo, self.STOPS
-        plain, other, joined = set(), set(), []
-        for w in words:
-            core = w.rstrip(stops)
-            if core.isalpha() and "\u0130" not in core:
-                if core not in memo:
-                    plain.add(core)
-                if len(core) < len(w):
-                    joined.append((w, core, w[len(core) :]))
-                    if w[len(core) :] not in memo:
-                        other.add(w[len(core) :])
-            else:
-                other.add(w)
-        cores = list(plain)
-        for k in range(0, len(cores), 2000):
-            part = cores[k : k + 2000]
-            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(ends) == len(part):
-                raw = ids.tobytes()
-                memo.update((w, raw[a:b]) for w, a, b in zip(part, [0, *ends[:-1].tolist()], ends.tolist(), strict=True))
-            else:
-                other.update(part)
-        rest = list(other)
-        for k in range(0, len(rest), 20_000):
-            part = rest[k : k + 20_000]
-            memo.update(zip(part, id_bytes(self.library.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        memo.update((w, memo[core] + memo[stop]) for w, core, stop in joined)
+        distinct = coded.dictionary
+        # letters, and the punctuation after them, are units of their own
+        cores = pc.utf8_rtrim(distinct, characters=self.STOPS)
+        plain = pc.and_(pc.utf8_is_alpha(cores), pc.invert(pc.match_substring(cores, "\u0130"))).to_numpy(zero_copy_only=False).astype(bool)
+        rows = np.flatnonzero(plain)
+        own = cores.take(pa.array(rows)).dictionary_encode()
+        tails = [w[n:] for w, n in zip(distinct.take(pa.array(rows)).to_pylist(), pc.utf8_length(cores).to_numpy(zero_copy_only=False)[rows].tolist(), strict=True)]
+        stops = {"": 0}
+        tail_of = np.fromiter((stops.setdefault(t, len(stops)) for t in tails), np.int64, len(tails))
+        others = np.flatnonzero(~plain)
+        parts = [self.letters(own.dictionary.to_pylist()), self.units(list(stops)), self.units(distinct.take(pa.array(others)).to_pylist()), (np.array([end], "<u4"), np.array([1]))]
+        ids, sizes = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+        shift = np.cumsum([0, *(len(x[1]) for x in parts)])
+        # each word is two units, the second often empty; the end id stands after each text's words
+        first, second = np.zeros(len(distinct) + 1, np.int64), np.full(len(distinct) + 1, shift[1])
+        first[rows], first[others], first[-1] = own.indices.to_numpy(), shift[2] + np.arange(len(others)), shift[3]
+        second[rows] = shift[1] + tail_of
+        stop = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64).cumsum() if len(words) else np.zeros(0, np.int64)
+        index = np.insert(coded.indices.to_numpy().astype(np.int64), stop, len(distinct))
+        unit = np.empty(2 * len(index), np.int64)
+        unit[::2], unit[1::2] = first[index], second[index]
+        counts = sizes[unit]
+        keep = counts > 0
+        unit, counts = unit[keep], counts[keep]
+        upto = np.cumsum(counts)
+        starts = np.cumsum(sizes) - sizes
+        out = ids[np.repeat(starts[unit] - (upto - counts), counts) + np.arange(upto[-1] if len(upto) else 0)]
+        return out, np.flatnonzero(np.repeat(unit, counts) == shift[3]) + 1
 
 
 @lru_cache(maxsize=2)
@@ -214,7 +215,7 @@ def write_files(docs: DataFrame, vocabulary_path: str, target: str, end_id: int,
             row, held_ids, held, size = row + 1, [], [], 0
             return out
 
-        for batch in batches:
+        for batch in gathered(batches, TOGETHER):
             if batch.num_rows:
                 part = batch.column("part")[0].as_py()
             ids, ends = enc.encode(batch.column("text"), end_id)
