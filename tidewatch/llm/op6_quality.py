@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import table
+from tidewatch.llm.common import let, table
 
 #: Labelled rows that the list is learned from, at most.
 MAX_LABELLED = 20_000
@@ -29,11 +29,6 @@ WINDOW = 8
 FEATURES = ("symbol_share", "exclaim_share", "upper_share", "repeat_share", "dup_line_share", "distinct_share", "mean_word", "digit_share")
 
 
-def let(value: str, name: str, body: str) -> str:
-    """SQL that evaluates value once and names it in body; a column would be expanded inside lambdas, once per element."""
-    return f"transform(array({value}), {name} -> {body})[0]"
-
-
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Word, symbol, line and window counts of each text, and the shares that rules test."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
