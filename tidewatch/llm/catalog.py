@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewatch.llm.op1_packing import op1_packing
 from tidewatch.llm.op2_substring import op2_substring_dedup
 from tidewatch.llm.op3_bpe import op3_bpe_round_trip
+from tidewatch.llm.op5_pages import op5_page_text
 from tidewatch.llm.op6_quality import op6_quality_rules
 from tidewatch.llm.op7_counts import op7_token_counts
 from tidewatch.llm.op8_iblt import op8_fingerprints
 from tidewatch.llm.op9_simple8b import op9_simple8b
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_bpe_round_trip, op6_quality_rules, op7_token_counts, op8_fingerprints, op9_simple8b)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_bpe_round_trip, op5_page_text, op6_quality_rules, op7_token_counts, op8_fingerprints, op9_simple8b)}
 #: SQL for the results that SQL can express.
 ORACLES: dict[str, str] = {}
