@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -237,14 +237,19 @@ class ByteVocabulary:
         chars = byte_symbols()
         vocab = spec["model"]["vocab"]
         self.label = {t: bytes(chars[c] for c in s) for s, t in vocab.items()}
-        merges = []
-        for pair in spec["model"]["merges"]:
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            merges.append((vocab[a], vocab[b], vocab[a + b]))
+        self._vocab, self._merges = vocab, spec["model"]["merges"]
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.automaton = MergeAutomaton({t: tuple(s) for t, s in self.label.items()}, merges)
         self.label |= {t: s.encode() for s, t in self.added.items()}
 
+    @cached_property
+    def automaton(self) -> MergeAutomaton:
+        """Compiled when first asked for: not every user of the labels encodes by it."""
+        vocab, merges = self._vocab, []
+        for pair in self._merges:
+            a, b = pair if isinstance(pair, list) else pair.split(" ")
+            merges.append((vocab[a], vocab[b], vocab[a + b]))
+        return MergeAutomaton({t: tuple(s) for t, s in self.label.items() if t not in self.added.values()}, merges)
+
     def encode_words(self, words: Iterable[str]) -> list[list[int]]:
         return self.automaton.encode([np.frombuffer(w.encode(), np.uint8).astype(np.int64) for w in words])
 

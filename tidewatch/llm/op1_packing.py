@@ -180,6 +180,7 @@ class TextEncoder:
         self.added = vocabulary.added
         ranks = {label: i for i, label in vocabulary.label.items() if i not in self.added.values()}
         self.core = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+        del vocabulary
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
 
     def encode(self, text: str) -> list[int]:

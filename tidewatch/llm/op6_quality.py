@@ -178,8 +178,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> list[R
     n = labelled.count()
     share = min(1.0, bound / n) if n else 0.0
     chosen = labelled.where((F.xxhash64("doc_id") / 2.0**64 + 0.5) < share)  # about bound rows of 16 bytes
-    rows = measured(docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")).where("not base_failed").join(F.broadcast(chosen), "doc_id").select("doc_id", "_quality", *FEATURES).collect()
-    rows = sorted(rows)[:bound]
+    rows = measured(docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")).join(F.broadcast(chosen), "doc_id").select("doc_id", "_quality", "base_failed", *FEATURES).collect()
+    rows = sorted(r for r in rows if not r["base_failed"])[:bound]  # a filter in the plan would measure all texts before the join
     if not rows:
         return []
     x = {f: np.array([r[f] for r in rows], float) for f in FEATURES}
