@@ -5,7 +5,7 @@ payload and how wide each is. An id of 2^28 - 1 or more is written as that mark
 goes into the block's escape list. A block codes up to BLOCK ids and starts at a word of its own; the
 offsets of blocks, in words, let a reader decode any block, and within one block all words at once.
 
-A row of the file table is a run of whole documents: their ids and lengths, the words, the block
+A row of the file table is a run of whole documents: the ids before it in its file, their doc_ids and lengths, the words, the block
 offsets, the escapes. Rows lie in ascending doc_id order: documents are range-partitioned by doc_id and
 each partition is one file, so no task holds more than its range. Spark's committer writes the files.
 
@@ -39,7 +39,7 @@ BLOCK = 4096
 ROW_IDS = 1 << 16
 #: Bytes of text that a worker encodes together.
 TOGETHER = 24 << 20
-FILE_SCHEMA = "part int, row int, doc_ids array<long>, lengths array<long>, n_ids long, words binary, block_words array<long>, escape_at array<long>, escape_value array<long>"
+FILE_SCHEMA = "part int, before long, doc_ids array<long>, lengths array<long>, n_ids long, words binary, block_words array<long>, escape_at array<long>, escape_value array<long>"
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -158,7 +158,7 @@ class WordEncoder:
         cores = pc.utf8_rtrim(distinct, characters=self.STOPS)
         plain = pc.and_(pc.utf8_is_alpha(cores), pc.invert(pc.match_substring(cores, "\u0130"))).to_numpy(zero_copy_only=False).astype(bool)
         rows = np.flatnonzero(plain)
-        own = cores.take(pa.array(rows)).dictionary_encode()
+        own = pc.utf8_lower(cores.take(pa.array(rows))).dictionary_encode()  # the library folds case
         tails = [w[n:] for w, n in zip(distinct.take(pa.array(rows)).to_pylist(), pc.utf8_length(cores).to_numpy(zero_copy_only=False)[rows].tolist(), strict=True)]
         stops = {"": 0}
         tail_of = np.fromiter((stops.setdefault(t, len(stops)) for t in tails), np.int64, len(tails))
@@ -196,23 +196,23 @@ def write_files(docs: DataFrame, vocabulary_path: str, target: str, end_id: int,
     ordered = with_text(docs).repartitionByRange(n, "doc_id").withColumn("part", F.spark_partition_id()).sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, row = encoder(vocabulary_path), 0
+        enc, before = encoder(vocabulary_path), 0
         held_ids: list[int] = []
         held: list[np.ndarray] = []
         size, part = 0, 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal row, held_ids, held, size
+            nonlocal before, held_ids, held, size
             ids = np.concatenate(held).astype(np.int64)
             words, offsets, at, values = encode_ids(ids)
             out = pa.RecordBatch.from_arrays(
                 [
-                    pa.array([part], pa.int32()), pa.array([row], pa.int32()), pa.array([held_ids], pa.list_(pa.int64())), pa.array([[len(x) for x in held]], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()),
+                    pa.array([part], pa.int32()), pa.array([before], pa.int64()), pa.array([held_ids], pa.list_(pa.int64())), pa.array([[len(x) for x in held]], pa.list_(pa.int64())), pa.array([len(ids)], pa.int64()),
                     pa.array([words], pa.binary()), pa.array([offsets], pa.list_(pa.int64())), pa.array([at], pa.list_(pa.int64())), pa.array([values], pa.list_(pa.int64())),
                 ],
-                ["part", "row", "doc_ids", "lengths", "n_ids", "words", "block_words", "escape_at", "escape_value"],
+                ["part", "before", "doc_ids", "lengths", "n_ids", "words", "block_words", "escape_at", "escape_value"],
             )
-            row, held_ids, held, size = row + 1, [], [], 0
+            before, held_ids, held, size = before + len(ids), [], [], 0
             return out
 
         for batch in gathered(batches, TOGETHER):
@@ -234,17 +234,10 @@ def write_files(docs: DataFrame, vocabulary_path: str, target: str, end_id: int,
 def read_files(spark: SparkSession, target: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, decoded from the files."""
     files = spark.read.schema(FILE_SCHEMA).parquet(target)
-    # totals of rows before: one number per file row; a file is one range, so the window is over that file's rows
     rows = files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()  # one row per written partition
-    starts, before = {}, 0
+    starts, total = {}, 0
     for r in sorted(rows):
-        starts[r["part"]], before = before, before + r["n"]
-    # rows of a part are few (one per ROW_IDS ids); their sizes alone travel, not the words
-    sizes = files.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("row", "n_ids"))).alias("rows"))
-    places = sizes.select("part", F.posexplode("rows").alias("k", "r"), "rows").select(
-        "part", F.col("r.row").alias("row"), F.expr("aggregate(slice(rows, 1, k), 0L, (a, x) -> a + x.n_ids)").alias("before")
-    )
-    joined = files.join(places, ["part", "row"])
+        starts[r["part"]], total = total, total + r["n"]
     begin = spark.sparkContext.broadcast(starts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +252,7 @@ def read_files(spark: SparkSession, target: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return arrow_map(joined, run, SCHEMA)
+    return arrow_map(files, run, SCHEMA)
 
 
 def op9_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
