@@ -9,8 +9,8 @@ are drawn up to a time by which all components are met; texts where one is not g
 Exact copies are one node from the start. Nodes that share a band meet through a pivot of the band (a star, never all pairs);
 pairs whose signatures agree too little to be similar go, the others are verified on their texts, and
 verified links join classes. Rounds with other pivots follow, only between nodes whose classes still
-differ; last, all pairs of different classes that are left in a band are compared: bands with many such nodes are first
-told apart by pairs of bands. Classes are connected components, found by label propagation with pointer jumping in tables.
+differ; last, all pairs of different classes that are left in a band are compared by their signatures, in blocks
+of bounded size, and only those that agree leave the task and are verified. Classes are connected components, found by label propagation with pointer jumping in tables.
 
 With four rows a band and 24 bands a pair at the threshold 0.8 is missed with probability 3e-6.
 Texts of one to four words are one run. Null text and texts without words are near to nothing: each is its own class.
@@ -33,10 +33,10 @@ from tidewatch.llm.op2_substring import B1, B2, LAST, Words, chosen, source
 SHINGLE, THRESHOLD = 5, 0.8
 ROWS, BANDS = 4, 24
 SIZE = ROWS * BANDS
-#: Components of 96 that a pair at the threshold agrees in at least, but for one pair in 10^8.
-AGREE = 53
-#: Nodes of different classes in a band up to which all their pairs are compared at once.
-FEW = 40
+#: Components of 96 that a pair at the threshold agrees in at least, but for two pairs in 10^5.
+AGREE = 60
+#: Nodes of a band that one task compares with each other; a larger band is dealt in blocks of this size.
+BLOCK = 1000
 SIGNED = "doc_id long, row_key int, node long, bands array<long>, sig binary"
 
 
@@ -132,6 +132,32 @@ def agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return arrow_map(both.select("a", "b", "sig_a", "sig_b"), run, "a long, b long")
 
 
+def agreeing_in_blocks(left: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that share a band, differ in class and agree in enough components: bands are dealt in blocks, and only pairs that pass leave a task."""
+    sizes = left.groupBy("key").agg(F.count("*").alias("n"))
+    dealt = left.join(materialise(sizes, "sizes"), "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    dealt = dealt.select("key", "i", "j", "own", "node", "comp").join(sigs.select("node", "sig"), "node")
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        node, comp, own, i = (block.column(c).to_numpy() for c in ("node", "comp", "own", "i"))
+        sig = np.frombuffer(b"".join(block.column("sig").to_pylist()), np.uint8).reshape(len(node), SIZE)
+        a, b = [], []
+        rows = np.flatnonzero(own == i)
+        others = np.flatnonzero(own == block.column("j")[0].as_py())
+        same = block.column("i")[0].as_py() == block.column("j")[0].as_py()
+        for r in rows.tolist():
+            near = others[(sig[others] == sig[r]).sum(axis=1) >= AGREE]
+            near = near[(comp[near] != comp[r]) & ((near > r) | (not same))]
+            a += [node[r]] * len(near)
+            b += node[near].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def similarity(owner: np.ndarray, runs: np.ndarray, weight: np.ndarray, pairs: int) -> np.ndarray:
     """Weighted Jaccard of texts 2i and 2i + 1."""
     pair = owner // 2
@@ -183,13 +209,13 @@ class Classes:
         self.label = nodes.select("node", F.col("node").alias("comp"))
         self.tested: DataFrame | None = None
 
-    def link(self, pairs: DataFrame) -> None:
-        """Verify pairs (a, b) not verified before and join the classes of those that hold."""
+    def link(self, pairs: DataFrame, told: bool = False) -> None:
+        """Verify pairs (a, b) not verified before and join the classes of those that hold; told: their signatures agree."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
-        likely = materialise(agreeing(pairs, self.nodes), "likely")
+        likely = pairs if told else materialise(agreeing(pairs, self.nodes), "likely")
         self.tested = pairs if self.tested is None else self.tested.union(pairs)
         if likely.isEmpty():
             return
@@ -227,13 +253,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = 3) -> D
         left = split()
     if not left.isEmpty():
         # what stars have not told: every pair of different classes that shares a band
-        sizes = materialise(left.groupBy("key").agg(F.count("*").alias("n")), "sizes")
-        few = left.join(sizes.where(F.col("n") <= FEW).select("key"), "key").select("key", "node", "comp")
-        many = left.join(sizes.where(F.col("n") > FEW).select("key"), "key").groupBy("node", "comp").agg(F.sort_array(F.collect_set("key")).alias("keys"))  # at most BANDS keys
-        twice = many.select("node", "comp", F.expr("explode(flatten(transform(keys, (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> xxhash64(x, y)))))").alias("key"))
-        fine = materialise(few.union(twice.select("key", "node", "comp")), "fine")
-        other = fine.select("key", F.col("node").alias("b"), F.col("comp").alias("to"))
-        held.link(fine.join(other, "key").where("node < b and comp != to").select(F.col("node").alias("a"), "b"))
+        held.link(agreeing_in_blocks(left, nodes), told=True)
     found = rows.select("doc_id", "row_key", "node").join(held.label, "node")
     found = materialise(found.select("doc_id", "row_key", "comp"), "found")
     names = materialise(found.groupBy("comp").agg(F.min(F.struct("doc_id", "row_key")).alias("r"), F.count("*").alias("class_size")), "names")
