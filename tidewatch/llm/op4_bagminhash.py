@@ -10,7 +10,7 @@ Exact copies are one node from the start. Nodes that share a band meet through a
 pairs whose signatures agree too little to be similar go, the others are verified on their texts, and
 verified links join classes. Rounds with other pivots follow, only between nodes whose classes still
 differ; last, all pairs of different classes that are left in a band are compared by their signatures, in blocks
-of bounded size, and only those that agree leave the task and are verified. Classes are connected components, found by label propagation with pointer jumping in tables.
+of bounded size, and members that agree with one of another class are verified in blocks of their texts; only links leave a task. Classes are connected components, found by label propagation with pointer jumping in tables.
 
 With four rows a band and 24 bands a pair at the threshold 0.8 is missed with probability 3e-6.
 Texts of one to four words are one run. Null text and texts without words are near to nothing: each is its own class.
@@ -37,6 +37,8 @@ SIZE = ROWS * BANDS
 AGREE = 60
 #: Nodes of a band that one task compares with each other; a larger band is dealt in blocks of this size.
 BLOCK = 1000
+#: Bytes of text in a block.
+BLOCK_BYTES = 8 << 20
 SIGNED = "doc_id long, row_key int, node long, bands array<long>, sig binary"
 
 
@@ -132,30 +134,83 @@ def agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return arrow_map(both.select("a", "b", "sig_a", "sig_b"), run, "a long, b long")
 
 
-def agreeing_in_blocks(left: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that share a band, differ in class and agree in enough components: bands are dealt in blocks, and only pairs that pass leave a task."""
-    sizes = left.groupBy("key").agg(F.count("*").alias("n"))
-    dealt = left.join(materialise(sizes, "sizes"), "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), "blocks").cast("int"))
+def in_blocks(rows: DataFrame, weight: str) -> DataFrame:
+    """Deal the rows of each key in blocks of bounded weight; each pair of blocks (i, j) of a key meets in one group."""
+    sizes = materialise(rows.groupBy("key").agg(F.ceil(F.sum(weight)).cast("int").alias("blocks")), "sizes")
+    dealt = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    dealt = dealt.select("key", "i", "j", "own", "node", "comp").join(sigs.select("node", "sig"), "node")
+    return dealt.drop("blocks", "other", weight)
+
+
+def sides(block: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Rows of the first and of the second block of a group, and whether they are one."""
+    own, i, j = block.column("own").to_numpy(), block.column("i")[0].as_py(), block.column("j")[0].as_py()
+    return np.flatnonzero(own == i), np.flatnonzero(own == j), i == j
+
+
+def likely_members(left: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(key, node) of members of bands whose signature agrees enough with that of a member of another class."""
 
     def run(block: pa.Table) -> pa.Table:
         block = block.combine_chunks()
-        node, comp, own, i = (block.column(c).to_numpy() for c in ("node", "comp", "own", "i"))
+        node, comp = block.column("node").to_numpy(), block.column("comp").to_numpy()
         sig = np.frombuffer(b"".join(block.column("sig").to_pylist()), np.uint8).reshape(len(node), SIZE)
+        first, second, _ = sides(block)
+        hit = np.zeros(len(node), bool)
+        for r in first.tolist():
+            near = second[((sig[second] == sig[r]).sum(axis=1) >= AGREE) & (comp[second] != comp[r])]
+            hit[near] = True
+            hit[r] |= len(near) > 0
+        return pa.table({"key": pa.array(block.column("key").to_numpy()[hit], pa.int64()), "node": pa.array(node[hit], pa.int64())})
+
+    dealt = in_blocks(left.withColumn("w", F.lit(1.0 / BLOCK)), "w").select("key", "i", "j", "own", "node", "comp").join(sigs.select("node", "sig"), "node")
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "key long, node long").distinct()
+
+
+def links_in_blocks(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Verified links (a, b) between members (key, node, comp) of one band; of each group of blocks only a forest that joins the same classes leaves the task."""
+
+    def run(block: pa.Table) -> pa.Table:
+        block = block.combine_chunks()
+        node, comp = block.column("node").to_numpy(), block.column("comp").to_numpy()
+        owner, runs, weight, _ = bags(Words(block.column("text").combine_chunks() if isinstance(block.column("text"), pa.ChunkedArray) else block.column("text")))
+        # the k-th occurrence of a run is an element of its own: multiset overlap becomes set overlap
+        turn = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+        own = np.repeat(owner, weight)
+        _, element = np.unique(mix(np.repeat(runs, weight) + turn.astype(U) * B1), return_inverse=True)
+        size = np.bincount(own, minlength=len(node))
+        order = np.argsort(element, kind="stable")
+        held, starts = own[order], np.concatenate([[0], np.cumsum(np.bincount(element))]) if len(element) else np.zeros(1, np.int64)
+        begin = np.concatenate([[0], np.cumsum(size)])
+        first, second, same = sides(block)
+        allowed = np.zeros(len(node), bool)
+        allowed[second] = True
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
         a, b = [], []
-        rows = np.flatnonzero(own == i)
-        others = np.flatnonzero(own == block.column("j")[0].as_py())
-        same = block.column("i")[0].as_py() == block.column("j")[0].as_py()
-        for r in rows.tolist():
-            near = others[(sig[others] == sig[r]).sum(axis=1) >= AGREE]
-            near = near[(comp[near] != comp[r]) & ((near > r) | (not same))]
-            a += [node[r]] * len(near)
-            b += node[near].tolist()
+        for r in first.tolist():
+            mine = element[begin[r] : begin[r + 1]]
+            counts = starts[mine + 1] - starts[mine]
+            total = int(counts.sum())
+            at = np.repeat(starts[mine] - (np.cumsum(counts) - counts), counts) + np.arange(total)
+            common = np.bincount(held[at], minlength=len(node))
+            near = np.flatnonzero(allowed & (common >= threshold * (size[r] + size - common) - 1e-9) & (comp != comp[r]) & (common > 0))
+            for x in near[near > r].tolist() if same else near.tolist():
+                p, q = find(int(comp[r])), find(int(comp[x]))
+                if p != q:
+                    root[p] = q
+                    a.append(node[r])
+                    b.append(node[x])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
+    rows = members.join(texts, "node").withColumn("w", F.greatest(F.lit(1.0 / BLOCK), F.octet_length("text") / BLOCK_BYTES))
+    return in_blocks(rows, "w").select("key", "i", "j", "own", "node", "comp", "text").groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def similarity(owner: np.ndarray, runs: np.ndarray, weight: np.ndarray, pairs: int) -> np.ndarray:
@@ -169,11 +224,15 @@ def similarity(owner: np.ndarray, runs: np.ndarray, weight: np.ndarray, pairs: i
     return common / np.maximum(total - common, 1)
 
 
+def texts_of_nodes(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of each wanted node, from one of its documents."""
+    places = materialise(nodes.join(wanted.distinct(), "node").select("doc_id", "row_key", "node", F.array(F.lit(1)).alias("ranges")), "wanted")
+    return materialise(chosen(docs, places).dropDuplicates(["node"]).select("node", "text"), "texts")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose multisets of runs are similar enough, by their texts."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    places = materialise(nodes.join(wanted, "node").select("doc_id", "row_key", "node", F.array(F.lit(1)).alias("ranges")), "wanted")
-    texts = materialise(chosen(docs, places).dropDuplicates(["node"]).select("node", "text"), "texts")
+    texts = texts_of_nodes(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))), nodes, docs)
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,19 +266,16 @@ class Classes:
     def __init__(self, nodes: DataFrame, docs: DataFrame, threshold: float):
         self.nodes, self.docs, self.threshold = nodes, docs, threshold
         self.label = nodes.select("node", F.col("node").alias("comp"))
-        self.tested: DataFrame | None = None
-
-    def link(self, pairs: DataFrame, told: bool = False) -> None:
-        """Verify pairs (a, b) not verified before and join the classes of those that hold; told: their signatures agree."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        likely = pairs if told else materialise(agreeing(pairs, self.nodes), "likely")
-        self.tested = pairs if self.tested is None else self.tested.union(pairs)
-        if likely.isEmpty():
-            return
-        links = materialise(verified(likely, self.nodes, self.docs, self.threshold), "links")
+
+    def link(self, pairs: DataFrame) -> None:
+        """Verify pairs (a, b) and join the classes of those that hold."""
+        pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        likely = materialise(agreeing(pairs, self.nodes), "likely")
+        if not likely.isEmpty():
+            self.join(materialise(verified(likely, self.nodes, self.docs, self.threshold), "links"))
+
+    def join(self, links: DataFrame) -> None:
+        """Join the classes of linked nodes."""
         if links.isEmpty():
             return
         known = self.label
@@ -227,6 +283,14 @@ class Classes:
         merged = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a != b"))
         self.label = materialise(known.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "classes")
 
+    def finish(self, left: DataFrame) -> None:
+        """Compare all members (key, node, comp) of one band that are in different classes, in blocks."""
+        near = materialise(likely_members(left, self.nodes), "near")
+        if not near.isEmpty():
+            members = near.join(left.select("key", "node", "comp"), ["key", "node"])
+            texts = texts_of_nodes(near.select("node"), self.nodes, self.docs)
+            self.join(materialise(links_in_blocks(members, texts, self.threshold), "links"))
+
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = 3) -> DataFrame:
     """(doc_id, row_key, class_id): near-duplicate classes, named by their least doc_id."""
@@ -253,7 +317,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = 3) -> D
         left = split()
     if not left.isEmpty():
         # what stars have not told: every pair of different classes that shares a band
-        held.link(agreeing_in_blocks(left, nodes), told=True)
+        held.finish(left)
     found = rows.select("doc_id", "row_key", "node").join(held.label, "node")
     found = materialise(found.select("doc_id", "row_key", "comp"), "found")
     names = materialise(found.groupBy("comp").agg(F.min(F.struct("doc_id", "row_key")).alias("r"), F.count("*").alias("class_size")), "names")
