@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("session_id").orderBy("i")
-SESSION = Window.partitionBy("session_id")
+
+
+def order() -> WindowSpec:
+    """A session's samples in order."""
+    return Window.partitionBy("session_id").orderBy("i")
+
+
+def session() -> WindowSpec:
+    return Window.partitionBy("session_id")
 
 
 def tumbling(rows: DataFrame, width: int) -> DataFrame:
@@ -44,19 +51,19 @@ def center(code: str = "code", i: str = "i") -> Column:
 
 def difference(value: str = "value") -> Column:
     """Backward difference; the first is 0."""
-    return F.col(value) - F.coalesce(F.lag(value).over(ORDER), F.col(value))
+    return F.col(value) - F.coalesce(F.lag(value).over(order()), F.col(value))
 
 
 def gradient(value: str = "value") -> Column:
     """Central difference, one-sided at both ends."""
-    before, after, x = F.lag(value).over(ORDER), F.lead(value).over(ORDER), F.col(value)
+    before, after, x = F.lag(value).over(order()), F.lead(value).over(order()), F.col(value)
     return F.when(before.isNull(), after - x).when(after.isNull(), x - before).otherwise((after - before) / 2)
 
 
 def runs(rows: DataFrame, flag: Column) -> DataFrame:
     """Islands of equal flag: run number, first and last index, length."""
-    change = (F.lag(flag).over(ORDER).isNull() | (F.lag(flag).over(ORDER) != flag)).cast("int")
-    marked = rows.withColumns({"flag": flag, "_change": change}).withColumn("run", F.sum("_change").over(ORDER))
+    change = (F.lag(flag).over(order()).isNull() | (F.lag(flag).over(order()) != flag)).cast("int")
+    marked = rows.withColumns({"flag": flag, "_change": change}).withColumn("run", F.sum("_change").over(order()))
     return marked.groupBy("session_id", "run").agg(F.first("flag").alias("flag"), F.min("i").alias("first"), F.max("i").alias("last"), F.count("*").alias("n"))
 
 
@@ -67,7 +74,7 @@ def long_runs(rows: DataFrame, flag: Column, least: int) -> DataFrame:
 
 def ectopic(rows: DataFrame, value: str, low: float, high: float, share: float, lookback: int = 5, need: int = 2) -> DataFrame:
     """Replace a value that is further than share from the median of the plausible raw ones before it."""
-    frame = ORDER.rowsBetween(-lookback, -1)
+    frame = order().rowsBetween(-lookback, -1)
     fine = F.when(F.col(value).between(low, high), F.col(value))
     out = rows.withColumns({"_n": F.count(fine).over(frame), "_m": F.percentile(fine, F.lit(0.5)).over(frame)})
     off = (F.col("_n") >= need) & (F.abs(F.col(value) - F.col("_m")) > share * F.col("_m"))
@@ -75,24 +82,24 @@ def ectopic(rows: DataFrame, value: str, low: float, high: float, share: float,
 
 
 def rolling_mean(value: str, before: int, after: int, need: int = 1) -> Column:
-    frame = ORDER.rowsBetween(-before, after)
+    frame = order().rowsBetween(-before, after)
     return F.when(F.count(value).over(frame) >= need, F.avg(value).over(frame))
 
 
 def running_max(value: str) -> Column:
-    return F.max(value).over(ORDER.rowsBetween(Window.unboundedPreceding, 0))
+    return F.max(value).over(order().rowsBetween(Window.unboundedPreceding, 0))
 
 
 def shift_ahead(value: str, by: int) -> Column:
     """Shift forward in time, the tail padded with the last value."""
-    last = F.last(value).over(ORDER.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return F.coalesce(F.lead(value, by).over(ORDER), last)
+    last = F.last(value).over(order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return F.coalesce(F.lead(value, by).over(order()), last)
 
 
 def interpolate(rows: DataFrame, value: str, bad: Column) -> DataFrame:
     """Linear interpolation over flagged samples by index; ends clamp to the nearest good value."""
     good, at = F.when(~bad, F.col(value)), F.when(~bad, F.col("i"))
-    back, ahead = ORDER.rowsBetween(Window.unboundedPreceding, 0), ORDER.rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = order().rowsBetween(Window.unboundedPreceding, 0), order().rowsBetween(0, Window.unboundedFollowing)
     out = rows.withColumns({"_v0": F.last(good, True).over(back), "_i0": F.last(at, True).over(back), "_v1": F.first(good, True).over(ahead), "_i1": F.first(at, True).over(ahead)})
     line = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.try_divide(F.col("i") - F.col("_i0"), F.col("_i1") - F.col("_i0"))
     return out.withColumn("filled", F.when(F.col("_i0") == F.col("_i1"), F.col("_v0")).otherwise(F.coalesce(line, "_v0", "_v1"))).drop("_v0", "_i0", "_v1", "_i1")

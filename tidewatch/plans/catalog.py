@@ -101,7 +101,7 @@ def scan_project_scale(spark, sf_dir):
 
 @query(f"WITH {S}, d AS (SELECT session_id, i, value - avg(value) OVER (PARTITION BY session_id) AS c FROM s) SELECT session_id, i, round(c, 5) AS bipolar, round(greatest(c, 0), 5) AS unipolar FROM d")
 def relu_complement(spark, sf_dir):
-    d = T.samples(spark, sf_dir).withColumn("c", F.col("value") - F.avg("value").over(W.SESSION))
+    d = T.samples(spark, sf_dir).withColumn("c", F.col("value") - F.avg("value").over(W.session()))
     return d.select("session_id", "i", r("c", "bipolar", 5), r(F.greatest("c", F.lit(0.0)), "unipolar", 5))
 
 
@@ -119,7 +119,7 @@ def validity_gate(spark, sf_dir):
 
 @query(f"WITH {S}, t AS (SELECT *, row_number() {O} AS k FROM s WHERE code = 2) SELECT session_id, i, round(value, 6) AS value FROM t WHERE k > 3")
 def skip_first_targets(spark, sf_dir):
-    rows = T.samples(spark, sf_dir).where("code = 2").withColumn("k", F.row_number().over(W.ORDER))
+    rows = T.samples(spark, sf_dir).where("code = 2").withColumn("k", F.row_number().over(W.order()))
     return rows.where("k > 3").select("session_id", "i", r("value", "value"))
 
 
@@ -166,7 +166,7 @@ def lead_shift_pad(spark, sf_dir):
 
 @query(f"WITH {S}, k AS (SELECT *, row_number() {O} AS k FROM s WHERE code = 1) SELECT session_id, i FROM k WHERE k <= 5")
 def first_k_baseline(spark, sf_dir):
-    return T.samples(spark, sf_dir).where("code = 1").withColumn("k", F.row_number().over(W.ORDER)).where("k <= 5").select("session_id", "i")
+    return T.samples(spark, sf_dir).where("code = 1").withColumn("k", F.row_number().over(W.order())).where("k <= 5").select("session_id", "i")
 
 
 HEART = f"{S}, v AS (SELECT *, i // 20 AS win, value AS ibi FROM s WHERE value BETWEEN 1 AND 500), d AS (SELECT *, ibi - lag(ibi) OVER (PARTITION BY session_id, win ORDER BY i) AS d FROM v)"
