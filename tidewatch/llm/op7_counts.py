@@ -26,7 +26,8 @@ from tidewatch.llm.bpe import WIDE, MergeAutomaton
 from tidewatch.llm.common import arrow_map, table, texts_of, with_text
 
 MARK = "▁"
-MEMO = 400_000
+#: Distinct words that a worker keeps between batches.
+MEMO = 300_000
 #: Characters of a chunk.
 CHUNK = 1 << 16
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -110,8 +111,6 @@ class CountTransducer:
         return list(np.diff(total, axis=1))
 
     def learn(self, words: set[str]) -> None:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
         by_size: dict[int, list[str]] = {}
         for w in words:
             if w not in self.memo:
@@ -185,7 +184,9 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFra
         t = transducer(model_file)
         for batch in batches:
             texts = texts_of(batch.column("text"))
-            # one pass for the words that the whole batch lacks, then each text by look-ups
+            # one pass for the words that the whole batch lacks, then each text by look-ups; the memo starts afresh between batches only
+            if len(t.memo) > MEMO:
+                t.memo.clear()
             t.learn(set().union(*(t.findall(MARK + x.replace(" ", MARK)) for x in texts if len(x) < CHUNK)))
             n = [t.total(x) for x in texts]
             yield pa.RecordBatch.from_arrays(
