@@ -292,7 +292,7 @@ class Classes:
             self.join(materialise(links_in_blocks(members, texts, self.threshold), "links"))
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = 3) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = 1) -> DataFrame:
     """(doc_id, row_key, class_id): near-duplicate classes, named by their least doc_id."""
     base = source(docs)
     rows = materialise(signed(base), "signed")
