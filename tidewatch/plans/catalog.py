@@ -33,7 +33,7 @@ def query(sql: str | None = None) -> Callable:
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql
+            ORACLES[f.__name__] = sql.replace("round(", "0e0 + round(")  # no negative zeros
         return f
 
     return add
