@@ -34,11 +34,13 @@ COUNTS = np.array([n for n, _ in SLOTS])
 MARK = (1 << 28) - 1
 #: Bits of each id that a token vocabulary can have.
 WIDTH = np.frexp(np.arange(1 << 18, dtype=np.float64))[1].astype(np.uint8)
-BLOCK = 4096
+BLOCK = 1 << 14
 #: Ids of a row of the file table at least, unless its partition ends.
 ROW_IDS = 1 << 16
 #: Bytes of text that a worker encodes together.
 TOGETHER = 24 << 20
+#: Words of letters that a worker remembers from batch to batch, and their longest.
+KNOWN, KNOWN_LENGTH = 1 << 17, 32
 FILE_SCHEMA = "part int, before long, doc_ids array<long>, lengths array<long>, n_ids long, words binary, block_words array<long>, escape_at array<long>, escape_value array<long>"
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -115,6 +117,17 @@ def decode_ids(words: bytes, n: int, offsets: list[int], escape_at: list[int], e
     return ids
 
 
+def laid_out(ids: np.ndarray, sizes: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the chosen units, one unit after the other, and where each unit ends; units lie one after the other in ids."""
+    counts = sizes[unit]
+    upto = np.cumsum(counts)
+    total = int(upto[-1]) if len(upto) else 0
+    kind = np.int32 if max(total, len(ids)) < 1 << 31 else np.int64
+    at = np.repeat(((np.cumsum(sizes) - sizes)[unit] - (upto - counts)).astype(kind), counts)
+    at += np.arange(total, dtype=kind)
+    return ids[at], upto
+
+
 class WordEncoder:
     """The library's ids of whole texts, a white-space-delimited word at a time: this vocabulary drops white space, so words stand alone."""
 
@@ -130,6 +143,21 @@ class WordEncoder:
         self.library.no_padding()
         last = [t.endswith(self.END) for t, _ in sorted(self.library.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])]
         self.ends = np.array(last)
+        self.known, self.known_ids, self.known_sizes = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def remembered(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and sizes of units, and the unit of each of the distinct words of letters; the first ones met are kept."""
+        at = pc.index_in(words, value_set=self.known)
+        new = words.filter(at.is_null())
+        ids, sizes = self.letters(new.to_pylist())
+        place = at.fill_null(0).to_numpy().astype(np.int64)
+        place[at.is_null().to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
+        units = np.concatenate([self.known_ids, ids]), np.concatenate([self.known_sizes, sizes])
+        keep = np.flatnonzero(pc.utf8_length(new).to_numpy() <= KNOWN_LENGTH)[: KNOWN - len(self.known)]
+        if len(keep):
+            self.known = pa.concat_arrays([self.known, new.take(pa.array(keep))])
+            self.known_ids, self.known_sizes = np.concatenate([self.known_ids, laid_out(ids, sizes, keep)[0]]), np.concatenate([self.known_sizes, sizes[keep]])
+        return *units, place
 
     def units(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, one after the other, and how many each has."""
@@ -163,24 +191,20 @@ class WordEncoder:
         stops = {"": 0}
         tail_of = np.fromiter((stops.setdefault(t, len(stops)) for t in tails), np.int64, len(tails))
         others = np.flatnonzero(~plain)
-        parts = [self.letters(own.dictionary.to_pylist()), self.units(list(stops)), self.units(distinct.take(pa.array(others)).to_pylist()), (np.array([end], "<u4"), np.array([1]))]
+        *letters, place = self.remembered(own.dictionary)
+        parts = [letters, self.units(list(stops)), self.units(distinct.take(pa.array(others)).to_pylist()), (np.array([end], "<u4"), np.array([1]))]
         ids, sizes = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
         shift = np.cumsum([0, *(len(x[1]) for x in parts)])
-        # each word is two units, the second often empty; the end id stands after each text's words
-        first, second = np.zeros(len(distinct) + 1, np.int64), np.full(len(distinct) + 1, shift[1])
-        first[rows], first[others], first[-1] = own.indices.to_numpy(), shift[2] + np.arange(len(others)), shift[3]
-        second[rows] = shift[1] + tail_of
+        # each distinct word is two units, the second often empty; the end id is a word after them
+        unit = np.full((len(distinct) + 1, 2), shift[1])
+        unit[rows, 0], unit[others, 0], unit[-1, 0] = place[own.indices.to_numpy()], shift[2] + np.arange(len(others)), shift[3]
+        unit[rows, 1] = shift[1] + tail_of
+        ids, upto = laid_out(ids, sizes, unit.ravel())
+        sizes = np.diff(upto[1::2], prepend=0)
         stop = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64).cumsum() if len(words) else np.zeros(0, np.int64)
-        index = np.insert(coded.indices.to_numpy().astype(np.int64), stop, len(distinct))
-        unit = np.empty(2 * len(index), np.int64)
-        unit[::2], unit[1::2] = first[index], second[index]
-        counts = sizes[unit]
-        keep = counts > 0
-        unit, counts = unit[keep], counts[keep]
-        upto = np.cumsum(counts)
-        starts = np.cumsum(sizes) - sizes
-        out = ids[np.repeat(starts[unit] - (upto - counts), counts) + np.arange(upto[-1] if len(upto) else 0)]
-        return out, np.flatnonzero(np.repeat(unit, counts) == shift[3]) + 1
+        index = np.insert(coded.indices.to_numpy(), stop, len(distinct))
+        out, upto = laid_out(ids, sizes, index)
+        return out, upto[stop + np.arange(len(stop))]
 
 
 @lru_cache(maxsize=2)
