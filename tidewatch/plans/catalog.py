@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import kernels as K
 from tidewatch.operators import features as X
+from tidewatch.operators import models as M
 from tidewatch.operators import signals as G
 from tidewatch.operators import windows as W
 from tidewatch.sources import tables as T
@@ -389,3 +390,38 @@ def loso_eval(spark, sf_dir):
     """Held-out scores of a model per fold, and each fold's metrics."""
     scored = G.leave_one_out(T.features(spark, sf_dir), NAMES).withColumn("p", (F.col("score") >= 0.5).cast("int"))
     return X.metrics(scored, ["fold"])
+
+
+def _judged(scored: DataFrame) -> DataFrame:
+    return X.metrics(scored.withColumn("p", (F.col("score") >= 0.5).cast("int")), ["fold"])
+
+
+@query()
+def loso_boosting(spark, sf_dir):
+    return _judged(M.held_out(T.features(spark, sf_dir), NAMES, "boosting"))
+
+
+@query()
+def loso_forest(spark, sf_dir):
+    return _judged(M.held_out(T.features(spark, sf_dir), NAMES, "forest"))
+
+
+@query()
+def loso_svm(spark, sf_dir):
+    return _judged(M.held_out(T.features(spark, sf_dir), NAMES, "svm"))
+
+
+@query()
+def loso_ensemble(spark, sf_dir):
+    return _judged(M.held_out(T.features(spark, sf_dir), NAMES, "ensemble"))
+
+
+@query()
+def mi_stability(spark, sf_dir):
+    """Features by the share of folds that rank them among the three most informative."""
+    return M.stability(M.fold_information(T.features(spark, sf_dir), NAMES), 3)
+
+
+@query(f"WITH {E} SELECT fold AS \"group\", count(*) AS n, sum(target)::BIGINT AS targets, round(sum(target)::DOUBLE / count(*), 6) AS share FROM e GROUP BY 1")
+def manifest_counts(spark, sf_dir):
+    return M.manifest(T.features(spark, sf_dir), "fold", "target").withColumn("share", F.round("share", 6))
