@@ -159,6 +159,13 @@ def test_pages(spark):
     assert op5_pages.shared(list("axbyc"), list("abzc")) == {0, 2, 4}
 
 
+def test_lines_outside_an_article_stay_unless_shared(spark):
+    page = "<div><p>Menu</p><p>{}</p></div><article><p>Menu</p><p>teaser</p></article><footer>foot</footer>"
+    rows = [(1, "http://h.x/a", page.format("first")), (2, "http://h.x/b", page.format("second"))]
+    got = {r.page_id: r.text for r in op5_pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "first\nMenu\nteaser", 2: "second\nMenu\nteaser"}
+
+
 def test_quality(docs, empty, spark):
     def stats(t):
         w = re.findall(SPACE, t or "")

@@ -6,7 +6,7 @@ told apart into lines (blocks of text); the lines of a pair are aligned by their
 subsequence, and shared lines go. Differencing alone can't be right for menus and adverts that differ
 from page to page, nor for articles that a host shows twice, so structure decides where it can: lines in containers
 that are not content by element or by name go, lines inside an article or main element stay, shared or not;
-all others stay unless the neighbour shares them.
+all others stay unless the neighbour shares them, on pages with an article too.
 
 Null or empty html gives empty text. A page alone with its host, or with a null url's empty host, has no
 neighbour and keeps its lines; at the edge of a range the neighbour is the one within it. Pages of one url are neighbours. Repeated rows each give a row.
@@ -152,11 +152,10 @@ def shared(a: list[str], b: list[str]) -> set[int]:
 
 
 def main_text(page: list[tuple[int, str]], neighbour: list[tuple[int, str]] | None) -> str:
-    """The lines of a page that are its own content."""
-    if any(role == STAY for role, _ in page):
-        return "\n".join(t for role, t in page if role == STAY)
-    same = shared([t for _, t in page], [t for _, t in neighbour]) if neighbour else set()
-    return "\n".join(t for k, (role, t) in enumerate(page) if role == OPEN and k not in same)
+    """The lines of a page that are its own content. Only open lines can go by the alignment, so pages without any skip it."""
+    decides = neighbour and any(role == OPEN for role, _ in page)
+    same = shared([t for _, t in page], [t for _, t in neighbour]) if decides else set()
+    return "\n".join(t for k, (role, t) in enumerate(page) if role == STAY or role == OPEN and k not in same)
 
 
 def extract(pages: DataFrame) -> DataFrame:
