@@ -166,6 +166,19 @@ def test_lines_outside_an_article_stay_unless_shared(spark):
     assert got == {1: "first\nMenu\nteaser", 2: "second\nMenu\nteaser"}
 
 
+def test_names_count_as_a_whole():
+    page = (
+        '<article id="main"><section id="search-algorithms"><h2 id="related-work">Related work</h2><h2 id="comments">On comments</h2><div class="legal-history">Laws</div>'
+        '<p>at <span class="share-price">12</span> euro</p><p class="notice">Notice</p></section><section id="search">Trees</section>'
+        '<div class="ad">Buy</div><p class="ads">Buy</p><div class="share-bar">Share</div><section id="comments">First!</section><div role="navigation">Next</div></article>'
+    )
+    assert op5_pages.main_text(op5_pages.lines(page), None) == "Related work\nOn comments\nLaws\nat 12 euro\nNotice\nTrees"
+    assert op5_pages.lines("<article class=\"comment\"><p>c</p></article><p class=\"comment\">p</p>") == [(op5_pages.GO, "c"), (op5_pages.OPEN, "p")]
+    outside = '<div id="search-algorithms">a</div><h2 id="related-work">b</h2><div class="legal-history">c</div><div class="legal">d</div><div data-id="ad">e</div>'
+    gone = '<div class="site-footer">v</div><div id="sidebar">w</div><div class="cookieNotice">x</div><div class="search-box">y</div><p hidden>z</p>'
+    assert op5_pages.main_text(op5_pages.lines(outside + gone), None) == "a\nb\nc\nd\ne"
+
+
 def test_quality(docs, empty, spark):
     def stats(t):
         w = re.findall(SPACE, t or "")

@@ -33,30 +33,57 @@ CONTENT = {"article", "main"}
 CONTAINERS = {"div", "section", "header", "ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "tr", "figure", "blockquote", "details", "body", "html", "center", "address", "hgroup", "search"} | DROPPED | CONTENT
 BLOCKS = {"p", "li", "dt", "dd", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "hr", "figcaption", "summary", "caption", "legend", "option", "optgroup"} | CONTAINERS
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
-#: Words in class, id and role that name what is not content.
-NAMES = set(
-    "ad ads adv advert adverts advertisement advertisements adsense advertising sponsor sponsored promo promotion banner "
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toolbar masthead topbar header footer "
-    "sidebar aside widget widgets related recommended recommendations trending notice notices cookie cookies consent gdpr alert popup modal overlay "
-    "newsletter subscribe subscription signup login search share sharing social comment comments commentlist disqus reply replies respond discussion copyright legal skip "
-    "complementary contentinfo".split()
+#: Names of adverts, navigation, share bars and comments, also inside an article.
+INSIDE = set(
+    "ad ads adv advert adverts advertisement advertisements adsense advertising "
+    "nav navbar navigation menubar breadcrumb breadcrumbs pagination pager "
+    "sharing sharebar share-bar share-buttons share-links social-share social-bar social-buttons social-links "
+    "comment comments commentlist comment-list comment-form disqus".split()
 )
+ADVERTS = set("ad ads adv advert adverts advertisement advertisements adsense advertising".split())
+#: Words that name what is not content, and words that are subjects of texts too and name it only beside another.
+NAMES = (INSIDE - {"comment"}) | set("sponsor sponsored promo menu toolbar masthead topbar footer sidebar aside widget widgets cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login".split())
+LOOSE = set(
+    "promotion banner header related recommended recommendations trending notice notices alert subscription search share social comment reply replies respond "
+    "discussion copyright legal skip complementary contentinfo".split()
+)
+#: Words of place and shape, which alone name nothing.
+PLACES = set("site page main top bottom left right global primary secondary bar box block list links buttons container wrapper inner area".split())
+ROLES = set("navigation complementary contentinfo banner search menu menubar toolbar dialog alertdialog".split())
+ROLES_INSIDE = set("navigation menu menubar toolbar".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^a-zA-Z]+")
 STAY, GO, OPEN = 1, 0, 2
 
 
-def unwanted(attributes: str) -> bool:
-    """Whether an element's attributes name it as something other than content, or hide it."""
+def named(value: str) -> bool:
+    """Whether all words of a name are of what is not content, and not a loose one alone."""
+    found = [w.lower() for w in CAMEL.split(value) if w]
+    strong, loose = sum(w in NAMES for w in found), sum(w in LOOSE for w in found)
+    known = strong + loose + sum(w in PLACES for w in found) == len(found)
+    return known and (strong > 0 or loose > 0 and len(found) > 1)
+
+
+def unwanted(attributes: str, tag: str = "div", inside: bool = False) -> bool:
+    """Whether an element's attributes name it as something other than content, or hide it.
+
+    Names count as a whole. An id is an anchor except on containers. Inside an article only adverts, navigation, share bars and comments
+    count, and of paragraphs, headings and inline elements adverts alone. Other names are left to the alignment.
+    """
     if not attributes.strip():
         return False
+    container = tag in CONTAINERS
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id", "role") and any(w.lower() in NAMES for w in CAMEL.split(value)):
+        if name == "role" and any(w in (ROLES_INSIDE if inside else ROLES) for w in value.lower().split()):
             return True
+        if name == "class" or name == "id" and container:
+            for whole in value.split():
+                if whole.lower() in (INSIDE if container else ADVERTS) or not inside and named(whole):
+                    return True
     return False
 
 
@@ -109,8 +136,8 @@ def lines(page: str) -> list[tuple[int, str]]:
             held.append(" ")
         if tag in VOID or m[3].endswith("/"):
             continue
-        bad = unwanted(m[3])
         role = stack[-1][1]
+        bad = unwanted(m[3], tag, role == STAY)
         if tag in CONTAINERS:
             if tag in DROPPED or bad or (tag == "header" and role != STAY):
                 role = GO
