@@ -206,6 +206,15 @@ def test_quality(docs, empty, spark):
     assert (hit == bad).mean() > 0.97
 
 
+def test_quality_stage_judges_rows(spark):
+    good = " ".join(f"word{k}" for k in range(60)) + "."
+    rows = [(None, good, "en"), (None, "short", "en"), (-7, good, "de"), (-7, "too short", "fr"), (-8, None, "en"), (-7, good, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words string")
+    kept = op6_quality.quality_stage(spark, docs, "/root/testdata/sf0.001")
+    assert kept.columns == docs.columns
+    assert Counter(map(tuple, kept.collect())) == Counter(r for r in rows if r[1] == good)
+
+
 def test_fingerprints(docs, empty, spark):
     ids = [(i, t or "") for i, t in corpus() if i is not None]
     ids = sorted({i: t for i, t in ids}.items(), reverse=True)

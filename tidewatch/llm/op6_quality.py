@@ -29,10 +29,11 @@ WINDOW = 8
 FEATURES = ("symbol_share", "exclaim_share", "upper_share", "repeat_share", "dup_line_share", "distinct_share", "mean_word", "digit_share")
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Word, symbol, line and window counts of each text, and the shares that rules test."""
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Word, symbol, line and window counts of each text, and the shares that rules test; the columns in ``carry`` stay, in the struct _row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_text"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row")] if carry else []
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_text"), *row)
     # texts that repeat a window: sort windows with their places, keep equal neighbours, sum what they cover
     equal = "coalesce(get(s, k).h = get(s, k - 1).h, false) or coalesce(get(s, k).h = get(s, k + 1).h, false)"
     places = f"sort_array(transform(filter(sequence(0, size(s) - 1), k -> {equal}), k -> get(s, k).i))"
@@ -47,6 +48,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     out = out.withColumn("_m", F.expr(let(split(SPACES.replace("\\", "\\\\")), "w", of_words))).withColumn("_l", F.expr(of_lines))
     out = out.select(
         "doc_id",
+        *(["_row"] if carry else []),
         F.col("_m.n").cast("long").alias("n_words"),
         F.col("_m.chars").alias("word_chars"),
         F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -186,9 +188,9 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> list[R
     return learn(x, np.array([r["_quality"] == 0 for r in rows]))
 
 
-def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
+def judge(docs: DataFrame, rules: list[Rule], carry: tuple[str, ...] = ()) -> DataFrame:
     """Statistics and verdict of each document; ``rule`` tells which rule of the list rejects it."""
-    out = measured(docs).withColumn("rule", decision(rules))
+    out = measured(docs, carry=carry).withColumn("rule", decision(rules))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
@@ -199,7 +201,6 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rule nor the list rejects, all columns as they were."""
-    labels = table(spark, sf_dir, "labels")
-    keep = judge(docs, fit(docs, labels)).where("kept").select("doc_id")
-    return docs.join(keep.distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """Documents that neither the base rule nor the list rejects, all columns as they were. Each row is judged by its own text: null ids stay, repeated ids are told apart."""
+    out = judge(docs, fit(docs, table(spark, sf_dir, "labels")), tuple(docs.columns))
+    return out.where("kept").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
