@@ -179,6 +179,13 @@ def test_names_count_as_a_whole():
     assert op5_pages.main_text(op5_pages.lines(outside + gone), None) == "a\nb\nc\nd\ne"
 
 
+def test_copies_keep_their_text(spark):
+    page = "<p>Menu</p><p>A body of some length, longer than all the rest, that is the main text of this page and of its copy.</p><p>Printed {}</p>"
+    rows = [(1, "http://h.x/a", page.format(1)), (2, "http://h.x/a?print", page.format(1)), (3, "http://i.x/a", page.format(1)), (4, "http://i.x/a?p", page.format(2))]
+    got = {r.page_id: r.text.split("\n")[:2] for r in op5_pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict.fromkeys((1, 2, 3, 4), ["Menu", "A body of some length, longer than all the rest, that is the main text of this page and of its copy."])
+
+
 def test_quality(docs, empty, spark):
     def stats(t):
         w = re.findall(SPACE, t or "")

@@ -6,7 +6,8 @@ told apart into lines (blocks of text); the lines of a pair are aligned by their
 subsequence, and shared lines go. Differencing alone can't be right for menus and adverts that differ
 from page to page, nor for articles that a host shows twice, so structure decides where it can: lines in containers
 that are not content by element or by name go, lines inside an article or main element stay, shared or not;
-all others stay unless the neighbour shares them, on pages with an article too.
+all others stay unless the neighbour shares them, on pages with an article too. A neighbour that shares nearly all of them
+(a print view, a page of the template alone) is a copy and tells nothing, so nothing goes by it.
 
 Null or empty html gives empty text. A page alone with its host, or with a null url's empty host, has no
 neighbour and keeps its lines; at the edge of a range the neighbour is the one within it. Pages of one url are neighbours. Repeated rows each give a row.
@@ -55,6 +56,8 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^a-zA-Z]+")
 STAY, GO, OPEN = 1, 0, 2
+#: Share of the open characters from which two pages are copies.
+COPY = 0.9
 
 
 def named(value: str) -> bool:
@@ -178,9 +181,16 @@ def shared(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
+def copies(page: list[tuple[int, str]], other: list[tuple[int, str]]) -> bool:
+    """Whether the open lines of two pages are nearly all equal, by characters of the shorter side."""
+    a, b = ([t for role, t in p if role == OPEN] for p in (page, other))
+    least = min(sum(map(len, a)), sum(map(len, b)))
+    return bool(least) and sum(len(a[k]) for k in shared(a, b)) >= COPY * least
+
+
 def main_text(page: list[tuple[int, str]], neighbour: list[tuple[int, str]] | None) -> str:
     """The lines of a page that are its own content. Only open lines can go by the alignment, so pages without any skip it."""
-    decides = neighbour and any(role == OPEN for role, _ in page)
+    decides = neighbour and any(role == OPEN for role, _ in page) and not copies(page, neighbour)
     same = shared([t for _, t in page], [t for _, t in neighbour]) if decides else set()
     return "\n".join(t for k, (role, t) in enumerate(page) if role == STAY or role == OPEN and k not in same)
 
