@@ -186,6 +186,17 @@ def test_copies_keep_their_text(spark):
     assert got == dict.fromkeys((1, 2, 3, 4), ["Menu", "A body of some length, longer than all the rest, that is the main text of this page and of its copy."])
 
 
+def test_pairing_is_the_same_under_any_ranges(spark):
+    page = "<p>Menu of {}</p><p>{}</p><p>Foot of {}</p>"
+    rows = [(k, f"http://h{k % 3}.x/{k // 2 % 40:03}", page.format(k % 3, f"text {k // 9}" if k % 5 else "text", k % 3)) for k in range(-30, 200)]
+    rows += [(200 + k, "http://h1.x/012", page.format(1, "a copy of some length, with its menu and its foot. " * 5, 1)) for k in range(6)] + [(None, "http://h1.x/012", "<p>no id"), (7, None, "<p>x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = [Counter(map(tuple, op5_pages.extract(pages, n).collect())) for n in (1, 2, 7, 60)]
+    assert len(rows) == sum(got[0].values()) and got[0] == got[1] == got[2] == got[3]
+    texts = {r[0]: r[2] for r in got[0] if r[1] and "h0" in r[1]}
+    assert not any("Menu" in t or "Foot" in t for t in texts.values())
+
+
 def test_quality(docs, empty, spark):
     def stats(t):
         w = re.findall(SPACE, t or "")

@@ -1,27 +1,29 @@
 """Main text of web pages by nearest-URL differencing.
 
-Pages are ordered by host and URL path (range-partitioned, so a host with a third of all pages spans
-many tasks) and each page is paired with its neighbour of the same host: the page before, or at the start of a run the one after. Pages are
+Pages are ordered by host, URL path and page_id and dealt to ranges of that order, so a host with a third of all pages spans
+many tasks. Each page is paired with its neighbour of the same host: the nearest page before that is no copy of it, or else the
+nearest after, among NEAR pages on each side. Each range also gets the NEAR pages before and after it, so the pairing is the same under any ranges. Pages are
 told apart into lines (blocks of text); the lines of a pair are aligned by their longest common
 subsequence, and shared lines go. Differencing alone can't be right for menus and adverts that differ
 from page to page, nor for articles that a host shows twice, so structure decides where it can: lines in containers
 that are not content by element or by name go, lines inside an article or main element stay, shared or not;
 all others stay unless the neighbour shares them, on pages with an article too. A neighbour that shares nearly all of them
-(a print view, a page of the template alone) is a copy and tells nothing, so nothing goes by it.
+(a print view, a page of the template alone) is a copy and is passed over; a page among copies alone keeps its lines.
 
 Null or empty html gives empty text. A page alone with its host, or with a null url's empty host, has no
-neighbour and keeps its lines; at the edge of a range the neighbour is the one within it. Pages of one url are neighbours. Repeated rows each give a row.
+neighbour and keeps its lines. Pages of one url are neighbours. Repeated rows each give a row.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import arrow_map, table
@@ -56,8 +58,10 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^a-zA-Z]+")
 STAY, GO, OPEN = 1, 0, 2
-#: Share of the open characters from which two pages are copies.
-COPY = 0.9
+#: Share of the open characters from which two pages are copies, and pages that are looked at on each side for one that is none.
+COPY, NEAR = 0.9, 4
+#: Between the parts of a key; sorts before what URLs hold.
+SEPARATOR = "\x01"
 
 
 def named(value: str) -> bool:
@@ -190,55 +194,117 @@ def copies(page: list[tuple[int, str]], other: list[tuple[int, str]]) -> bool:
 
 def main_text(page: list[tuple[int, str]], neighbour: list[tuple[int, str]] | None) -> str:
     """The lines of a page that are its own content. Only open lines can go by the alignment, so pages without any skip it."""
-    decides = neighbour and any(role == OPEN for role, _ in page) and not copies(page, neighbour)
+    decides = neighbour and any(role == OPEN for role, _ in page)
     same = shared([t for _, t in page], [t for _, t in neighbour]) if decides else set()
     return "\n".join(t for k, (role, t) in enumerate(page) if role == STAY or role == OPEN and k not in same)
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def ordered(pages: DataFrame) -> DataFrame:
+    """Pages with their place among all, as one string: host, path, page_id (nulls first)."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    known = F.coalesce("url", F.lit(""))
+    host = F.lower(F.regexp_extract(known, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
+    path = F.regexp_extract(known, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    number = F.coalesce(F.lpad(F.hex(F.col("page_id").bitwiseXOR(F.lit(-(2**63)))), 16, "0"), F.lit(""))
+    return rows.withColumns({"host": host, "key": F.concat_ws(SEPARATOR, host, path, number)})
+
+
+def in_range(bounds: list[str]) -> Column:
+    """The number of bounds that a key reaches: coarse ones first, then those between two coarse ones."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds)) + 1
+    some, coarse = F.lit(bounds), F.lit(bounds[::step])
+    reached = lambda b: F.size(F.filter(b, lambda x: x <= F.col("key")))
+    c = reached(coarse)
+    return F.when(c == 0, 0).otherwise((c - 1) * step + reached(F.slice(some, (c - 1) * step + 1, F.lit(step))))
+
+
+def beside(edges: list[tuple[int, str]]) -> dict[str, list[int]]:
+    """From the first and last keys of each range: keys and the other ranges that need their pages as neighbours."""
+    edges = sorted(edges, key=lambda e: (e[0], e[1].encode()))
+    host = lambda e: e[1].split(SEPARATOR)[0]
+    out: dict[str, list[int]] = {}
+    at = 0
+    while at < len(edges):
+        end = at
+        while end < len(edges) and edges[end][0] == edges[at][0]:
+            end += 1
+        for part, own in ((edges[max(0, at - NEAR) : at], edges[at]), (edges[end : end + NEAR], edges[end - 1])):
+            for e in part:
+                if host(e) == host(own):
+                    out.setdefault(e[1], []).append(own[0])
+        at = end
+    return out
+
+
+def dealt(pages: DataFrame, n: int) -> DataFrame:
+    """Pages dealt to n ranges of the order, and the pages around each range to it too (own is false)."""
+    rows = ordered(pages)
+    spark = pages.sparkSession
+    keys = rows.select("key")
+    sample = keys.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < F.lit(math.ceil((1 << 20) * min(1.0, 50 * n / max(1, pages.count()))))) if n > 1 else keys.limit(0)
+    drawn = sorted((r["key"] for r in sample.collect()), key=str.encode)
+    bounds = sorted({drawn[len(drawn) * k // n] for k in range(1, n)} if drawn else set(), key=str.encode)
+    rows = rows.withColumn("r", in_range(bounds))
+    if not bounds:
+        return rows.withColumn("own", F.lit(True)).repartitionById(1, "r")
+    placed = rows.select("key", "r").withColumn("k", F.lit(0))
+    ends = [placed.withColumn("k", F.row_number().over(Window.partitionBy("r").orderBy(by))).where(F.col("k") <= NEAR) for by in (F.asc("key"), F.desc("key"))]
+    edges = [(e["r"], e["key"]) for e in ends[0].union(ends[1]).select("r", "key").distinct().collect()]
+    also = spark.createDataFrame(list(beside(edges).items()), "key string, also array<int>")
+    rows = rows.join(F.broadcast(also), "key", "left")
+    to = F.concat(F.array("r"), F.coalesce("also", F.array().cast("array<int>")))
+    return rows.select("page_id", "url", "html", "host", "key", F.posexplode(to).alias("k", "r")).withColumn("own", F.col("k") == 0).repartitionById(len(bounds) + 1, "r")
+
+
+def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of each page."""
     spark = pages.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    n = min(n, pages.count() // 100 + 1)  # ranges of a few pages would part neighbours
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    known = F.coalesce("url", F.lit(""))
-    rows = rows.withColumns({"host": F.lower(F.regexp_extract(known, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), "path": F.regexp_extract(known, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)})
-    order = ["host", "path", "page_id"]
-    near = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    n = ranges or min(n, pages.count() // 100 + 1)  # ranges of a few pages would send most pages twice
+    near = dealt(pages, n).withColumn("_tie", F.xxhash64("html")).sortWithinPartitions("key", "_tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: tuple[str, list] | None = None
-        waiting: tuple | None = None  # the first page of a run, until the page after it is read
-
         def rows_of() -> Iterator[tuple]:
             for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "host")), strict=True)
+                for page_id, url, source, host, own in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "host", "own")), strict=True):
+                    yield page_id, url, host, own, lines(source)
 
         def made(done: list[tuple]) -> pa.RecordBatch:
             ids, urls, texts = (list(x) for x in zip(*done, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
+        held: list[tuple] = []  # the pages around the next one to settle, at most NEAR on each side
+        at = 0
         done: list[tuple] = []
-        for page_id, url, source, host in rows_of():
-            own = lines(source)
-            if waiting is not None:
-                i, u, w, h = waiting
-                done.append((i, u, main_text(w, own if h == host and host else None)))
-                waiting = None
-            if before is not None and before[0] == host and host:
-                done.append((page_id, url, main_text(own, before[1])))
-            else:
-                waiting = (page_id, url, own, host)
-            before = (host, own)
+
+        def settle() -> None:
+            page_id, url, host, own, page = held[at]
+            if own:
+                around = [*range(at - 1, max(-1, at - NEAR - 1), -1), *range(at + 1, min(len(held), at + NEAR + 1))]
+                known = (held[k][4] for k in around if host and held[k][2] == host)
+                alone = all(role != OPEN for role, _ in page)
+                done.append((page_id, url, main_text(page, None if alone else next((p for p in known if not copies(page, p)), None))))
+
+        for row in rows_of():
+            held.append(row)
+            if len(held) - at > NEAR:
+                settle()
+                at += 1
+                if at > NEAR:
+                    held.pop(0)
+                    at -= 1
             if len(done) >= 1000:
                 yield made(done)
-                done = []
-        if waiting is not None:
-            done.append((waiting[0], waiting[1], main_text(waiting[2], None)))
+                done.clear()
+        while at < len(held):
+            settle()
+            at += 1
         if done:
             yield made(done)
 
-    return arrow_map(near.select("page_id", "url", "html", "host"), run, SCHEMA)
+    return arrow_map(near.select("page_id", "url", "html", "host", "own"), run, SCHEMA)
 
 
 def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
