@@ -282,6 +282,29 @@ def test_licences(docs, empty):
     assert op10_licences.scan(empty).count() == 0
 
 
+def test_licences_inside_longer_units():
+    s = op10_licences.Scanner(op10_licences.TEMPLATES, 0.8)
+    filler = " ".join(f"w{k}" for k in range(300))
+    assert s.scan("Released under the MIT License. See LICENSE for details.") == (1, 1, "MIT", 1.0, 1)
+    assert s.scan("a\nCopyright 2021 Acme Corp. All rights reserved. Released under the MIT License.") == (2, 1, "MIT", 1.0, 2)
+    assert s.scan(f"{filler} Licensed under CC BY-SA 4.0.") == (1, 1, "CC-BY-SA-4.0", 1.0, 1)
+    grant = op10_licences.TEMPLATES["MIT-grant"].split()
+    block = "\n".join(["/*", " * " + filler, " *", *(" * " + " ".join(grant[k : k + 6]) for k in range(0, len(grant), 6)), " *", " * " + filler, " */"])
+    assert s.scan(block) == (len(block.split("\n")), 0, "MIT-grant", 1.0, 4)
+    rng = random.Random(5)
+    for _ in range(60):  # all windows by brute force
+        name = rng.choice(sorted(op10_licences.TEMPLATES))
+        words = [w for w in op10_licences.WORDS(op10_licences.TEMPLATES[name].lower()) for _ in range(rng.choice([1, 1, 1, 1, 1, 1, 2, 0]))]
+        words = [f"x{rng.randrange(5)}" for _ in range(8)] + words + words[: rng.randrange(5)] + [f"x{rng.randrange(5)}" for _ in range(8)]
+        best = 0.0
+        for a in range(len(words)):
+            own = set()
+            for b in range(a + 1, len(words)):
+                own.add((words[b - 1], words[b]))
+                best = max([best, *(2.0 * len(own & g) / (len(own) + len(g)) for _, g in s.templates)])
+        assert (s.scan(" ".join(words))[3] or 0) == (best if best >= 0.8 else 0)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -1,10 +1,14 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient over word bigrams.
 
 Text and templates are lower-cased and reduced to runs of ASCII letters and digits. The units compared are
-the lines of a text, its paragraphs (lines up to an empty one) and the whole text, each as a set of word bigrams: Dice is twice the
+the lines of a text, its paragraphs (lines up to an empty one), the whole text and all windows of words in it, across lines too, so a
+notice within a longer line or a comment block is found. Each is a set of word bigrams: Dice is twice the
 common bigrams over the sum of both counts. It can't reach the threshold t unless the counts are within a factor
-t / (2 - t) of each other, so templates outside those size bounds are pruned, and so are those that share no bigram.
-The best unit wins; equal ones go to the first line, then to the smaller unit, then to the template first in the alphabet.
+t / (2 - t) of each other, so templates outside those size bounds are pruned, and so are those of which a text has less than that factor of the bigrams. The best window
+of a template starts and ends with bigrams of the template that it has but once, so only those are tried.
+The best unit wins; equal ones go to the first line, then to the smaller unit (line, paragraph, text, window), then to the template first
+in the alphabet. A line counts as a licence line if it or a window inside it reaches the threshold. ORACLE states the result of lines, paragraphs and whole
+texts without windows: the same wherever each notice is a line of its own that equals a template.
 
 Null or empty text has no line and no licence. Units of one word have no bigram and match nothing.
 """
@@ -12,7 +16,10 @@ Null or empty text has no line and no licence. Units of one word have no bigram
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -73,10 +80,53 @@ class Scanner:
                     found = dice, name
         return found
 
+    def window(self, grams: list[tuple[str, str]], k: int, start: int, end: int) -> tuple[float, int] | None:
+        """Dice and start of the window of grams[start:end] closest to template k, the first of equal ones, if any reaches the threshold."""
+        other = self.templates[k][1]
+        most = len(other) / self.factor
+        found = None
+        for a in range(start, end):
+            first = grams[a]
+            if first not in other:
+                continue
+            seen: set[tuple[str, str]] = set()
+            common = 0
+            for b in range(a, end):
+                x = grams[b]
+                if x in seen:
+                    if x == first:
+                        break  # the window from there on has the same bigrams
+                    continue
+                seen.add(x)
+                if len(seen) > most:
+                    break
+                if x in other:
+                    common += 1
+                    dice = 2.0 * common / (len(seen) + len(other))
+                    if dice >= self.threshold and (found is None or dice > found[0]):
+                        found = dice, a
+        return found
+
+    def able(self, grams: Iterable[tuple[str, str]]) -> list[int]:
+        """Templates of which enough bigrams are there for some window to reach the threshold."""
+        counts = Counter(k for x in set(grams) & self.by_bigram.keys() for k in self.by_bigram[x])
+        return sorted(k for k, n in counts.items() if n >= len(self.templates[k][1]) * self.factor - 1e-9)
+
     def scan(self, text: str) -> tuple[int, int, str | None, float | None, int | None]:
         lines = text.split("\n") if text else []
-        hits = [(k, m) for k, line in enumerate(lines) if (m := self.best(line))]
-        units = [(-m[0], k, 0, m[1]) for k, m in hits]
+        words = WORDS(text.lower())
+        grams = list(zip(words, words[1:], strict=False))
+        able = self.able(grams)
+        if not able:
+            return len(lines), 0, None, None, None
+        ends = list(accumulate(len(WORDS(line.lower())) for line in lines))
+        units, hits = [], 0
+        for k, line in enumerate(lines):
+            m = self.best(line)
+            if m:
+                units.append((-m[0], k, 0, m[1]))
+            start, end = (ends[k - 1] if k else 0), ends[k] - 1
+            hits += bool(m) or any(self.window(grams, t, start, end) for t in self.able(grams[start:end]))
         start = 0
         for k in range(len(lines) + 1):
             if k == len(lines) or not lines[k].strip(" \t\v\f\r"):
@@ -85,10 +135,13 @@ class Scanner:
                 start = k + 1
         if len(lines) > 1 and (m := self.best(text)):
             units.append((-m[0], 0, 2, m[1]))
+        for t in able:
+            if m := self.window(grams, t, 0, len(grams)):
+                units.append((-m[0], bisect_right(ends, m[1]), 3, self.templates[t][0]))
         if not units:
             return len(lines), 0, None, None, None
         dice, k, _, name = min(units)
-        return len(lines), len(hits), name, -dice, k + 1
+        return len(lines), hits, name, -dice, k + 1
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
