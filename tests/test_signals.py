@@ -107,3 +107,15 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.table("filtered").toPandas().sort_values(["session_id", "i"])
     want = np.concatenate([K.recur(g.sort_values("i").value.to_numpy(), b, a)[0] for _, g in rows.groupby("session_id")])
     assert len(got) == 120 and np.allclose(got.filtered, want)
+
+
+def test_whole_feature_matrix(spark, monkeypatch):
+    seen = {}
+    for module, name in ((catalog.X, "correlations"), (catalog.X, "anova"), (catalog.M, "held_out"), (catalog.M, "fold_information"), (catalog.G, "leave_one_out")):
+        monkeypatch.setattr(module, name, lambda rows, names, *a, f=getattr(module, name), n=name: seen.update({(n, *a): (len(names), set(names) <= set(rows.columns))}) or f(rows, names, *a))
+    for name in ("correlated_pairs_all", "anova_rank_all", "mi_stability", "loso_eval", "loso_boosting", "loso_forest", "loso_svm", "loso_ensemble"):
+        catalog.QUERIES[name](spark, SF)
+    assert len(seen) == 8 and set(seen.values()) == {(64, True)}
+    assert catalog.QUERIES["mi_stability"](spark, SF).count() == catalog.QUERIES["anova_rank_all"](spark, SF).count() == 64
+    rows = catalog.T.features(spark, SF, 64)
+    assert catalog.X.correlations(rows, catalog.ALL).count() == catalog.X.correlations(rows.limit(0), catalog.ALL).count() == 2016

@@ -92,10 +92,14 @@ def effect_size(rows: DataFrame, f: str, code: str = "code", target: int = 2) ->
 
 
 def correlations(rows: DataFrame, names: list[str]) -> DataFrame:
-    """(a, b, r) of every pair of features, missing values left out pair by pair: one pass, one row per pair."""
-    pairs = [(a, b) for k, a in enumerate(names) for b in names[k + 1 :]]
-    wide = rows.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    return wide.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs])).alias("p")).select("p.*")
+    """(a, b, r) of every pair of features, missing values left out pair by pair: one pass, one row per pair. Aggregated by the first of a pair, so wide tables have no expression of all pairs."""
+    none = rows.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(f) for f in names])  # pairs without rows are told too
+    every = rows.select(*[F.col(f).cast("double").alias(f) for f in names]).unionByName(none)
+    long = every.select(*names, F.posexplode(F.array(*names)).alias("_k", "_v"))
+    wide = long.groupBy("_k").agg(*[F.corr("_v", f).alias(f) for f in names])
+    out = wide.select("_k", F.posexplode(F.array(*names)).alias("_l", "r")).where("_k < _l")
+    name = lambda c: F.get(F.lit(names), F.col(c))
+    return out.select(name("_k").alias("a"), name("_l").alias("b"), "r")
 
 
 def anova(rows: DataFrame, names: list[str], target: str = "target") -> DataFrame:

@@ -27,6 +27,9 @@ A = """a AS (SELECT l_suppkey AS session_id, row_number() OVER (PARTITION BY l_s
  l_quantity AS x, l_discount AS y, l_tax AS z FROM lineitem)"""
 NAMES = [f"f{k}" for k in range(8)]
 E = "e AS (SELECT vec_id AS row_id, (vec_id % 14)::INT AS fold, (label = 2)::INT AS target, " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS f{k}" for k in range(8)) + " FROM embeddings)"
+#: The whole matrix. NAMES stays for the queries whose SQL states eight values.
+ALL = [f"f{k}" for k in range(64)]
+E_ALL = "e AS (SELECT vec_id AS row_id, (vec_id % 14)::INT AS fold, (label = 2)::INT AS target, " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS {f}" for k, f in enumerate(ALL)) + " FROM embeddings)"
 O = "OVER (PARTITION BY session_id ORDER BY i)"
 
 
@@ -280,6 +283,20 @@ def anova_rank(spark, sf_dir):
     return scores.withColumn("place", F.rank().over(Window.orderBy(F.desc("f"))).cast("long"))
 
 
+LONG_ALL = " UNION ALL ".join(f"SELECT row_id, {k} AS k, '{a}' AS feature, target, {a} AS v FROM e" for k, a in enumerate(ALL))
+
+
+@query(f"WITH {E_ALL}, l AS ({LONG_ALL}), p AS (SELECT x.feature AS a, y.feature AS b, round(corr(x.v, y.v), 6) AS r FROM l x JOIN l y ON x.row_id = y.row_id AND x.k < y.k GROUP BY ALL) SELECT * FROM p WHERE abs(r) > 0.05")
+def correlated_pairs_all(spark, sf_dir):
+    return X.correlations(T.features(spark, sf_dir, len(ALL)), ALL).select("a", "b", r("r", "r")).where("abs(r) > 0.05")
+
+
+@query(f"WITH {E_ALL}, l AS ({LONG_ALL}), b AS (SELECT feature, target, count(v) AS n, sum(v) AS s, sum(v*v) AS q FROM l GROUP BY ALL), g AS (SELECT feature, count(*) AS k, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s*s/n) AS c FROM b GROUP BY 1) SELECT feature, round(((c - s*s/n) / (k - 1)) / ((q - c) / (n - k)), 5) AS f, rank() OVER (ORDER BY round(((c - s*s/n) / (k - 1)) / ((q - c) / (n - k)), 5) DESC) AS place FROM g")
+def anova_rank_all(spark, sf_dir):
+    scores = X.anova(T.features(spark, sf_dir, len(ALL)), ALL).select("feature", r("f", "f", 5))
+    return scores.withColumn("place", F.rank().over(Window.orderBy(F.desc("f"))).cast("long"))
+
+
 SCORE = "1 / (1 + exp(-(f0 + 2 * f1 - f2)))"
 FOLDS = f"WITH {E}, p AS (SELECT fold, target AS y, round({SCORE}, 9) AS score FROM e)"
 
@@ -388,7 +405,7 @@ def zero_phase_lowpass(spark, sf_dir):
 @query()
 def loso_eval(spark, sf_dir):
     """Held-out scores of a model per fold, and each fold's metrics."""
-    scored = G.leave_one_out(T.features(spark, sf_dir), NAMES).withColumn("p", (F.col("score") >= 0.5).cast("int"))
+    scored = G.leave_one_out(T.features(spark, sf_dir, len(ALL)), ALL).withColumn("p", (F.col("score") >= 0.5).cast("int"))
     return X.metrics(scored, ["fold"])
 
 
@@ -398,28 +415,28 @@ def _judged(scored: DataFrame) -> DataFrame:
 
 @query()
 def loso_boosting(spark, sf_dir):
-    return _judged(M.held_out(T.features(spark, sf_dir), NAMES, "boosting"))
+    return _judged(M.held_out(T.features(spark, sf_dir, len(ALL)), ALL, "boosting"))
 
 
 @query()
 def loso_forest(spark, sf_dir):
-    return _judged(M.held_out(T.features(spark, sf_dir), NAMES, "forest"))
+    return _judged(M.held_out(T.features(spark, sf_dir, len(ALL)), ALL, "forest"))
 
 
 @query()
 def loso_svm(spark, sf_dir):
-    return _judged(M.held_out(T.features(spark, sf_dir), NAMES, "svm"))
+    return _judged(M.held_out(T.features(spark, sf_dir, len(ALL)), ALL, "svm"))
 
 
 @query()
 def loso_ensemble(spark, sf_dir):
-    return _judged(M.held_out(T.features(spark, sf_dir), NAMES, "ensemble"))
+    return _judged(M.held_out(T.features(spark, sf_dir, len(ALL)), ALL, "ensemble"))
 
 
 @query()
 def mi_stability(spark, sf_dir):
     """Features by the share of folds that rank them among the three most informative."""
-    return M.stability(M.fold_information(T.features(spark, sf_dir), NAMES), 3)
+    return M.stability(M.fold_information(T.features(spark, sf_dir, len(ALL)), ALL), 3)
 
 
 @query(f"WITH {E} SELECT fold AS \"group\", count(*) AS n, sum(target)::BIGINT AS targets, round(sum(target)::DOUBLE / count(*), 6) AS share FROM e GROUP BY 1")
