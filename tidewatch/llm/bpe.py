@@ -1,6 +1,6 @@
-"""Byte-pair merges compiled into a deterministic automaton.
+"""Byte-pair merges as a deterministic automaton, resolved on demand: no states or arcs are built ahead.
 
-The automaton starts as one state with a loop for every base symbol. Each merge ``(a, b) -> c``, in
+By definition the automaton starts as one state with a loop for every base symbol. Each merge ``(a, b) -> c``, in
 rank order, applies the merge gadget: every state with an ``a`` arc into a state with a ``b`` arc
 gets a ``c`` arc to the place that ``a b`` led to, and the ``a`` arcs are redirected to a copy of their target
 without the ``b`` arc. A token sequence is a path of the final automaton exactly when it is the
