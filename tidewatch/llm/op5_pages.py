@@ -3,15 +3,18 @@
 Pages are ordered by host, URL path and page_id and dealt to ranges of that order, so a host with a third of all pages spans
 many tasks. Each page is paired with its neighbour of the same host: the nearest page before that is no copy of it, or else the
 nearest after, among NEAR pages on each side. Each range also gets the NEAR pages before and after it, so the pairing is the same under any ranges. Pages are
-told apart into lines (blocks of text); the lines of a pair are aligned by their longest common
-subsequence, and shared lines go. Differencing alone can't be right for menus and adverts that differ
-from page to page, nor for articles that a host shows twice, so structure decides where it can: lines in containers
-that are not content by element or by name go, lines inside an article or main element stay, shared or not;
-all others stay unless the neighbour shares them, on pages with an article too. A neighbour that shares nearly all of them
-(a print view, a page of the template alone) is a copy and is passed over; a page among copies alone keeps its lines.
+told apart into lines (blocks of text); the lines of every page are aligned with its neighbour's by their longest common
+subsequence, and shared lines go. Structure assists where the alignment can't be right: a line inside an article or main element
+stays although the neighbour shows it too (a host may repeat a paragraph), and a line that is not shared still goes where its container
+is by element or by name a menu, advert, notice or the like, as those differ from page to page. All other lines stay. A neighbour that
+shares nearly all lines outside articles (a print view, a page of the template alone) is a copy and is passed over; a page among copies
+alone keeps its lines. ``shared_lines`` tells how many lines went by the alignment, ``named_lines`` how many by structure alone.
+
+A tag that never ends takes the rest of the page with it, as in browsers, so reading a page is linear in its length.
 
 Null or empty html gives empty text. A page alone with its host, or with a null url's empty host, has no
-neighbour and keeps its lines. Pages of one url are neighbours. Repeated rows each give a row.
+neighbour and keeps its lines. Pages of one url are neighbours. Repeated rows each give a row with the same text; an
+empty table gives no rows; other columns of the pages are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm.common import arrow_map, table
 
-SCHEMA = "page_id long, url string, text string, n_chars long"
+SCHEMA = "page_id long, url string, text string, n_chars long, shared_lines long, named_lines long"
 #: Elements by role.
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "canvas", "object", "textarea", "title", "math", "audio", "video"}
 DROPPED = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "datalist", "fieldset"}
@@ -54,7 +57,7 @@ LOOSE = set(
 PLACES = set("site page main top bottom left right global primary secondary bar box block list links buttons container wrapper inner area".split())
 ROLES = set("navigation complementary contentinfo banner search menu menubar toolbar dialog alertdialog".split())
 ROLES_INSIDE = set("navigation menu menubar toolbar".split())
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^a-zA-Z]+")
 STAY, GO, OPEN = 1, 0, 2
@@ -99,6 +102,7 @@ def lines(page: str) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = [("", OPEN)]
     held: list[str] = []
+    opened: dict[str, int] = {}  # how many of each element are on the stack
     skip_block = False
     at, size = 0, len(page)
 
@@ -125,12 +129,14 @@ def lines(page: str) -> list[tuple[int, str]]:
                 skip_block = False
             elif tag in ("td", "th"):
                 held.append(" ")
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    if tag not in BLOCKS:
-                        flush()
-                    del stack[k:]
-                    break
+            if opened.get(tag):
+                if tag not in BLOCKS:
+                    flush()
+                while True:
+                    name = stack.pop()[0]
+                    opened[name] -= 1
+                    if name == tag:
+                        break
             continue
         if tag in RAW and not m[3].endswith("/"):
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
@@ -151,11 +157,13 @@ def lines(page: str) -> list[tuple[int, str]]:
             elif tag in CONTENT and role != GO:
                 role = STAY
             stack.append((tag, role))
+            opened[tag] = opened.get(tag, 0) + 1
         elif bad and tag in BLOCKS:
             skip_block = True
         elif bad:
             flush()
             stack.append((tag, GO))
+            opened[tag] = opened.get(tag, 0) + 1
     flush()
     return out
 
@@ -192,11 +200,24 @@ def copies(page: list[tuple[int, str]], other: list[tuple[int, str]]) -> bool:
     return bool(least) and sum(len(a[k]) for k in shared(a, b)) >= COPY * least
 
 
+def own_lines(page: list[tuple[int, str]], neighbour: list[tuple[int, str]] | None) -> tuple[str, int, int]:
+    """The lines of a page that are its own content; how many went because the neighbour shares them, and how many by structure alone."""
+    same = shared([t for _, t in page], [t for _, t in neighbour]) if neighbour else set()
+    kept, by_alignment, by_structure = [], 0, 0
+    for k, (role, t) in enumerate(page):
+        if role == STAY:
+            kept.append(t)
+        elif k in same:
+            by_alignment += 1
+        elif role == GO:
+            by_structure += 1
+        else:
+            kept.append(t)
+    return "\n".join(kept), by_alignment, by_structure
+
+
 def main_text(page: list[tuple[int, str]], neighbour: list[tuple[int, str]] | None) -> str:
-    """The lines of a page that are its own content. Only open lines can go by the alignment, so pages without any skip it."""
-    decides = neighbour and any(role == OPEN for role, _ in page)
-    same = shared([t for _, t in page], [t for _, t in neighbour]) if decides else set()
-    return "\n".join(t for k, (role, t) in enumerate(page) if role == STAY or role == OPEN and k not in same)
+    return own_lines(page, neighbour)[0]
 
 
 def ordered(pages: DataFrame) -> DataFrame:
@@ -259,7 +280,7 @@ def dealt(pages: DataFrame, n: int) -> DataFrame:
 
 
 def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
-    """(page_id, url, text, n_chars) of each page."""
+    """(page_id, url, text, n_chars, shared_lines, named_lines) of each page."""
     spark = pages.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     n = ranges or min(n, pages.count() // 100 + 1)  # ranges of a few pages would send most pages twice
@@ -272,8 +293,9 @@ def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
                     yield page_id, url, host, own, lines(source)
 
         def made(done: list[tuple]) -> pa.RecordBatch:
-            ids, urls, texts = (list(x) for x in zip(*done, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+            ids, urls, texts, *counts = (list(x) for x in zip(*done, strict=True))
+            numbers = [pa.array(x, pa.int64()) for x in (map(len, texts), *counts)]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), *numbers], ["page_id", "url", "text", "n_chars", "shared_lines", "named_lines"])
 
         held: list[tuple] = []  # the pages around the next one to settle, at most NEAR on each side
         at = 0
@@ -284,8 +306,7 @@ def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
             if own:
                 around = [*range(at - 1, max(-1, at - NEAR - 1), -1), *range(at + 1, min(len(held), at + NEAR + 1))]
                 known = (held[k][4] for k in around if host and held[k][2] == host)
-                alone = all(role != OPEN for role, _ in page)
-                done.append((page_id, url, main_text(page, None if alone else next((p for p in known if not copies(page, p)), None))))
+                done.append((page_id, url, *own_lines(page, next((p for p in known if not copies(page, p)), None))))
 
         for row in rows_of():
             held.append(row)
@@ -308,4 +329,5 @@ def extract(pages: DataFrame, ranges: int | None = None) -> DataFrame:
 
 
 def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return extract(table(spark, sf_dir, "pages"))
