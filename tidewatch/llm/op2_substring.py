@@ -1,17 +1,24 @@
 """Substring deduplication by De Bruijn compaction.
 
-Each window of ``span`` consecutive words has one edge of the graph: its least token k-mer by hash. The
-windows of a text that share an occurrence of an edge form a path; its row carries the edge, a hash of all
-words under the path, and its source coordinates (document, first window, number of windows). Where all
-occurrences of an edge lie under the same words the path does not branch: it is compacted, and its least doc_id
-decides for all its windows at once. Where they differ, the path branches, and only there windows are hashed and
-compared one by one. Equal windows have the same edge at the same place, so no repeat is missed; what counts as
-a repeat is decided on the input, never on what is left.
-
-Joins are on edges and windows, whose counts are pre-aggregated; a passage that a third of the corpus shares is
-one row per occurrence, never a pair. Texts are shuffled only for documents that have something to remove or compare.
-
-Null text has no words. Rows that repeat a doc_id are told apart by their text; equal ids are not smaller.
+Nodes of the graph are token k-mers: of each window of ``span`` consecutive words the least by hash, so every window
+has one and equal windows have the same. Edges run from one k-mer of a text to the next and are labelled with
+the words from the first to the second. A k-mer is kept if two documents have it. An edge is nonbranching if
+all occurrences of its first k-mer go on by it and all of its second come from it; nonbranching edges join on their labels, and pointer doubling by
+Spark joins compacts each path of them to its first k-mer. Texts then have one row per path they run through, with
+source coordinates: document, place, windows.
+
+All runs through a path share its words. If the words of all windows around it agree too (one variant), the least doc_id decides for the
+whole run. Where runs differ at the ends, the path branches: windows inside the path are decided by its least doc_id, the windows that reach over an
+end are compared one by one, once for each variant. What counts as a repeat is decided on the input, never on what is left.
+
+Hashes only propose. Before anything is removed, the words at the source coordinates of all that was found equal are
+read and compared; if any differ, the whole is done again with other hashes.
+
+Joins are on k-mers, labels, paths and windows, whose counts are pre-aggregated; a passage that a third of the corpus shares is
+one row per run, never a pair. Texts are shuffled only for documents that have something to remove or compare.
+
+Null text has no words; texts under ``span`` words have no windows. Rows that repeat a doc_id are told apart by their text, rows that repeat whole give equal rows; equal ids are not smaller.
+An empty table gives no rows. Long texts are one row of one task. Other columns are not read; the stage keeps them all, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,18 +39,27 @@ from tidewatch.llm.common import arrow_map, materialise, table, with_text
 
 SPAN, EDGE = 50, 12
 B1, B2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
-PATHS = "edge long, words long, doc_id long, row_key int, first int, n int, n_words long, sha string"
-WINDOWS = "w1 long, w2 long, doc_id long, edge long, words long, place int"
+OCCURRENCES = "kmer long, back long, ahead long, gap int, cover long, doc_id long, row_key long, at int, first int, n int, n_words long, sha string"
+WINDOWS = "w1 long, w2 long, doc_id long, head long, cover long, place int"
 #: Stands for a null doc_id inside: after all others.
 LAST = (1 << 63) - 1
-CUT = "doc_id long, row_key int, n_removed long, sha string, text string"
+CUT = "doc_id long, row_key long, n_removed long, sha string, text string"
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+#: SQL for the result of the query.
+ORACLE = """WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+ win AS (SELECT k, doc_id, p, array_to_string(w[p:p + 49], ' ') AS s FROM d, unnest(range(1, len(w) - 48)) t(p)),
+ least AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s HAVING min(doc_id) < max(doc_id)),
+ gone AS (SELECT DISTINCT k, q FROM win JOIN least USING (s), unnest(range(p, p + 50)) u(q) WHERE doc_id > m),
+ word AS (SELECT k, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS q FROM d WHERE k IN (SELECT k FROM gone)),
+ kept AS (SELECT k, string_agg(x, ' ' ORDER BY q) AS t FROM word ANTI JOIN gone USING (k, q) GROUP BY k),
+ n AS (SELECT k, count(*) AS n FROM gone GROUP BY k)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE coalesce(t, '') END) AS kept_sha256 FROM d LEFT JOIN n USING (k) LEFT JOIN kept USING (k)"""
 
 
 class Words:
     """The words of a batch of texts, as hashes in one row, with prefix sums for the hash of any run."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, salt: int = 0):
         lists = pc.ascii_split_whitespace(texts)
         sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         flat = lists.flatten()
@@ -53,7 +69,7 @@ class Words:
         self.sizes = np.bincount(owner[real], minlength=len(sizes))
         self.ends = np.cumsum(self.sizes)
         coded = self.flat.dictionary_encode()
-        distinct = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.to_pylist()), U, len(coded.dictionary))
+        distinct = np.fromiter((xxhash.xxh3_64_intdigest(w, salt) for w in coded.dictionary.to_pylist()), U, len(coded.dictionary))
         self.hashes = mix(distinct)[coded.indices.to_numpy()] if len(distinct) else np.zeros(0, U)
 
     def runs(self, base: np.uint64, at: np.ndarray, size) -> np.ndarray:
@@ -71,24 +87,25 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def paths(docs: DataFrame, span: int, edge: int) -> DataFrame:
-    """One row per path, and one row without edge per document with its words and the digest of all of them."""
+def occurrences(docs: DataFrame, span: int, edge: int, salt: int) -> DataFrame:
+    """One row per k-mer of a text: labels of the edges to it and from it, words to the next one, a hash of all words under its windows,
+    source coordinates. And one row without k-mer per document with its words and the digest of all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["kmer", "back", "ahead", "gap", "cover", "doc_id", "row_key", "at", "first", "n", "n_words", "sha"]
         for batch in batches:
-            w = Words(batch.column("text"))
+            w = Words(batch.column("text"), salt)
             ids, keys = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("row_key").to_numpy()
             sha = [hashlib.sha256(" ".join(x).encode()).hexdigest() for x in pa.ListArray.from_arrays(pa.array(np.concatenate([[0], w.ends]), pa.int32()), w.flat).to_pylist()]
-            m, none = len(sha), lambda n: pa.nulls(n, pa.int64())
+            m, none, short = len(sha), lambda n: pa.nulls(n, pa.int64()), lambda n: pa.nulls(n, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [none(m), none(m), batch.column("doc_id"), batch.column("row_key"), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.array(w.sizes, pa.int64()), pa.array(sha)],
-                ["edge", "words", "doc_id", "row_key", "first", "n", "n_words", "sha"],
+                [none(m), none(m), none(m), short(m), none(m), batch.column("doc_id"), batch.column("row_key"), short(m), short(m), short(m), pa.array(w.sizes, pa.int64()), pa.array(sha)], names
             )
             total = len(w.hashes)
             if total < span:
                 continue
-            edges = w.runs(B1, np.arange(total - edge + 1), edge)
-            least = np.lib.stride_tricks.sliding_window_view(edges, span - edge + 1)
+            kmers = w.runs(B1, np.arange(total - edge + 1), edge)
+            least = np.lib.stride_tricks.sliding_window_view(kmers, span - edge + 1)
             starts = np.arange(total - span + 1)
             least = starts + np.concatenate([least[k : k + 65536].argmin(axis=1) for k in range(0, len(least), 65536)])
             owner = np.repeat(np.arange(m), w.sizes)[starts]
@@ -98,20 +115,25 @@ def paths(docs: DataFrame, span: int, edge: int) -> DataFrame:
                 continue
             cut = np.flatnonzero(np.concatenate([[True], (np.diff(least) != 0) | (np.diff(owner) != 0)]))
             first, n = starts[cut], np.diff(np.append(cut, len(starts)))
-            at = least[cut]
-            words = mix(w.runs(B2, first, n + span - 1) + (at - first).astype(U) * B1)
-            begin = (w.ends - w.sizes)[owner[cut]]
+            at, own = least[cut], owner[cut]
+            cover = mix(w.runs(B2, first, n + span - 1) + (at - first).astype(U) * B1)
+            gap, on = np.diff(at), np.diff(own) == 0  # on: the next k-mer is of the same text
+            label = mix(w.runs(B2, at[:-1], gap + edge) + gap.astype(U) * B1).view(np.int64)
+            begin = (w.ends - w.sizes)[own]
             k = len(cut)
             yield pa.RecordBatch.from_arrays(
-                [signed(edges[at]), signed(words), pa.array(ids[owner[cut]], pa.int64()), pa.array(keys[owner[cut]]), pa.array(first - begin, pa.int32()), pa.array(n, pa.int32()), none(k), pa.nulls(k, pa.string())],
-                ["edge", "words", "doc_id", "row_key", "first", "n", "n_words", "sha"],
-            )
+                [
+                    signed(kmers[at]), pa.array(np.append(0, label), mask=np.append(True, ~on)), pa.array(np.append(label, 0), mask=np.append(~on, True)), pa.array(np.append(gap, 0), pa.int32(), mask=np.append(~on, True)), signed(cover),
+                    pa.array(ids[own], pa.int64()), pa.array(keys[own]), pa.array(at - begin, pa.int32()), pa.array(first - begin, pa.int32()), pa.array(n, pa.int32()), none(k), pa.nulls(k, pa.string()),
+                ],
+                names,
+            )
 
-    return arrow_map(docs, run, PATHS)
+    return arrow_map(docs, run, OCCURRENCES)
 
 
 def source(docs: DataFrame) -> DataFrame:
-    return with_text(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text", F.hash("text").alias("row_key"))
+    return with_text(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text", F.xxhash64("text").alias("row_key"))
 
 
 def chosen(docs: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -122,52 +144,103 @@ def chosen(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     return docs.join(ranges.where(F.size("ranges") > 0), ["doc_id", "row_key"])
 
 
-def windows(texts: DataFrame, span: int) -> DataFrame:
-    """One row per window under the paths in ``ranges``."""
+def windows(texts: DataFrame, span: int, edge: int, salt: int) -> DataFrame:
+    """One row per window of the runs in ``ranges`` that reaches over an end of its path; place counts from the path's first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            w = Words(batch.column("text"))
+            w = Words(batch.column("text"), salt)
             begin = w.ends - w.sizes
             lists = batch.column("ranges")
             owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            r = {f: lists.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("edge", "words", "first", "n")}
-            n = r["n"].astype(np.int64)
+            r = {f: lists.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("head", "cover", "start", "reach", "first", "last")}
+            n = (r["last"] - r["first"]).astype(np.int64)
             rows = np.repeat(np.arange(len(n)), n)
-            place = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
-            at = begin[owner[rows]] + r["first"][rows] + place
+            place = (r["first"] - r["start"])[rows] + np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n)
+            over = (place < 0) | (place + span > r["reach"][rows] + edge)
+            rows, place = rows[over], place[over]
+            at = begin[owner[rows]] + r["start"][rows] + place
             ids = batch.column("doc_id").to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [signed(w.runs(B1, at, span)), signed(w.runs(B2, at, span)), pa.array(ids[owner[rows]]), pa.array(r["edge"][rows]), pa.array(r["words"][rows]), pa.array(place, pa.int32())],
-                ["w1", "w2", "doc_id", "edge", "words", "place"],
+                [signed(w.runs(B1, at, span)), signed(w.runs(B2, at, span)), pa.array(ids[owner[rows]]), pa.array(r["head"][rows]), pa.array(r["cover"][rows]), pa.array(place, pa.int32())],
+                ["w1", "w2", "doc_id", "head", "cover", "place"],
             )
 
     return arrow_map(texts, run, WINDOWS)
 
 
-def repeats(docs: DataFrame, span: int = SPAN, edge: int = EDGE) -> tuple[DataFrame, DataFrame]:
+def compacted(kmers: DataFrame) -> DataFrame:
+    """(kmer, head, off) of k-mers that follow on a nonbranching edge: the first k-mer of their path and the words from there."""
+    only = lambda c: (F.col(f"{c}_lo") == F.col(f"{c}_hi")) & (F.col(f"{c}_n") == F.col("n"))
+    onward = kmers.where(only("ahead")).select(F.col("kmer").alias("head"), F.col("ahead_lo").alias("label"), F.col("gap").alias("off"))
+    up = materialise(kmers.where(only("back")).select("kmer", F.col("back_lo").alias("label")).join(onward, "label").select("kmer", "head", "off"), "compacted")
+    while True:  # a text ends, so its last k-mer branches: paths have no cycles
+        beyond = up.select(F.col("kmer").alias("head"), F.col("head").alias("top"), F.col("off").alias("more"))
+        step = up.join(beyond, "head", "left").select("kmer", F.coalesce("top", "head").alias("head"), (F.col("off") + F.coalesce("more", F.lit(0))).alias("off"), F.col("top").isNotNull().alias("moved"))
+        step = materialise(step, "compacted")
+        up = step.drop("moved")
+        if step.where("moved").isEmpty():
+            return up
+
+
+def unequal(docs: DataFrame, claims: DataFrame) -> DataFrame:
+    """Keys (k1, k2) whose claims (doc_id, row_key, first, n) are not all of the same words, by the words at those coordinates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+                words = re.findall(r"[^ \t-\r]+", text)
+                rows = [(r["k1"], r["k2"], " ".join(words[r["first"] : r["first"] + r["n"]])) for r in ranges]
+                for k in range(0, len(rows), 5000):
+                    some = list(zip(*rows[k : k + 5000], strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(some[0], pa.int64()), pa.array(some[1], pa.int64()), pa.array(some[2], pa.string())], ["k1", "k2", "words"])
+
+    by_text = claims.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("k1", "k2", "first", "n")).alias("ranges"))
+    shown = arrow_map(chosen(docs, by_text), run, "k1 long, k2 long, words string")
+    return shown.groupBy("k1", "k2").agg(F.min("words").alias("lo"), F.max("words").alias("hi")).where("lo != hi").select("k1", "k2")
+
+
+def repeats(docs: DataFrame, span: int = SPAN, edge: int = EDGE, salt: int = 0) -> tuple[DataFrame, DataFrame]:
     """All documents with their word counts and digests, and (doc_id, row_key, ranges) of those with windows that start in a smaller doc_id."""
     base = source(docs)
-    table_ = materialise(paths(base, span, edge), "paths")
-    every = table_.where("edge is null").select("doc_id", "row_key", "n_words", "sha")
-    path = table_.where("edge is not null").select("edge", "words", "doc_id", "row_key", "first", "n")
-    shared = path.groupBy("edge").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), (F.min("words") != F.max("words")).alias("branches"))
-    shared = materialise(shared.where("least < most").drop("most"), "edges")
-    found = materialise(path.join(shared, "edge").where("branches or doc_id > least"), "found")
-    whole = found.where("not branches")  # compacted: every occurrence is the same
-    # branching edges: one variant of the path per (edge, words); its first source stands for it
-    variants = materialise(found.where("branches").groupBy("edge", "words").agg(F.min(F.struct("doc_id", "row_key", "first", "n")).alias("v")), "variants")
-    branch = materialise(found.where("branches").drop("least", "branches").join(variants, ["edge", "words"]), "branches")
-    later = branch.where("doc_id > v.doc_id")
-    own = branch.where("doc_id = v.doc_id")
-    wanted = variants.groupBy(F.col("v.doc_id").alias("doc_id"), F.col("v.row_key").alias("row_key")).agg(F.collect_list(F.struct("edge", "words", "v.first", "v.n")).alias("ranges"))
-    shown = materialise(windows(chosen(base, materialise(wanted, "wanted")).dropDuplicates(["doc_id", "row_key"]), span), "windows")
-    common = shown.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    hits = shown.join(materialise(common, "common"), ["w1", "w2"]).where("doc_id > least")
-    places = hits.groupBy("edge", "words").agg(F.collect_set("place").alias("places"))  # at most span - edge + 1 each
-    single = own.join(materialise(places, "places"), ["edge", "words"]).select("doc_id", "row_key", F.explode("places").alias("p"), "first").select("doc_id", "row_key", (F.col("first") + F.col("p")).alias("first"), F.lit(1).alias("n"))
-    columns = ["doc_id", "row_key", "first", "n"]
-    ranges = whole.select(columns).union(later.select(columns)).union(single).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("first", "n")).alias("ranges"))
+    table_ = materialise(occurrences(base, span, edge, salt), "kmers")
+    every = table_.where("kmer is null").select("doc_id", "row_key", "n_words", "sha")
+    every_kmer = table_.where("kmer is not null")
+    ends = [x for c in ("back", "ahead") for x in (F.min(c).alias(f"{c}_lo"), F.max(c).alias(f"{c}_hi"), F.count(c).alias(f"{c}_n"))]
+    kmers = every_kmer.groupBy("kmer").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"), F.min("gap").alias("gap"), *ends)
+    kmers = materialise(kmers.where("least < most").drop("least", "most"), "repeated")
+    place = kmers.select("kmer").join(compacted(kmers), "kmer", "left").select("kmer", F.coalesce("head", "kmer").alias("head"), F.coalesce("off", F.lit(0)).alias("off"))
+    found = every_kmer.join(materialise(place, "places"), "kmer")
+    runs = found.groupBy("head", "doc_id", "row_key", (F.col("at") - F.col("off")).alias("start")).agg(
+        F.min("first").alias("first"), F.max(F.col("first") + F.col("n")).alias("last"), F.max("off").alias("reach"), F.bit_xor(F.xxhash64("cover", "off")).alias("cover")
+    )
+    runs = materialise(runs, "runs")
+    columns = ["doc_id", "row_key", "start", "first", "last", "reach"]
+    # one variant for each different surrounding of a path; its first source stands for it
+    variants = runs.groupBy("head", "cover").agg(F.min(F.struct(*columns)).alias("v"), (F.min("doc_id") < F.max("doc_id")).alias("many"))
+    variants = materialise(variants, "variants")
+    path = materialise(variants.groupBy("head").agg(F.min("v.doc_id").alias("least"), (F.count("*") > 1).alias("branches")), "paths")
+    variants = materialise(variants.join(path, "head"), "variants")
+    held = materialise(runs.join(variants.where("branches or many"), ["head", "cover"]), "held")
+    inner = F.col("reach") + edge - span + 1  # windows inside the path
+    reps = variants.where("branches").select("head", "cover", "least", "v.*")
+    wanted = reps.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("head", "cover", "start", "reach", "first", "last")).alias("ranges"))
+    shown = materialise(windows(chosen(base, materialise(wanted, "wanted")).dropDuplicates(["doc_id", "row_key"]), span, edge, salt), "windows")
+    common = materialise(shown.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "common")
+    met = materialise(shown.join(common, ["w1", "w2"]), "met")
+    claims = [
+        held.where("many").select("doc_id", "row_key", F.col("head").alias("k1"), F.col("cover").alias("k2"), "first", (F.col("last") - F.col("first") + span - 1).alias("n")),
+        reps.where(inner > 0).select("doc_id", "row_key", F.col("head").alias("k1"), F.lit(0).cast("long").alias("k2"), F.col("start").alias("first"), (F.col("reach") + edge).alias("n")),
+        met.join(reps.select("head", "cover", "row_key", "start"), ["head", "cover"]).select("doc_id", "row_key", F.col("w1").alias("k1"), F.col("w2").alias("k2"), (F.col("start") + F.col("place")).alias("first"), F.lit(span).alias("n")),
+    ]
+    if not materialise(unequal(base, claims[0].union(claims[1]).union(claims[2])), "unequal").isEmpty():
+        return repeats(docs, span, edge, salt + 1)
+    later = held.where("doc_id > v.doc_id").select("doc_id", "row_key", "first", (F.col("last") - F.col("first")).alias("n"))
+    own = held.where("doc_id = v.doc_id and branches")
+    within = own.where((F.col("doc_id") > F.col("least")) & (inner > 0)).select("doc_id", "row_key", F.col("start").alias("first"), inner.alias("n"))
+    places = met.where("doc_id > least").groupBy("head", "cover").agg(F.collect_set("place").alias("places"))  # under span at each end
+    single = own.join(materialise(places, "single"), ["head", "cover"]).select("doc_id", "row_key", "start", F.explode("places").alias("p")).select("doc_id", "row_key", (F.col("start") + F.col("p")).alias("first"), F.lit(1).alias("n"))
+    ranges = later.union(within).union(single).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("first", "n")).alias("ranges"))
     return every, materialise(ranges, "ranges")
 
 
@@ -185,7 +258,7 @@ def cut(docs: DataFrame, ranges: DataFrame, span: int = SPAN) -> DataFrame:
                 kept = [w for w, c in zip(words, np.cumsum(marks[:-1]).tolist(), strict=True) if not c]
                 rows.append((doc, key, len(words) - len(kept), hashlib.sha256(" ".join([w for w, _ in kept]).encode()).hexdigest(), "".join([w + s for w, s in kept])))
             cols = zip(*rows, strict=True) if rows else ((),) * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "row_key", "n_removed", "sha", "text"])
 
     return arrow_map(chosen(source(docs), ranges), run, CUT)
@@ -202,14 +275,19 @@ def deduplicate(docs: DataFrame, span: int = SPAN, edge: int = EDGE) -> DataFram
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that no smaller doc_id's window covers."""
     return deduplicate(table(spark, sf_dir, "documents"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of repeated windows; those with no word left go. Columns stay; n_chars follows the text."""
+    """Documents without the words of repeated windows; those with no word left go. Columns stay, whatever their names; n_chars follows the text.
+    Rows are found again by doc_id and text, so null and repeated ids and repeated rows keep their own columns."""
     _, ranges = repeats(docs)
-    changed = cut(docs, ranges).dropDuplicates(["doc_id", "row_key"]).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("text").alias("_text"))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.hash(F.coalesce("text", F.lit("")))
-    out = docs.withColumns({"_doc": key[0], "_row": key[1]}).join(changed, (F.col("_doc") == F.col("_id")) & (F.col("_row") == F.col("_key")), "left").where("_text is null or _text != ''")
-    new = {"text": F.coalesce("_text", "text")} | ({"n_chars": F.when(F.col("_text").isNull(), F.col("n_chars")).otherwise(F.length("_text")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.withColumns(new).select(*docs.columns)
+    changed = cut(docs, ranges).dropDuplicates(["doc_id", "row_key"]).select(F.struct("doc_id", "row_key").alias("key"), F.struct("text").alias("new"))
+    rows = docs.select(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row_key")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = rows.join(changed, "key", "left").where("new is null or new.text != ''")
+    own = {c: F.col("row").getField(c) for c in docs.columns}
+    own["text"] = F.when(F.col("new").isNull(), own["text"]).otherwise(F.col("new.text"))
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("new").isNull(), own["n_chars"]).otherwise(F.length("new.text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[c.alias(k) for k, c in own.items()])

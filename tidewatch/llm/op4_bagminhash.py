@@ -6,15 +6,20 @@ signature component, and counts if its cell lies under the run's multiplicity. T
 the signature; two signatures agree in a component with the weighted Jaccard similarity as probability. Points
 are drawn up to a time by which all components are met; texts where one is not go on to a later time.
 
-Exact copies are one node from the start. Nodes that share a band meet through a pivot of the band (a star, never all pairs);
+Two documents are similar if they have at least 0.8 of the runs of the larger one in common, as multisets. All pairs of weighted
+Jaccard similarity 0.8 are among them, and so are copies with a few words edited: an edit changes up to five runs of both sides.
+
+Exact copies are one node from the start: their word sequences agree in two hashes of 64 bits. Nodes that share a band meet through a pivot of the band (a star, never all pairs);
 pairs whose signatures agree too little to be similar go, the others are verified on their texts, and
 verified links join classes. Rounds with other pivots follow, only between nodes whose classes still
 differ; last, all pairs of different classes that are left in a band are compared by their signatures, in blocks
 of bounded size, and members that agree with one of another class are verified in blocks of their texts; only links leave a task. Classes are connected components, found by label propagation with pointer jumping in tables.
 
-With four rows a band and 24 bands a pair at the threshold 0.8 is missed with probability 3e-6.
+An overlap of 0.8 means a weighted Jaccard similarity of 2/3 at least; with three rows a band and 32 bands such a pair is missed with probability
+1.4e-5, and the filter on signatures loses one with 2e-5.
 Texts of one to four words are one run. Null text and texts without words are near to nothing: each is its own class.
-Rows that repeat a doc_id are told apart by their text.
+Rows that repeat a doc_id are told apart by their text; rows that repeat whole are in one class. A null doc_id comes after all others, so it names a class only where
+no other id can. An empty table gives no rows. Long texts are one row of one task. Other columns are not read; the stage keeps them all, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,19 +36,19 @@ from tidewatch.llm.common import arrow_map, materialise, table
 from tidewatch.llm.op2_substring import B1, B2, LAST, Words, chosen, source
 
 SHINGLE, THRESHOLD = 5, 0.8
-ROWS, BANDS = 4, 24
+ROWS, BANDS = 3, 32
 SIZE = ROWS * BANDS
 #: Components of 96 that a pair at the threshold agrees in at least, but for two pairs in 10^5.
-AGREE = 60
+AGREE = 45
 #: Nodes of a band that one task compares with each other; a larger band is dealt in blocks of this size.
 BLOCK = 1000
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
-SIGNED = "doc_id long, row_key int, node long, bands array<long>, sig binary"
+SIGNED = "doc_id long, row_key long, node long, other long, bands array<long>, sig binary"
 
 
-def bags(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct runs of the batch's texts: text, run hash, multiplicity; and a hash of each text's word sequence."""
+def bags(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct runs of the batch's texts: text, run hash, multiplicity."""
     n = w.sizes
     begin = w.ends - n
     count = np.where(n >= SHINGLE, n - SHINGLE + 1, np.minimum(n, 1))
@@ -51,11 +56,10 @@ def bags(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     at = begin[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     size = np.minimum(n[owner], SHINGLE)
     runs = w.runs(B1, at, size) if len(at) else np.zeros(0, U)
-    whole = mix(w.runs(B2, begin, n) + n.astype(U)) if len(n) else np.zeros(0, U)
     order = np.lexsort((runs, owner))
     runs, owner = runs[order], owner[order]
     cut = np.flatnonzero(np.concatenate([[True], (np.diff(owner) != 0) | (runs[1:] != runs[:-1])])) if len(runs) else np.zeros(0, np.int64)
-    return owner[cut], runs[cut], np.diff(np.append(cut, len(runs))), whole
+    return owner[cut], runs[cut], np.diff(np.append(cut, len(runs)))
 
 
 def signatures(owner: np.ndarray, runs: np.ndarray, weight: np.ndarray, texts: int, size: int = SIZE) -> np.ndarray:
@@ -97,12 +101,13 @@ def signatures(owner: np.ndarray, runs: np.ndarray, weight: np.ndarray, texts: i
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, node, bands, sig) of each document; no bands where there are no words."""
+    """(doc_id, row_key, node, other, bands, sig) of each document: node and other are two hashes of its words; no bands where there are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             w = Words(batch.column("text"))
-            owner, runs, weight, whole = bags(w)
+            owner, runs, weight = bags(w)
+            whole, other = (mix(w.runs(b, w.ends - w.sizes, w.sizes) + w.sizes.astype(U)) for b in (B2, B1))
             sig = signatures(owner, runs, weight, batch.num_rows)
             powers = np.array([pow(int(B1), k, 1 << 64) for k in range(ROWS)], U)
             keys = mix((sig.reshape(-1, BANDS, ROWS) * powers).sum(axis=2, dtype=U) + np.arange(BANDS, dtype=U) * B2)
@@ -111,11 +116,11 @@ def signed(docs: DataFrame) -> DataFrame:
             ends = np.cumsum(np.where(some, BANDS, 0))
             small = (sig >> U(17)).astype(np.uint8)
             # texts without words are nodes of their own
-            ids, rows = batch.column("doc_id").to_numpy(), batch.column("row_key").to_numpy()
-            node = np.where(some, whole, mix(ids.view(U) * B1 + rows.astype(np.int64).view(U) * B2)).view(np.int64)
+            ids, rows = (batch.column(c).to_numpy().view(U) for c in ("doc_id", "row_key"))
+            node = np.where(some, whole, mix(ids * B1 + rows * B2)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row_key"), pa.array(node), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(keys.ravel())), pa.array([x.tobytes() for x in small], pa.binary())],
-                ["doc_id", "row_key", "node", "bands", "sig"],
+                [batch.column("doc_id"), batch.column("row_key"), pa.array(node), pa.array(other.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(keys.ravel())), pa.array([x.tobytes() for x in small], pa.binary())],
+                ["doc_id", "row_key", "node", "other", "bands", "sig"],
             )
 
     return arrow_map(docs, run, SIGNED)
@@ -173,7 +178,7 @@ def links_in_blocks(members: DataFrame, texts: DataFrame, threshold: float) -> D
     def run(block: pa.Table) -> pa.Table:
         block = block.combine_chunks()
         node, comp = block.column("node").to_numpy(), block.column("comp").to_numpy()
-        owner, runs, weight, _ = bags(Words(block.column("text").combine_chunks() if isinstance(block.column("text"), pa.ChunkedArray) else block.column("text")))
+        owner, runs, weight = bags(Words(block.column("text").combine_chunks() if isinstance(block.column("text"), pa.ChunkedArray) else block.column("text")))
         # the k-th occurrence of a run is an element of its own: multiset overlap becomes set overlap
         turn = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
         own = np.repeat(owner, weight)
@@ -200,7 +205,7 @@ def links_in_blocks(members: DataFrame, texts: DataFrame, threshold: float) -> D
             total = int(counts.sum())
             at = np.repeat(starts[mine] - (np.cumsum(counts) - counts), counts) + np.arange(total)
             common = np.bincount(held[at], minlength=len(node))
-            near = np.flatnonzero(allowed & (common >= threshold * (size[r] + size - common) - 1e-9) & (comp != comp[r]) & (common > 0))
+            near = np.flatnonzero(allowed & (common >= threshold * np.maximum(size[r], size) - 1e-9) & (comp != comp[r]) & (common > 0))
             for x in near[near > r].tolist() if same else near.tolist():
                 p, q = find(int(comp[r])), find(int(comp[x]))
                 if p != q:
@@ -214,14 +219,14 @@ def links_in_blocks(members: DataFrame, texts: DataFrame, threshold: float) -> D
 
 
 def similarity(owner: np.ndarray, runs: np.ndarray, weight: np.ndarray, pairs: int) -> np.ndarray:
-    """Weighted Jaccard of texts 2i and 2i + 1."""
+    """Multiset overlap of texts 2i and 2i + 1: runs in common, of those of the larger one."""
     pair = owner // 2
     order = np.lexsort((owner, runs, pair))
     p, r, w = pair[order], runs[order], weight[order]
     same = np.flatnonzero((p[1:] == p[:-1]) & (r[1:] == r[:-1])) if len(p) else np.zeros(0, np.int64)
     common = np.bincount(p[same], np.minimum(w[same], w[same + 1]), pairs)
-    total = np.bincount(pair, weight, pairs)
-    return common / np.maximum(total - common, 1)
+    sizes = np.bincount(owner, weight, 2 * pairs).reshape(-1, 2).max(axis=1)
+    return common / np.maximum(sizes, 1)
 
 
 def texts_of_nodes(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -239,7 +244,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: flo
         for batch in batches:
             sides = [batch.column(c).to_pylist() for c in ("text_a", "text_b")]
             w = Words(pa.array([t for two in zip(*sides, strict=True) for t in two], pa.string()))
-            owner, runs, weight, _ = bags(w)
+            owner, runs, weight = bags(w)
             yield batch.select(["a", "b"]).filter(pa.array(similarity(owner, runs, weight, batch.num_rows) >= threshold - 1e-12))
 
     return arrow_map(both.select("a", "b", "text_a", "text_b"), run, "a long, b long")
@@ -296,7 +301,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = 1) -> D
     """(doc_id, row_key, class_id): near-duplicate classes, named by their least doc_id."""
     base = source(docs)
     rows = materialise(signed(base), "signed")
-    nodes = materialise(rows.groupBy("node").agg(F.min(F.struct("doc_id", "row_key", "bands", "sig")).alias("r")).select("node", "r.*"), "nodes")
+    first = [F.min(F.struct("doc_id", "row_key", "bands", "sig")).alias("r"), F.min("other").alias("lo"), F.max("other").alias("hi")]
+    nodes = materialise(rows.groupBy("node").agg(*first), "nodes")
+    if not nodes.where("lo != hi").isEmpty():  # different texts met in one hash: the other one tells them apart
+        rows = materialise(rows.withColumn("node", F.xxhash64("node", "other")), "signed")
+        nodes = materialise(rows.groupBy("node").agg(*first), "nodes")
+    nodes = nodes.select("node", "r.*")
     band = nodes.select("node", F.explode("bands").alias("key"))
     shared = materialise(band.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key"), "bands")
     members = materialise(band.join(shared, "key"), "members")
@@ -325,16 +335,19 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = 1) -> D
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its near-duplicate class and the size of that."""
     out = classes(table(spark, sf_dir, "documents"))
     real = lambda c: F.when(F.col(c) != LAST, F.col(c)).alias(c)
     return out.select(real("doc_id"), real("class_id"), "class_size")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class, the one of least doc_id; columns stay."""
+    """One document of each class, the one of least doc_id; columns stay, whatever their names. Of rows that repeat both doc_id and text the one that
+    comes first as JSON stays."""
     found = materialise(classes(docs), "verdicts")
-    keep = found.where("doc_id = class_id and row_key = class_key").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key")).distinct()
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_row": F.hash(F.coalesce("text", F.lit("")))})
-    kept = keyed.join(keep, (F.col("_doc") == F.col("_id")) & (F.col("_row") == F.col("_key")), "left_semi").drop("_doc", "_row")
-    twice = found.groupBy("doc_id", "row_key").count().where("count > 1")
-    return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id", "text"])  # rows that repeat whole
+    kept = found.where("doc_id = class_id and row_key = class_key").select(F.struct("doc_id", "row_key").alias("key")).distinct()
+    rows = docs.select(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row_key")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = rows.join(kept, "key", "left_semi")
+    if not found.groupBy("doc_id", "row_key").count().where("count > 1").isEmpty():
+        out = out.groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

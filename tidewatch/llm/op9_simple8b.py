@@ -15,7 +15,6 @@ Null or empty texts hold just the end id. Equal doc_ids stay side by side, in th
 from __future__ import annotations
 
 import os
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import arrow_map, gathered, id_bytes, shared_dir, table, with_text
+from tidewatch.llm.common import arrow_map, gathered, id_bytes, scratch, table, with_text
 
 #: Ids per word and bits per id, by selector; the first two hold only zeros.
 SLOTS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -282,6 +281,6 @@ def read_files(spark: SparkSession, target: str) -> DataFrame:
 def op9_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    target = f"{shared_dir(spark)}/tidewatch-scratch/ids-{uuid.uuid4().hex}"
+    target = scratch(spark, "ids")
     write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), target, end_id=2)
     return read_files(spark, target)
