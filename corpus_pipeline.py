@@ -1,45 +1,16 @@
 """The training-corpus pipeline: quality rules, near-duplicates, repeated passages, packing.
 
-Each stage takes (spark, docs, sf_dir), reads the Parquet that the stage before it wrote, and applies its
-operator to all of it. All but the last return the columns of ``documents``.
+Each stage takes (spark, docs, sf_dir), reads the Parquet that the stage before it wrote, and applies its operator to all of
+it. All but the last return the columns of ``documents``, whatever others a table has beside them. Rows with a null or a repeated
+doc_id are judged by their own text; null and empty texts fail the base rule of the first stage; of rows that repeat whole one stays; an empty table gives
+an empty result. The stages are in ``tidewatch/llm/stages.py``.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-from tidewatch.llm.common import shared_dir
-from tidewatch.llm.op1_packing import pack
-from tidewatch.llm.op2_substring import substring_stage
-from tidewatch.llm.op4_bagminhash import near_duplicate_stage
-from tidewatch.llm.op6_quality import quality_stage
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the kept texts, packed into sequences."""
-    import public_tokenizers
-
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
-
-
-STAGES = [
-    ("quality rules", quality_stage),
-    ("near duplicates", near_duplicate_stage),
-    ("repeated passages", substring_stage),
-    ("packing", packing_stage),
-]
+from tidewatch.llm.stages import STAGES, run
 
 #: SQL can express neither the learned rules nor the packing; tests compare with brute force.
 ORACLE_SQL = None
 
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; each result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/tidewatch-scratch/{name.replace(' ', '-')}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
