@@ -3,15 +3,17 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+import xxhash
 
-from tidewatch.llm import op1_packing, op2_substring, op3_bpe, op4_bagminhash, op5_pages, op6_quality, op7_counts, op8_iblt, op9_simple8b, op10_licences
+from tidewatch.llm import bpe, catalog, op1_packing, op2_substring, op3_bpe, op4_bagminhash, op5_pages, op6_quality, op7_counts, op8_iblt, op9_simple8b, op10_licences, stages
 
 P = pytest.importorskip("public_tokenizers")
 SPACE = "[^\x20\x09-\x0d]+"
@@ -25,7 +27,7 @@ def corpus() -> list[tuple]:
     rows = [(k, text(rng.randint(0, 90)) + "\n" + text(rng.randint(0, 40))) for k in range(25)]
     rows += [(30 + k, f"{text(30)} {passage} {text(rng.randint(0, 30))}") for k in range(6)]
     rows += [(40 + k, base) for k in range(3)] + [(50 + k, base.replace(base.split()[k + 3], "edited", 1)) for k in range(5)]
-    rows += [(60, None), (61, ""), (62, "   \n\t "), (63, "one"), (64, "line\n" * 40), (65, "x" * 5000), (66, text(3000)), (40, base), (None, "no id here"), (67, "The " * 60), (68, "Released under the MIT License.\n" + text(20))]
+    rows += [(60, None), (61, ""), (62, "   \n\t "), (63, "one"), (64, "line\n" * 40), (65, "x" * 5000), (66, text(9000)), (40, base), (None, "no id here"), (67, "The " * 60), (68, "Released under the MIT License.\n" + text(20))]
     return rows
 
 
@@ -104,14 +106,68 @@ def test_round_trip_and_counts(docs, empty):
     assert Counter(tuple(r) for r in op3_bpe.round_trip(docs, P.path("byte_bpe_50k.json")).collect()) == want
     want = Counter((i, len((t or "").encode()), len(pieces.encode(t or "")), len(pieces.encode(t or "")) > 4096) for i, t in corpus())
     assert Counter(tuple(r) for r in op7_counts.count_tokens(docs, P.path("piece_bpe_32k.model")).collect()) == want
-    assert op3_bpe.round_trip(empty, P.path("byte_bpe_50k.json")).count() == 0
+    assert Counter(tuple(r) for r in op7_counts.count_tokens(docs, P.path("piece_bpe_32k.model"), chunk=40, group=3).collect()) == want
+    assert op3_bpe.round_trip(empty, P.path("byte_bpe_50k.json")).count() == 0 and op7_counts.count_tokens(empty, P.path("piece_bpe_32k.model"), chunk=40).count() == 0
 
 
-@pytest.mark.parametrize("chunk", [1, 3, 7])
+@pytest.mark.parametrize("chunk", [1, 17, 33, 300])
 def test_chunk_maps_compose(chunk):
-    t = op7_counts.transducer(P.path("piece_bpe_32k.model"))
-    for text in [x for _, x in corpus() if x][:20] + ["  a  b\n\n c" + " " * 70, "\n", " "]:
-        assert t.total(text, chunk) == t.total(text, 1 << 20)
+    import sentencepiece
+
+    t, library = op7_counts.transducer(P.path("piece_bpe_32k.model")), sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    rng = random.Random(6)
+    parts = ["a", "ing", "tion", " ", "  ", "      ", "\n", "\u2581", "日本語", "é", "\U0001f3f4", "</s>", "xxxxxxxx"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 60))) for _ in range(200)] + ["x" * 500, "日本" * 200, " " * 400, " " * 90 + "a" * 90, "a\n" * 90, "\n", " "]
+    for text in texts:
+        assert t.total(text, chunk) == len(library.encode(text))
+    maps = [t.state_map(*c) for c in t.chunks(op7_counts.marked("pneumonoultramicroscopic" * 40 + " and " * 30), 20)]
+    left, right = maps[0], maps[-1]
+    for m in maps[1:]:
+        left = op7_counts.compose(left, m)
+    for m in maps[-2::-1]:
+        right = op7_counts.compose(m, right)
+    assert len(maps) > 10 and left == right and any(len(m) > 1 for m in maps)
+
+
+def test_automaton_accepts_encodings_alone():
+    """Over all short strings: of all ways to spell a string, exactly the one that merging in rank order gives is a path."""
+    letters, merges = "abc", [("a", "b"), ("a", "a"), ("ab", "c"), ("b", "c"), ("aa", "ab"), ("c", "ab"), ("b", "b"), ("aa", "aa")]
+    names = [*letters, *(a + b for a, b in merges)]
+    ids = {s: k for k, s in enumerate(names)}
+    a = bpe.MergeAutomaton({k: tuple(map(ord, s)) for s, k in ids.items()}, [(ids[x], ids[y], ids[x + y]) for x, y in merges])
+    words = [""]
+    for _ in range(7):
+        words = [w + c for w in words for c in letters]
+        for w in words:
+            parts = list(w)
+            for x, y in merges:
+                k = 0
+                while k < len(parts) - 1:
+                    if (parts[k], parts[k + 1]) == (x, y):
+                        parts[k : k + 2] = [x + y]
+                    k += 1
+            ways = [[]]
+            accepted = []
+            while ways:
+                way = ways.pop()
+                at = sum(map(len, way))
+                if at == len(w):
+                    accepted.append(way)
+                state = a.start if not way else a._targets[ids[way[-1]]]
+                ways += [[*way, s] for s in names if w.startswith(s, at) and a.has_arc(state, ids[s])]
+            assert accepted == [parts]
+    symbols = np.array([[ord(c) for c in w] for w in words])
+    assert a.encode(list(symbols)) == [[ids[x] for x in w] for w in (_merged(list(w), merges) for w in words)]
+
+
+def _merged(parts, merges):
+    for x, y in merges:
+        k = 0
+        while k < len(parts) - 1:
+            if (parts[k], parts[k + 1]) == (x, y):
+                parts[k : k + 2] = [x + y]
+            k += 1
+    return parts
 
 
 def test_near_duplicates(docs, empty):
@@ -130,7 +186,7 @@ def test_near_duplicates(docs, empty):
     for a in range(len(keys)):
         for b in range(a):
             both = sum((bags[keys[a]] & bags[keys[b]]).values())
-            if both and both >= 0.8 * sum((bags[keys[a]] | bags[keys[b]]).values()):
+            if both and both >= 0.8 * max(sum(bags[keys[a]].values()), sum(bags[keys[b]].values())):
                 root[find(keys[a])] = find(keys[b])
     least: dict = {}
     for k in keys:
@@ -305,20 +361,184 @@ def test_licences_inside_longer_units():
         assert (s.scan(" ".join(words))[3] or 0) == (best if best >= 0.8 else 0)
 
 
-def test_pipeline(spark, tmp_path):
+SF = "/root/testdata/sf0.001"
+
+
+def test_pipeline(spark):
+    """All stages over the smallest tables against brute force."""
     import corpus_pipeline
 
-    base = "/root/testdata/sf0.001"
-    out = corpus_pipeline.run(spark, base)
-    assert out.count() > 0 and [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near duplicates", "repeated passages", "packing"]
+    base = SF
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near duplicates", "repeated passages", "packing"] and corpus_pipeline.ORACLE_SQL is None
     docs = spark.read.parquet(f"{base}/documents.parquet")
     kept = op6_quality.quality_stage(spark, docs, base)
+    rules = op6_quality.fit(docs, spark.read.parquet(f"{base}/labels.parquet"))
+    verdict = {r.doc_id: r for r in op6_quality.judge(docs, rules).collect()}
+    good = {i for i, r in verdict.items() if not r.base_failed and not any(all((r[c.feature] >= c.threshold) == c.above or r[c.feature] == c.threshold for c in rule) for rule in rules)}
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in good}
+    assert {r.doc_id for r in kept.collect()} == good == {i for i, r in verdict.items() if r.kept} and 0 < len(good) < 200
+    bags = {i: Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for i, t in texts.items() for w in [re.findall(SPACE, t)]}
+    root = {i: i for i in bags}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in bags:
+        for b in bags:
+            if a < b and sum((bags[a] & bags[b]).values()) >= 0.8 * max(sum(bags[a].values()), sum(bags[b].values())):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
     unique = op4_bagminhash.near_duplicate_stage(spark, kept, base)
-    assert kept.columns == unique.columns == docs.columns
-    assert unique.count() == op4_bagminhash.classes(kept).select("class_id").distinct().count() <= kept.count() < docs.count()
+    first = {i for i in bags if find(i) == i}
+    assert {r.doc_id for r in unique.collect()} == first
+    cleaned = op2_substring.substring_stage(spark, unique, base)
+    least: dict[tuple, int] = {}
+    words = {i: re.findall(SPACE, texts[i]) for i in first}
+    for i, w in words.items():
+        for k in range(len(w) - 49):
+            least[tuple(w[k : k + 50])] = min(least.get(tuple(w[k : k + 50]), i), i)
+    left = {}
+    for i, w in words.items():
+        gone = {x for k in range(len(w) - 49) if least[tuple(w[k : k + 50])] < i for x in range(k, k + 50)}
+        left[i] = [x for k, x in enumerate(w) if k not in gone]
+    got = {r.doc_id: r for r in cleaned.collect()}
+    assert {i: re.findall(SPACE, r.text) for i, r in got.items()} == {i: w for i, w in left.items() if w}
+    assert all(r.n_chars == len(r.text) for r in got.values() if len(left[r.doc_id]) < len(words[r.doc_id]))
+    out = corpus_pipeline.run(spark, base).collect()
+    assert Counter(r.doc_id for r in out).keys() == got.keys() and kept.columns == unique.columns == cleaned.columns == docs.columns
+    assert all(sum(r.length for r in out if r.doc_id == i) == next(r.doc_tokens for r in out if r.doc_id == i) for i in list(got)[:10])
+
+
+def test_stages_keep_rows_and_columns(spark):
+    """Null and repeated ids, repeated rows, columns of clashing names, and an empty table."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"word{rng.randrange(5000)}" for _ in range(n))
+    a, b, c, passage = text(90), text(90), text(90), text(60)
+    rows = [(1, a, "x"), (1, b, "y"), (2, a, "z"), (None, c, "n"), (None, c, "n"), (3, c, "late"), (1, b, "again"), (5, f"{text(40)} {passage} {text(40)}", "p"), (6, f"{text(40)} {passage} {text(40)}", "q"), (7, passage, "gone")]
+    names = ["_doc", "_text", "_row", "_id", "row", "key", "new", "edge", "kmer", "n_words"]
+    schema = "doc_id long, text string, lang string, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(*r, *names) for r in rows], schema)
+    for stage in (op6_quality.quality_stage, op4_bagminhash.near_duplicate_stage, op2_substring.substring_stage):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and all(tuple(r)[3:] == tuple(names) for r in out.collect())
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert op6_quality.quality_stage(spark, docs, SF).count() == len(rows)
+    kept = sorted(((r.doc_id or 0), r.text, r.lang) for r in op4_bagminhash.near_duplicate_stage(spark, docs, SF).collect())
+    assert kept == sorted([(1, a, "x"), (1, b, "again"), (3, c, "late"), *(r for r in rows if r[0] in (5, 6, 7))])
+    out = op2_substring.substring_stage(spark, docs, SF)
+    left = {(r.doc_id, r.lang): r.text for r in out.collect()}
+    assert left[(5, "p")] == rows[7][1] and len(left[(6, "q")].split()) == 80 and (7, "gone") not in left
+    assert left[(1, "x")] == a and (2, "z") not in left and (None, "n") not in left and left[(1, "y")] == left[(1, "again")] == b
+    assert op1_packing.pack(docs.limit(0), P.path("byte_bpe_50k.json")).count() == 0 and stages.STAGES[0][1] is op6_quality.quality_stage
+
+
+def test_unequal_words_are_told(spark):
+    """What hashes claim to be equal is compared by its words; on a difference all is done again with other hashes."""
+    docs = op2_substring.source(spark.createDataFrame([(1, "a b c d"), (2, "a b x d"), (3, "z a b c")], "doc_id long, text string"))
+    claim = lambda k, d, f: docs.where(f"doc_id = {d}").selectExpr("doc_id", "row_key", f"{k}L as k1", "0L as k2", f"{f} as first", "3 as n")
+    claims = claim(7, 1, 0).union(claim(7, 3, 1)).union(claim(8, 1, 0)).union(claim(8, 2, 0))
+    assert [tuple(r) for r in op2_substring.unequal(docs, claims).collect()] == [(8, 0)]
+
+
+def test_substrings_do_not_depend_on_hashes(docs):
+    one, two = (op2_substring.repeats(docs, salt=k)[1].select("doc_id", "row_key").collect() for k in (0, 1))
+    assert sorted(one) == sorted(two) and len(one) > 5
+
+
+def test_paths_compact(spark):
+    """Copies of a long text are one path; a passage in other texts is another."""
+    long = " ".join(f"w{k}" for k in range(2000))
+    docs = spark.createDataFrame([(1, long), (2, long), (3, " ".join(long.split()[500:700])), (4, "u " * 30 + " ".join(long.split()[900:1000]))], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in op2_substring.deduplicate(docs).collect()}
+    assert got == {1: 0, 2: 2000, 3: 200, 4: 100}
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    theirs = con.execute(catalog.ORACLES[name])
+    names = [c[0] for c in theirs.description]
+    show = lambda rows: sorted(map(repr, rows))
+    out = catalog.QUERIES[name](spark, SF)
+    assert sorted(out.columns) == sorted(names) and show(map(tuple, out.select(*names).collect())) == show(theirs.fetchall())
+
+
+def test_near_duplicates_of_some_against_all(spark):
+    """Every document whose id is divisible by 50 against all others, exactly."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    bags = {r.doc_id: Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else Counter() for r in rows for w in [re.findall(SPACE, r.text or "")]}
+    got = {r.doc_id: r.class_id for r in catalog.QUERIES["op4_near_duplicates"](spark, SF).collect()}
+    assert got.keys() == bags.keys()
+    for a in (i for i in bags if i % 50 == 0):
+        for b in bags:
+            if (both := sum((bags[a] & bags[b]).values())) and both >= 0.8 * max(sum(bags[a].values()), sum(bags[b].values())):
+                assert got[a] == got[b]
+
+
+def test_pages_against_brute_force(spark):
+    """The whole table: plain longest common subsequences, neighbours by sorting; equal under any ranges."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").selectExpr("page_id", "url", "html", "'x' as text", "'y' as host", "'z' as key")
+    rows = sorted((re.sub(r"^[a-zA-Z][\w+.-]*://([^/?#]*)([^?#]*).*$", lambda m: m[1].lower() + op5_pages.SEPARATOR + m[2], r.url or "", flags=re.S) if re.match(r"[a-zA-Z][\w+.-]*://", r.url or "") else op5_pages.SEPARATOR, r.page_id, r.url, op5_pages.lines(r.html or "")) for r in pages.collect())
+
+    def plain(a, b):
+        n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                n[i][j] = n[i + 1][j + 1] + 1 if a[i] == b[j] else max(n[i + 1][j], n[i][j + 1])
+        return n[0][0]
+
+    want, decided = {}, 0
+    for k, (key, page_id, _, page) in enumerate(rows):
+        host = key.split(op5_pages.SEPARATOR)[0]
+        around = [*range(k - 1, max(-1, k - 1 - op5_pages.NEAR), -1), *range(k + 1, min(len(rows), k + 1 + op5_pages.NEAR))]
+        near = next((rows[x][3] for x in around if host and rows[x][0].split(op5_pages.SEPARATOR)[0] == host and not op5_pages.copies(page, rows[x][3])), None)
+        mine = [t for _, t in page]
+        same = op5_pages.shared(mine, [t for _, t in near]) if near else set()
+        assert len(same) == (plain(mine, [t for _, t in near]) if near else 0)
+        decided += len(same)
+        want[page_id] = "\n".join(t for x, (role, t) in enumerate(page) if role == op5_pages.STAY or role == op5_pages.OPEN and x not in same)
+    for n in (1, 4, 32):
+        got = op5_pages.extract(pages, n).collect()
+        assert {r.page_id: r.text for r in got} == want and len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
+    assert op5_pages.extract(pages.limit(0)).count() == 0
+    twice = op5_pages.extract(pages.union(pages), 3).collect()
+    assert len(twice) == 2 * len(rows) and all(a.text == b.text for a in twice for b in twice[:20] if a.page_id == b.page_id)
+
+
+@pytest.mark.parametrize("page", ['<a "' * 250_000, '<a "' * 250_000 + ">", "<a ='\"" * 150_000, "<div>" * 60_000 + "</p>" * 60_000 + "</b>" * 60_000, "<" * 1_000_000, "<p>" + "word " * 200_000])
+def test_pages_are_read_in_linear_time(page):
+    t = time.time()
+    op5_pages.lines(page)
+    assert time.time() - t < 5
+
+
+def test_tags_end_where_browsers_end_them():
+    got = op5_pages.lines("<div title=\"x>y\">a</div><p title='a>b'>q<br/>r</p><a href=x>z</a> 1 < 2 <3<p>left<a href=")
+    assert [t for _, t in got] == ["a", "q r", "z 1 < 2 <3", "left"]
+
+
+def test_fingerprints_are_sketches(spark):
+    """The cells of a fingerprint by hand, and exact differences where sketches of any size fail."""
+    text = "\n".join(f"paragraph number {k}" for k in range(40))
+    (r,) = op8_iblt.fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    digests = {xxhash.xxh64_intdigest(u.encode(), 42) for u in re.findall("(?:[^ \n]+ *){1,16}", text)}
+    cells = ""
+    for j in range(12):
+        own = [d for d in digests if (d >> (j // 4 * 2)) & 3 == j % 4]
+        x = 0
+        for d in own:
+            x ^= d
+        cells += f"{len(own):X}".zfill(4) + f"{x:X}".zfill(16)
+    assert r.fingerprint == cells
+    (n,) = spark.sql("select " + op8_iblt.group("array(1L, 2L, 3L)", "array(3L, 7L)") + " as n").first()
+    assert n == 3
+    same = ", ".join(f"{k << 12}L" for k in range(1, 60))  # all in the same cells of the unsalted sketches
+    assert spark.sql(f"select {op8_iblt.group(f'array({same})', 'array(5L)')} as n").first()[0] == 60
 
 
 def test_word_splits_agree():
     w = op2_substring.Words(pa.array(["  a b\x0bc ", "", "d\x85e f"]))
     assert w.flat.to_pylist() == ["a", "b", "c", "d\x85e", "f"] and w.sizes.tolist() == [3, 0, 2]
-    assert F is not None

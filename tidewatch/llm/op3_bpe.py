@@ -1,10 +1,11 @@
 """BPE encoding and decoding by a tokenization automaton (see bpe.py).
 
 Texts are split at added tokens and then by the public pre-split pattern; each distinct piece is
-encoded once per worker and batch by table-driven transitions of the merge automaton, and decoded by
-emitting the labels of its arcs. Nothing is shuffled: a document needs only itself.
+encoded once per worker by the tables of the compiled automaton, and decoded by emitting the labels of its
+arcs. Nothing is shuffled: a document needs only itself.
 
-Null or empty texts have no ids and decode to the empty text. Repeated rows give repeated results.
+Null or empty texts have no ids and decode to the empty text. Repeated rows give repeated results, a null doc_id stays null, an empty table gives no
+rows and other columns are not read. A long text is one row of one task; its words are encoded one by one.
 """
 
 from __future__ import annotations
@@ -91,6 +92,7 @@ def round_trip(docs: DataFrame, vocabulary_path: str) -> DataFrame:
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded."""
     import public_tokenizers
 
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

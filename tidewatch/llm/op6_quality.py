@@ -6,7 +6,11 @@ threshold that gains most information on one part, is pruned on another, and is
 the rows it covers leave, and the next rule starts. The list becomes ``CASE WHEN rule 1 ... WHEN rule 2 ...``.
 All documents are then judged in one scan, without a shuffle.
 
-Null text: no words, so the base rule rejects it. A document without a label is judged like any other;
+Rules have four conditions and a list twelve rules at most (parameters of ``learn``); a threshold is one of all midpoints between neighbouring values, so a growing step
+looks at each of them.
+
+Null text: no words, so the base rule rejects it; a long text is one row of one task. Rows that repeat are judged each by its own text, a null doc_id stays null, an empty table gives no
+rows and other columns, whatever their names, are kept by the stage. A document without a label is judged like any other;
 labels that repeat a doc_id count as their lowest quality. Without labels the list is empty and only the base rule rejects.
 """
 
@@ -117,16 +121,12 @@ def grow(x: dict[str, np.ndarray], bad: np.ndarray, most: int) -> Rule:
             v, y = v[order], y[order]
             up = np.concatenate([[0], np.cumsum(y)])
             edges = np.flatnonzero(np.diff(v) > 0) + 1
-            if len(edges) > 256:
-                edges = edges[np.linspace(0, len(edges) - 1, 256).astype(int)]
-            for e in edges.tolist():
-                for above in (True, False):
-                    p = int(up[-1] - up[e]) if above else int(up[e])
-                    total = len(v) - e if above else e
-                    if p:
-                        gain = p * (math.log2(p / total) - before)
-                        if gain > best[0]:
-                            best = gain, Condition(f, above, float((v[e] + v[e - 1]) / 2))
+            for above in (True, False):
+                p, total = (up[-1] - up[edges], len(v) - edges) if above else (up[edges], edges)
+                gain = p * (np.log2(np.maximum(p, 1) / total) - before)
+                if len(edges) and gain.max() > best[0]:
+                    e = int(edges[gain.argmax()])
+                    best = float(gain.max()), Condition(f, above, float((v[e] + v[e - 1]) / 2))
         if best[1] is None:
             break
         rule.append(best[1])
@@ -195,6 +195,7 @@ def judge(docs: DataFrame, rules: list[Rule], carry: tuple[str, ...] = ()) -> Da
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document, by rules learned from the labels table."""
     docs = table(spark, sf_dir, "documents")
     rules = fit(docs, table(spark, sf_dir, "labels"))
     return judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")

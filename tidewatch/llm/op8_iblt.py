@@ -5,14 +5,15 @@ go into a sketch of three subtables of cells, each cell holding how many digests
 their check hashes. Sketches of two versions subtract cell by cell: what both have cancels. Peeling then recovers what differs: a
 cell with one digest (its check agrees) gives it up, it leaves its other cells, and so on until all are
 empty. If cells stay, the pair is sketched again, larger: digests are dealt to as many groups of cells as
-their number needs, and a group that still fails is sketched with four times the cells, and again. Likeness is
+their number needs, and a group that still fails is sketched with four times the cells under other hashes, and again; digests that no such sketch gives up are
+compared as sets, so the difference is always exact. Likeness is
 the Jaccard share that the recovered difference leaves: (union - difference) / union; two texts without paragraphs are alike.
 
 All of it is SQL expressions. The next document in descending doc_id is found over ids alone: range
 partitions are numbered, each orders its own ids, and only their first ids meet. A text travels once to its own
 row, and the head of the next text once to that row.
 
-Null text is empty; a null doc_id comes last. Rows that repeat a doc_id are ordered by a hash of their text; equal
+Null text is empty; a null doc_id comes last. An empty table gives no rows; other columns are not read. A long text is one row of one task. Rows that repeat a doc_id are ordered by a hash of their text; equal
 rows share one place in that order. The last is followed by the first, so a single row follows itself.
 """
 
@@ -64,9 +65,10 @@ def differing(u: str, v: str, bits: int, salt: int) -> str:
 
 
 def group(u: str, v: str) -> str:
-    """SQL: differing digests of one group, larger sketches on failure; a last failure counts the digests as all different."""
+    """SQL: differing digests of one group: larger sketches on failure, at last both sets."""
+    as_sets = "size(array_except(u, v)) + size(array_except(v, u))"
     tries = ", ".join(differing("u", "v", bits, salt) for bits, salt in ((2, 0), (4, 11), (6, 13)))
-    return let(u, "u", let(v, "v", f"if(size(u) = 0 or size(v) = 0, size(u) + size(v), coalesce({tries}, size(u) + size(v)))"))
+    return let(u, "u", let(v, "v", f"if(size(u) = 0 or size(v) = 0, size(u) + size(v), coalesce({tries}, {as_sets}))"))
 
 
 def difference(u: str, v: str) -> str:
@@ -129,4 +131,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every document and its edited text, and what differs by them."""
     return fingerprints(table(spark, sf_dir, "documents"))
