@@ -437,8 +437,9 @@ def test_stages_keep_rows_and_columns(spark):
 def test_unequal_words_are_told(spark):
     """What hashes claim to be equal is compared by its words; on a difference all is done again with other hashes."""
     docs = op2_substring.source(spark.createDataFrame([(1, "a b c d"), (2, "a b x d"), (3, "z a b c")], "doc_id long, text string"))
-    claim = lambda k, d, f: docs.where(f"doc_id = {d}").selectExpr("doc_id", "row_key", f"{k}L as k1", "0L as k2", f"{f} as first", "3 as n")
+    claim = lambda k, d, f, but="cast(null as int) but", upto="cast(null as int) upto": docs.where(f"doc_id = {d}").selectExpr("doc_id", "row_key", f"{k}L as k1", "0L as k2", f"{f} as first", "3 as n", but, upto)
     claims = claim(7, 1, 0).union(claim(7, 3, 1)).union(claim(8, 1, 0)).union(claim(8, 2, 0))
+    claims = claims.union(claim(9, 1, 0, "2 but", "3 upto")).union(claim(9, 2, 0, "2 but", "3 upto")).union(claim(9, 3, 1, "3 but", "4 upto"))
     assert [tuple(r) for r in op2_substring.unequal(docs, claims).collect()] == [(8, 0)]
 
 

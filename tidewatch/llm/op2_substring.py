@@ -136,11 +136,15 @@ def source(docs: DataFrame) -> DataFrame:
     return with_text(docs).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), "text", F.xxhash64("text").alias("row_key"))
 
 
-def chosen(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Texts of the documents in ranges; a Bloom filter, where Spark finds it worth while, keeps other texts out of the shuffle."""
-    spark = docs.sparkSession
+def prefiltered(spark: SparkSession) -> None:
+    """Let Spark put a Bloom filter of a join's small side before the shuffle of its large side."""
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1m")
     spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold", "1g")
+
+
+def chosen(docs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Texts of the documents in ranges; other texts stay out of the shuffle where a Bloom filter is worth while."""
+    prefiltered(docs.sparkSession)
     return docs.join(ranges.where(F.size("ranges") > 0), ["doc_id", "row_key"])
 
 
@@ -184,20 +188,24 @@ def compacted(kmers: DataFrame) -> DataFrame:
 
 
 def unequal(docs: DataFrame, claims: DataFrame) -> DataFrame:
-    """Keys (k1, k2) whose claims (doc_id, row_key, first, n) are not all of the same words, by the words at those coordinates."""
+    """Keys (k1, k2) whose claims (doc_id, row_key, first, n, but, upto) are not all of the same words, by the words at those coordinates; words from but to upto are left out, as another claim has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
                 words = re.findall(r"[^ \t-\r]+", text)
-                rows = [(r["k1"], r["k2"], " ".join(words[r["first"] : r["first"] + r["n"]])) for r in ranges]
+                rows = []
+                for r in ranges:
+                    a, b = r["first"], r["first"] + r["n"]
+                    shown = words[a:b] if r["but"] is None else [*words[a : max(a, r["but"])], "", *words[min(b, r["upto"]) : b]]
+                    rows.append((r["k1"], r["k2"], " ".join(shown)))
                 for k in range(0, len(rows), 5000):
                     some = list(zip(*rows[k : k + 5000], strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(some[0], pa.int64()), pa.array(some[1], pa.int64()), pa.array(some[2], pa.string())], ["k1", "k2", "words"])
 
-    by_text = claims.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("k1", "k2", "first", "n")).alias("ranges"))
+    by_text = claims.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("k1", "k2", "first", "n", "but", "upto")).alias("ranges"))
     shown = arrow_map(chosen(docs, by_text), run, "k1 long, k2 long, words string")
-    return shown.groupBy("k1", "k2").agg(F.min("words").alias("lo"), F.max("words").alias("hi")).where("lo != hi").select("k1", "k2")
+    return shown.groupBy("k1", "k2", "words").agg(F.count("*").alias("n")).groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")
 
 
 def repeats(docs: DataFrame, span: int = SPAN, edge: int = EDGE, salt: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -206,11 +214,14 @@ def repeats(docs: DataFrame, span: int = SPAN, edge: int = EDGE, salt: int = 0)
     table_ = materialise(occurrences(base, span, edge, salt), "kmers")
     every = table_.where("kmer is null").select("doc_id", "row_key", "n_words", "sha")
     every_kmer = table_.where("kmer is not null")
+    prefiltered(docs.sparkSession)
+    shared = every_kmer.groupBy("kmer").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    shared = materialise(shared.where("least < most"), "shared")
+    met_kmers = materialise(every_kmer.join(shared.where("least < most").select("kmer"), "kmer").drop("n_words", "sha"), "repeated")
     ends = [x for c in ("back", "ahead") for x in (F.min(c).alias(f"{c}_lo"), F.max(c).alias(f"{c}_hi"), F.count(c).alias(f"{c}_n"))]
-    kmers = every_kmer.groupBy("kmer").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"), F.min("gap").alias("gap"), *ends)
-    kmers = materialise(kmers.where("least < most").drop("least", "most"), "repeated")
+    kmers = materialise(met_kmers.groupBy("kmer").agg(F.count("*").alias("n"), F.min("gap").alias("gap"), *ends), "nodes")
     place = kmers.select("kmer").join(compacted(kmers), "kmer", "left").select("kmer", F.coalesce("head", "kmer").alias("head"), F.coalesce("off", F.lit(0)).alias("off"))
-    found = every_kmer.join(materialise(place, "places"), "kmer")
+    found = met_kmers.join(materialise(place, "places"), "kmer")
     runs = found.groupBy("head", "doc_id", "row_key", (F.col("at") - F.col("off")).alias("start")).agg(
         F.min("first").alias("first"), F.max(F.col("first") + F.col("n")).alias("last"), F.max("off").alias("reach"), F.bit_xor(F.xxhash64("cover", "off")).alias("cover")
     )
@@ -228,10 +239,13 @@ def repeats(docs: DataFrame, span: int = SPAN, edge: int = EDGE, salt: int = 0)
     shown = materialise(windows(chosen(base, materialise(wanted, "wanted")).dropDuplicates(["doc_id", "row_key"]), span, edge, salt), "windows")
     common = materialise(shown.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "common")
     met = materialise(shown.join(common, ["w1", "w2"]), "met")
+    whole = [F.lit(None).cast("int").alias("but"), F.lit(None).cast("int").alias("upto")]
     claims = [
-        held.where("many").select("doc_id", "row_key", F.col("head").alias("k1"), F.col("cover").alias("k2"), "first", (F.col("last") - F.col("first") + span - 1).alias("n")),
-        reps.where(inner > 0).select("doc_id", "row_key", F.col("head").alias("k1"), F.lit(0).cast("long").alias("k2"), F.col("start").alias("first"), (F.col("reach") + edge).alias("n")),
-        met.join(reps.select("head", "cover", "row_key", "start"), ["head", "cover"]).select("doc_id", "row_key", F.col("w1").alias("k1"), F.col("w2").alias("k2"), (F.col("start") + F.col("place")).alias("first"), F.lit(span).alias("n")),
+        held.where("many").select("doc_id", "row_key", F.col("head").alias("k1"), F.col("cover").alias("k2"), "first", (F.col("last") - F.col("first") + span - 1).alias("n"), *whole),
+        reps.select("doc_id", "row_key", F.col("head").alias("k1"), F.lit(0).cast("long").alias("k2"), F.col("start").alias("first"), (F.col("reach") + edge).alias("n"), *whole),
+        met.join(reps.select("head", "cover", "row_key", "start", "reach"), ["head", "cover"]).select(
+            "doc_id", "row_key", F.col("w1").alias("k1"), F.col("w2").alias("k2"), (F.col("start") + F.col("place")).alias("first"), F.lit(span).alias("n"), F.col("start").alias("but"), (F.col("start") + F.col("reach") + edge).alias("upto")
+        ),
     ]
     if not materialise(unequal(base, claims[0].union(claims[1]).union(claims[2])), "unequal").isEmpty():
         return repeats(docs, span, edge, salt + 1)
