@@ -103,3 +103,34 @@ def interpolate(rows: DataFrame, value: str, bad: Column) -> DataFrame:
     out = rows.withColumns({"_v0": F.last(good, True).over(back), "_i0": F.last(at, True).over(back), "_v1": F.first(good, True).over(ahead), "_i1": F.first(at, True).over(ahead)})
     line = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * F.try_divide(F.col("i") - F.col("_i0"), F.col("_i1") - F.col("_i0"))
     return out.withColumn("filled", F.when(F.col("_i0") == F.col("_i1"), F.col("_v0")).otherwise(F.coalesce(line, "_v0", "_v1"))).drop("_v0", "_i0", "_v1", "_i1")
+
+
+def lookback(rows: DataFrame, width: int, step: int, long: int) -> DataFrame:
+    """Each sample with every window in whose lookback it lies: window k ends at k step + width and looks ``long`` samples back, cut at the session's start."""
+    first = F.greatest(F.ceil((F.col("i") + 1 - width) / step), F.lit(0))
+    last = F.floor((F.col("i") + long - width) / step)
+    return rows.withColumn("window", F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
+
+
+def configured(rows: DataFrame, configurations: list[tuple[int, int]]) -> DataFrame:
+    """Each sample once per configuration (width, step) and window of it that covers the sample."""
+    grid = F.explode(F.array(*[F.struct(F.lit(w).alias("width"), F.lit(s).alias("step")) for w, s in configurations]))
+    out = rows.withColumn("_c", grid).withColumns({"width": F.col("_c.width"), "step": F.col("_c.step")}).drop("_c")
+    first = F.greatest(F.ceil((F.col("i") - F.col("width") + 1) / F.col("step")), F.lit(0))
+    return out.withColumn("window", F.explode(F.sequence(first, F.floor(F.col("i") / F.col("step")))))
+
+
+def outliers(rows: DataFrame, value: str, low: float, high: float, k: float = 10.0, most: float = 0.05) -> DataFrame:
+    """Rows with bad: outside the plausible range, or further than k MAD from the session's median, the latter only where it flags less than ``most`` of the session."""
+    middle = rows.groupBy("session_id").agg(F.median(value).alias("_m"))
+    off = rows.join(middle, "session_id").withColumn("_off", F.abs(F.col(value) - F.col("_m")))
+    spread = off.groupBy("session_id").agg(F.median("_off").alias("_d"))
+    far = off.join(spread, "session_id").withColumn("_far", F.col("_off") > k * F.col("_d"))
+    share = F.avg(F.col("_far").cast("int")).over(session())
+    return far.withColumn("bad", ~F.col(value).between(low, high) | (F.col("_far") & (share < most))).drop("_m", "_off", "_d", "_far")
+
+
+def maxima(rows: DataFrame, value: str, least: float) -> DataFrame:
+    """Samples above their predecessor, not below their successor, and over a height."""
+    out = rows.withColumns({"_b": F.lag(value).over(order()), "_f": F.lead(value).over(order())})
+    return out.where((F.col(value) > F.col("_b")) & (F.col(value) >= F.col("_f")) & (F.col(value) > least)).drop("_b", "_f")

@@ -6,8 +6,6 @@ embeddings as a feature matrix with folds.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,38 +14,9 @@ from tidewatch.operators import features as X
 from tidewatch.operators import models as M
 from tidewatch.operators import signals as G
 from tidewatch.operators import windows as W
+from tidewatch.plans.registry import ALL, E, E_ALL, NAMES, O, ORACLES, QUERIES, A, S, query, r
 from tidewatch.sources import tables as T
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-S = """s AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, epoch_us(ts) / 1e6 AS t, value,
- CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'view' THEN 3 WHEN 'signup' THEN 4 END AS code FROM events)"""
-A = """a AS (SELECT l_suppkey AS session_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_partkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus) - 1 AS i,
- l_quantity AS x, l_discount AS y, l_tax AS z FROM lineitem)"""
-NAMES = [f"f{k}" for k in range(8)]
-E = "e AS (SELECT vec_id AS row_id, (vec_id % 14)::INT AS fold, (label = 2)::INT AS target, " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS f{k}" for k in range(8)) + " FROM embeddings)"
-#: The whole matrix. NAMES stays for the queries whose SQL states eight values.
-ALL = [f"f{k}" for k in range(64)]
-E_ALL = "e AS (SELECT vec_id AS row_id, (vec_id % 14)::INT AS fold, (label = 2)::INT AS target, " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS {f}" for k, f in enumerate(ALL)) + " FROM embeddings)"
-O = "OVER (PARTITION BY session_id ORDER BY i)"
-
-
-def query(sql: str | None = None) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql.replace("round(", "0e0 + round(")  # no negative zeros
-        return f
-
-    return add
-
-
-def r(c, name: str | None = None, digits: int = 6):
-    c = F.col(c) if isinstance(c, str) else c
-    return F.round(c, digits).alias(name) if name else F.round(c, digits)
-
-
 MODE = "(SELECT code FROM (SELECT code, count(*) AS c FROM {src} q WHERE q.session_id = {o}.session_id AND q.win = {o}.win GROUP BY code) ORDER BY c DESC, code LIMIT 1)"
 SKEW = "(avg(value*value*value) - 3*avg(value)*avg(value*value) + 2*avg(value)*avg(value)*avg(value)) / nullif(power(stddev_pop(value), 3), 0)"
 WINDOW_SQL = f"""WITH {S}, w AS (SELECT *, i // 10 AS win FROM s),
@@ -442,3 +411,6 @@ def mi_stability(spark, sf_dir):
 @query(f"WITH {E} SELECT fold AS \"group\", count(*) AS n, sum(target)::BIGINT AS targets, round(sum(target)::DOUBLE / count(*), 6) AS share FROM e GROUP BY 1")
 def manifest_counts(spark, sf_dir):
     return M.manifest(T.features(spark, sf_dir), "fold", "target").withColumn("share", F.round("share", 6))
+
+
+from tidewatch.plans import reports, relational  # noqa: E402, F401, I001  these register their queries
