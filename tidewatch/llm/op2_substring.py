@@ -237,8 +237,8 @@ def repeats(docs: DataFrame, span: int = SPAN, edge: int = EDGE, salt: int = 0)
     reps = variants.where("branches").select("head", "cover", "least", "v.*")
     wanted = reps.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("head", "cover", "start", "reach", "first", "last")).alias("ranges"))
     shown = materialise(windows(chosen(base, materialise(wanted, "wanted")).dropDuplicates(["doc_id", "row_key"]), span, edge, salt), "windows")
-    common = materialise(shown.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"), "common")
-    met = materialise(shown.join(common, ["w1", "w2"]), "met")
+    common = materialise(shown.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"), "common")
+    met = materialise(shown.join(common.where("least < most").drop("most"), ["w1", "w2"]), "met")
     whole = [F.lit(None).cast("int").alias("but"), F.lit(None).cast("int").alias("upto")]
     claims = [
         held.where("many").select("doc_id", "row_key", F.col("head").alias("k1"), F.col("cover").alias("k2"), "first", (F.col("last") - F.col("first") + span - 1).alias("n"), *whole),
