@@ -203,7 +203,7 @@ def unequal(docs: DataFrame, claims: DataFrame) -> DataFrame:
                     some = list(zip(*rows[k : k + 5000], strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(some[0], pa.int64()), pa.array(some[1], pa.int64()), pa.array(some[2], pa.string())], ["k1", "k2", "words"])
 
-    by_text = claims.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("k1", "k2", "first", "n", "but", "upto")).alias("ranges"))
+    by_text = materialise(claims.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("k1", "k2", "first", "n", "but", "upto")).alias("ranges")), "claims")
     shown = arrow_map(chosen(docs, by_text), run, "k1 long, k2 long, words string")
     return shown.groupBy("k1", "k2", "words").agg(F.count("*").alias("n")).groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")
 
