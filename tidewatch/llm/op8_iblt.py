@@ -5,7 +5,7 @@ go into a sketch of three subtables of cells, each cell holding how many digests
 their check hashes. Sketches of two versions subtract cell by cell: what both have cancels. Peeling then recovers what differs: a
 cell with one digest (its check agrees) gives it up, it leaves its other cells, and so on until all are
 empty. If cells stay, the pair is sketched again, larger: digests are dealt to as many groups of cells as
-their number needs, and a group that still fails is sketched with four times the cells under other hashes, and again; digests that no such sketch gives up are
+their number needs, and a group that still fails is sketched with twice the cells under other hashes, then with four times those; digests that no such sketch gives up are
 compared as sets, so the difference is always exact. Likeness is
 the Jaccard share that the recovered difference leaves: (union - difference) / union; two texts without paragraphs are alike.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import let, materialise, table, with_text
 
 #: Words of a run; digests that a group of cells should hold on average.
-RUN, LOAD = 16, 6
+RUN, LOAD = 16, 3
 FIRST = -(1 << 63)
 
 
@@ -51,8 +51,8 @@ def minus(a: str, b: str) -> str:
     return f"zip_with({a}, {b}, (s, t) -> named_struct('n', s.n - t.n, 'k', s.k ^ t.k, 'c', s.c ^ t.c))"
 
 
-def peel(cells: str, bits: int, salt: int, rounds: int) -> str:
-    """SQL: how many digests peeling recovers, or null if cells are left."""
+def peel(cells: str, bits: int, salt: int, rounds: str) -> str:
+    """SQL: how many digests peeling recovers, one a round, or null if cells are left."""
     alone = "get(filter(s.cells, x -> abs(x.n) = 1 and x.c = xxhash64(x.k, 7)), 0)"
     gone = f"transform(s.cells, (x, j) -> if({cell('one.k', 'j', bits, salt)}, named_struct('n', x.n - one.n, 'k', x.k ^ one.k, 'c', x.c ^ one.c), x))"
     step = let(alone, "one", f"if(one is null, s, named_struct('cells', {gone}, 'found', s.found + 1))")
@@ -61,13 +61,14 @@ def peel(cells: str, bits: int, salt: int, rounds: int) -> str:
 
 
 def differing(u: str, v: str, bits: int, salt: int) -> str:
-    return peel(minus(sketch(u, bits, salt), sketch(v, bits, salt)), bits, salt, 4 * (1 << bits))
+    """SQL: differing digests by sketches; no more can come out than went in, which bounds the rounds."""
+    return peel(minus(sketch(u, bits, salt), sketch(v, bits, salt)), bits, salt, f"size({u}) + size({v})")
 
 
 def group(u: str, v: str) -> str:
     """SQL: differing digests of one group: larger sketches on failure, at last both sets."""
     as_sets = "size(array_except(u, v)) + size(array_except(v, u))"
-    tries = ", ".join(differing("u", "v", bits, salt) for bits, salt in ((2, 0), (4, 11), (6, 13)))
+    tries = ", ".join(differing("u", "v", bits, salt) for bits, salt in ((2, 0), (3, 11), (5, 13)))
     return let(u, "u", let(v, "v", f"if(size(u) = 0 or size(v) = 0, size(u) + size(v), coalesce({tries}, {as_sets}))"))
 
 
@@ -81,7 +82,7 @@ def difference(u: str, v: str) -> str:
 
 def likeness(u: str, v: str, cells_u: str, cells_v: str) -> str:
     """SQL: Jaccard likeness by peeling; the small sketches that are the fingerprints first, larger ones on failure."""
-    small = f"if(abs(size({u}) - size({v})) > 12, null, {peel(minus(cells_u, cells_v), 2, 0, 12)})"
+    small = f"if(abs(size({u}) - size({v})) > 12, null, {peel(minus(cells_u, cells_v), 2, 0, '12')})"
     share = f"if(size({u}) + size({v}) = 0, 1.0D, (size({u}) + size({v}) - d) / double(size({u}) + size({v}) + d))"
     return let(f"coalesce({small}, {difference(u, v)})", "d", share)
 
