@@ -479,6 +479,34 @@ def test_near_duplicates_of_some_against_all(spark):
                 assert got[a] == got[b]
 
 
+def test_near_duplicates_in_hot_bands(spark, monkeypatch):
+    """Small limits: further star rounds, narrower keys and blocks of large classes give the links of all pairs."""
+    rng = random.Random(5)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for k in range(120):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 6, 9])):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(1000)}"
+        rows.append((k, " ".join(words)))
+    bags = [Counter(tuple(t.split()[k : k + 5]) for k in range(146)) for _, t in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if root[a] != root[b] and sum((bags[a] & bags[b]).values()) >= 0.8 * 146:
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    assert 3 < len(set(root)) < 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans, narrow = [], op4_bagminhash.narrowed
+    monkeypatch.setattr(op4_bagminhash, "BLOCK", 4)
+    monkeypatch.setattr(op4_bagminhash, "HOT", 8)
+    monkeypatch.setattr(op4_bagminhash, "narrowed", lambda left, nodes: spans.append((left.count(), (out := narrow(left, nodes)).count())) or out)
+    got = {r.doc_id: r.class_id for r in op4_bagminhash.classes(docs, rounds=2).collect()}
+    assert got == dict(enumerate(root))
+    assert spans and spans[0][1] != spans[0][0]
+
+
 def test_pages_against_brute_force(spark):
     """The whole table: plain longest common subsequences, neighbours by sorting; equal under any ranges."""
     pages = spark.read.parquet(f"{SF}/pages.parquet").selectExpr("page_id", "url", "html", "'x' as text", "'y' as host", "'z' as key")

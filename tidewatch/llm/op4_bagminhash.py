@@ -11,9 +11,10 @@ Jaccard similarity 0.8 are among them, and so are copies with a few words edited
 
 Exact copies are one node from the start: their word sequences agree in two hashes of 64 bits. Nodes that share a band meet through a pivot of the band (a star, never all pairs);
 pairs whose signatures agree too little to be similar go, the others are verified on their texts, and
-verified links join classes. Rounds with other pivots follow, only between nodes whose classes still
-differ; last, all pairs of different classes that are left in a band are compared by their signatures, in blocks
-of bounded size, and members that agree with one of another class are verified in blocks of their texts; only links leave a task. Classes are connected components, found by label propagation with pointer jumping in tables.
+verified links join classes. Rounds with other pivots follow in bands that are still hot, only between nodes whose classes still
+differ; what is left of those goes by narrower keys. Last, all pairs of different classes that are left in a band are compared by their signatures, in blocks
+of bounded size, and members that agree with one of another class are verified in blocks of their texts; only links leave a task. A class that
+fills a block meets the blocks of other classes, never its own. Classes are connected components, found by label propagation with pointer jumping in tables.
 
 An overlap of 0.8 means a weighted Jaccard similarity of 2/3 at least; with three rows a band and 32 bands such a pair is missed with probability
 1.4e-5, and the filter on signatures loses one with 2e-5.
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.bpe import U, mix
@@ -42,6 +43,8 @@ SIZE = ROWS * BANDS
 AGREE = 45
 #: Nodes of a band that one task compares with each other; a larger band is dealt in blocks of this size.
 BLOCK = 1000
+#: Members from which a band takes more star rounds, and then narrower keys: from there on these are fewer rows than blocks would be.
+HOT = 50 * BLOCK
 #: Bytes of text in a block.
 BLOCK_BYTES = 8 << 20
 SIGNED = "doc_id long, row_key long, node long, other long, bands array<long>, sig binary"
@@ -140,11 +143,40 @@ def agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
 
 def in_blocks(rows: DataFrame, weight: str) -> DataFrame:
-    """Deal the rows of each key in blocks of bounded weight; each pair of blocks (i, j) of a key meets in one group."""
-    sizes = materialise(rows.groupBy("key").agg(F.ceil(F.sum(weight)).cast("int").alias("blocks")), "sizes")
-    dealt = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node", F.lit(5)), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    return dealt.drop("blocks", "other", weight)
+    """Deal the rows (key, node, comp) of each key in blocks of bounded weight; each pair of blocks (i, j) of a key meets in one group.
+    A class that fills a block has blocks of its own, which don't meet each other: a large class is repeated for the blocks of the other classes only."""
+    held = materialise(rows.groupBy("key", "comp").agg(F.sum(weight).alias("w")), "held").withColumn("n", F.when(F.col("w") >= 1, F.ceil("w").cast("int")))
+    before = Window.partitionBy("key").orderBy("comp").rowsBetween(Window.unboundedPreceding, -1)
+    large = held.where("n is not null").withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int"))
+    spans = large.groupBy("key").agg(F.sum("n").cast("int").alias("large"), F.map_from_entries(F.collect_list(F.struct("comp", F.struct("first", "n").alias("span")))).alias("spans"))
+    small = held.groupBy("key").agg(F.ceil(F.sum(F.when(F.col("n").isNull(), F.col("w")).otherwise(0.0))).cast("int").alias("small"))
+    sizes = materialise(small.join(spans, "key", "left").withColumn("large", F.coalesce("large", F.lit(0))), "sizes")
+    dealt = rows.join(sizes, "key").withColumn("span", F.try_element_at("spans", F.col("comp")))
+    turn = F.xxhash64("node", F.lit(5))
+    mine = F.when(F.col("span").isNull(), F.pmod(turn, F.col("small"))).otherwise(F.col("small") + F.col("span.first") + F.pmod(turn, F.col("span.n")))
+    dealt = dealt.withColumn("own", mine.cast("int"))
+    others = F.expr("filter(sequence(0, small + large - 1), x -> span is null or x < small + span.first or x >= small + span.first + span.n)")
+    dealt = dealt.withColumn("other", F.explode(others)).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    return dealt.drop("small", "large", "spans", "span", "other", weight)
+
+
+def hot(left: DataFrame) -> DataFrame:
+    """(key) of the bands with more than HOT members."""
+    return left.groupBy("key").count().where(F.col("count") > HOT).select("key")
+
+
+def narrowed(left: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Members (key, node, comp), those of hot bands under narrower keys: the band and two more components. Of the 46 pairs of components outside the
+    band similar texts agree in none with probability 2e-12."""
+    keys = materialise(hot(left), "hot")
+    if keys.isEmpty():
+        return left
+    rows = left.join(keys, "key").join(nodes.select("node", "bands", "sig"), "node").withColumn("at", (F.array_position("bands", F.col("key")) - 1) * ROWS)
+    pairs = F.expr(f"filter(sequence(0, {SIZE // 2 - 1}), p -> 2 * p + 1 < at or 2 * p >= at + {ROWS})")
+    rows = rows.withColumn("p", F.explode(pairs)).select(F.xxhash64("key", "p", F.expr("substring(sig, 2 * p + 1, 2)")).alias("key"), "node", "comp")
+    rows = materialise(rows, "narrow")
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    return materialise(left.join(keys, "key", "left_anti").select("key", "node", "comp").union(rows.join(mixed, "key").select("key", "node", "comp")), "narrowed")
 
 
 def sides(block: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -290,6 +322,7 @@ class Classes:
 
     def finish(self, left: DataFrame) -> None:
         """Compare all members (key, node, comp) of one band that are in different classes, in blocks."""
+        left = narrowed(left, self.nodes)
         near = materialise(likely_members(left, self.nodes), "near")
         if not near.isEmpty():
             members = near.join(left.select("key", "node", "comp"), ["key", "node"])
@@ -297,8 +330,8 @@ class Classes:
             self.join(materialise(links_in_blocks(members, texts, self.threshold), "links"))
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = 1) -> DataFrame:
-    """(doc_id, row_key, class_id): near-duplicate classes, named by their least doc_id."""
+def classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = 4) -> DataFrame:
+    """(doc_id, row_key, class_id): near-duplicate classes, named by their least doc_id. After the first star round only hot bands take more, up to rounds."""
     base = source(docs)
     rows = materialise(signed(base), "signed")
     first = [F.min(F.struct("doc_id", "row_key", "bands", "sig")).alias("r"), F.min("other").alias("lo"), F.max("other").alias("hi")]
@@ -320,10 +353,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = 1) -> D
 
     left = split()
     for r in range(rounds):
-        if left.isEmpty():
+        now = materialise(left.join(hot(left), "key", "left_semi"), "hot") if r else left
+        if now.isEmpty():
             break
-        pivots = materialise(left.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)), "node", "comp")).alias("p")).select("key", F.col("p.node").alias("b"), F.col("p.comp").alias("to")), "pivots")
-        held.link(left.join(pivots, "key").where("comp != to").select(F.col("node").alias("a"), "b"))
+        pivots = materialise(now.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)), "node", "comp")).alias("p")).select("key", F.col("p.node").alias("b"), F.col("p.comp").alias("to")), "pivots")
+        held.link(now.join(pivots, "key").where("comp != to").select(F.col("node").alias("a"), "b"))
         left = split()
     if not left.isEmpty():
         # what stars have not told: every pair of different classes that shares a band
