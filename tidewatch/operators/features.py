@@ -54,9 +54,9 @@ def percent_change(f: str) -> Column:
 
 def robust_z(rows: DataFrame, f: str, code: str = "code", calm: int = 1) -> DataFrame:
     """(x - median) / (1.4826 MAD) over calibration rows; 0 where the MAD is 0."""
-    own = rows.where(F.col(code) == calm).groupBy("session_id").agg(F.median(f).alias("_m"))
-    mad = rows.where(F.col(code) == calm).join(own, "session_id").groupBy("session_id").agg(F.median(F.abs(F.col(f) - F.col("_m"))).alias("_d"))
-    out = rows.join(own, "session_id", "left").join(mad, "session_id", "left")
+    own = F.when(F.col(code) == calm, F.col(f))
+    w = Window.partitionBy("session_id")
+    out = rows.withColumn("_m", F.median(own).over(w)).withColumn("_d", F.median(F.abs(own - F.col("_m"))).over(w))
     z = F.when(F.col("_d") == 0, F.lit(0.0)).otherwise(F.try_divide(F.col(f) - F.col("_m"), 1.4826 * F.col("_d")))
     return out.withColumn(f"{f}_robust", z).drop("_m", "_d")
 
@@ -79,8 +79,13 @@ def phases(marks: DataFrame) -> DataFrame:
 
 
 def in_phases(rows: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Samples with the phase that covers them; sessions equi-join, so the range test is within a session."""
-    return rows.join(bounds, "session_id").where((F.col("t") >= F.col("t0")) & (F.col("t") < F.col("t1")))
+    """Samples with the phase that covers them, by one ordered pass over a session's samples and phases: the last phase begun, if it has not ended. Phases of a session don't overlap; of those that begin together the longest counts."""
+    phase = F.struct(*[c for c in bounds.columns if c != "session_id"])
+    marks = bounds.where("t0 is not null").select("session_id", F.col("t0").cast("double").alias("_at"), phase.alias("_phase"))
+    every = rows.withColumn("_at", F.col("t").cast("double")).unionByName(marks, allowMissingColumns=True)
+    w = Window.partitionBy("session_id").orderBy("_at", F.col("_phase").isNull(), "_phase.t1").rowsBetween(Window.unboundedPreceding, 0)
+    inside = every.withColumn("_in", F.last("_phase", ignorenulls=True).over(w)).where("_phase is null and t < _in.t1")
+    return inside.select(*rows.columns, "_in.*")
 
 
 def effect_size(rows: DataFrame, f: str, code: str = "code", target: int = 2) -> DataFrame:
