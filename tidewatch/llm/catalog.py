@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm.op10_licences import ORACLE as LICENCE_SQL
 from tidewatch.llm.op10_licences import op10_licence_scan
+from tidewatch.llm.op11_variants import op11_spelling_variants
+from tidewatch.llm.op12_chat import op12_chat_format
+from tidewatch.llm.op13_runs import op13_periodic_runs
 from tidewatch.llm.op1_packing import op1_packing
 from tidewatch.llm.op2_substring import ORACLE as SUBSTRING_SQL
 from tidewatch.llm.op2_substring import op2_substring_dedup
@@ -20,7 +23,7 @@ from tidewatch.llm.op8_iblt import op8_fingerprints
 from tidewatch.llm.op9_simple8b import op9_simple8b
 from tidewatch.llm.stages import run
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_bpe_round_trip, op4_near_duplicates, op5_page_text, op6_quality_rules, op7_token_counts, op8_fingerprints, op9_simple8b, op10_licence_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_bpe_round_trip, op4_near_duplicates, op5_page_text, op6_quality_rules, op7_token_counts, op8_fingerprints, op9_simple8b, op10_licence_scan, op11_spelling_variants, op12_chat_format, op13_periodic_runs)}
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
