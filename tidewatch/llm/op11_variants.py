@@ -4,7 +4,7 @@ Two words are near if they differ by exactly one inserted, deleted or replaced c
 edit leaves the first or the last ``L // 2`` code points of the longer word as they are, at the same end of the other: these two long grams, with L and their end, are
 the keys under which words meet, so a word has four (with its own length and, as the shorter one, the next). Keys of one word fall away. The words of a key are indexed
 by their positional bigrams; for each word, the postings of its bigrams, those at the same place of words as long, and at the same or the place before of words one shorter, are
-merged by a heap, and words that come up ``L - 3`` times or more, the overlap that one edit leaves, are compared. Pairs of
+merged by a heap, and words that come up ``L - 3`` times or more, the overlap that one edit leaves, are compared (bigrams of the key count for all, the longest postings are searched instead of merged). Pairs of
 words that share both keys are told under the first.
 
 A key with more than ``BLOCK`` words is dealt to blocks by a hash of the words; blocks meet in pairs, so no task holds more than two blocks of a key, and near pairs alone leave it.
@@ -19,9 +19,10 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,13 +36,15 @@ LEAST_LENGTH, LEAST_COUNT, RATIO = 6, 5, 5
 BLOCK, TOGETHER = 2000, 16 << 20
 PAIRS = "word string, n long, other string, other_n long"
 _letters = re.compile("[a-zÀ-ÿ]+")
-Change = Callable[["int | None", str], str]
+Change = Callable[["int | None", "Counter[str]"], "Iterator[tuple[str, int]]"]
 
 
-def typo(doc_id: int | None, word: str) -> str:
-    """The query's planted slips: one code point of a word goes where 199 divides a checksum."""
-    h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{word}".encode())
-    return word if h % 199 else word[: h % len(word)] + word[h % len(word) + 1 :]
+def typos(doc_id: int | None, words: Counter[str]) -> Iterator[tuple[str, int]]:
+    """The query's planted slips in a text's words: one code point of a word goes where 199 divides a checksum."""
+    begun = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
+    for word, n in words.items():
+        h = zlib.crc32(word.encode(), begun)
+        yield (word if h % 199 else word[: h % len(word)] + word[h % len(word) + 1 :]), n
 
 
 def word_counts(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count: int = LEAST_COUNT, change: Change | None = None) -> DataFrame:
@@ -55,8 +58,8 @@ def word_counts(docs: DataFrame, least_length: int = LEAST_LENGTH, least_count:
                 if change is None:
                     total.update(words)
                     continue
-                for word, n in Counter(words).items():
-                    total[change(doc, word)] += n
+                for word, n in change(doc, Counter(words)):
+                    total[word] += n
             words = [w for w in total if len(w) >= least_length]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([total[w] for w in words], pa.int64())], ["word", "n"])
 
@@ -71,26 +74,42 @@ def near(a: str, b: str) -> bool:
     return a[k + 1 :] == b[k + (len(a) == len(b)) :] and a != b
 
 
+def merged(lists: list[list[list[int]]], bound: int) -> Iterator[int]:
+    """Members that the postings of ``bound`` grams or more hold, given each gram's ascending lists. A member of that many is in one of all but the ``bound - 1`` longest at least, so those alone are merged; the others are searched."""
+    lists.sort(key=lambda some: sum(map(len, some)))
+    rest = len(lists) - bound + 1
+    for member, same in groupby(heapq.merge(*(x for some in lists[:rest] for x in some))):
+        count = sum(1 for _ in same)
+        for some in lists[rest:]:
+            count += any((at := bisect_left(x, member)) < len(x) and x[at] == member for x in some)
+        if count >= bound:
+            yield member
+
+
 def members_near(members: list[tuple[str, int, int]], longer: int, end: str, apart: bool) -> Iterator[tuple[int, int]]:
-    """Index pairs of near members of a key: the first of length ``longer``, the second as long or one shorter. ``apart``: members of different blocks only."""
-    postings: dict[tuple[str, int, int], list[int]] = defaultdict(list)
+    """Index pairs of near members of a key: the first of length ``longer``, the second as long or one shorter. ``apart``: members of different blocks only.
+
+    All members share the bigrams inside the key, ``longer // 2 - 1`` of them, so the index holds the others, and ``longer - longer // 2 - 2`` of these must agree.
+    """
+    half = longer // 2
+    grams, bound = longer - half, longer - half - 2
+    postings: dict[tuple[int, str, bool], list[int]] = defaultdict(list)
+    own = []
     for j, (word, _, _) in enumerate(members):
-        for p in range(len(word) - 1):
-            postings[word[p : p + 2], p, len(word)].append(j)  # ascending: j grows
-    half, bound = longer // 2, longer - 3
+        short = len(word) < longer
+        first = half - 1 if end == "a" else 0
+        own.append([(p, word[p : p + 2]) for p in range(first, first + grams - short)])
+        for p, gram in own[j]:
+            postings[p, gram, short].append(j)  # ascending: j grows
     for j, (word, _, block) in enumerate(members):
         if len(word) != longer:
             continue
-        lists = []
-        for p in range(longer - 1):
-            gram = word[p : p + 2]
-            lists.append(postings[gram, p, longer])
-            lists += [x for q in (p, p - 1) if (x := postings.get((gram, q, longer - 1)))]
-        for k, same in groupby(heapq.merge(*lists)):
-            if k == j or sum(1 for _ in same) < bound:
-                continue
+        same = [[postings[p, gram, False]] for p, gram in own[j]]
+        shorter = [[x for q in (p, p - 1) if (x := postings.get((q, gram, True)))] for p, gram in own[j]]
+        # words under five code points may share no gram at all
+        for k in chain(merged(same, bound), merged(shorter, bound)) if bound > 0 else range(len(members)):
             other, _, where = members[k]
-            if (len(other) == longer and k < j) or (apart and where == block):
+            if k == j or (len(other) == longer and k < j) or (apart and where == block):
                 continue
             if end == "z" and word[:half] == other[:half]:
                 continue  # told under the first key
@@ -153,4 +172,4 @@ def variant_groups(words: DataFrame, ratio: int = RATIO, block: int = BLOCK) ->
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants among the words of all documents, after the planted slips."""
-    return variant_groups(word_counts(table(spark, sf_dir, "documents"), change=typo))
+    return variant_groups(word_counts(table(spark, sf_dir, "documents"), change=typos))
