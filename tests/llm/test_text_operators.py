@@ -223,3 +223,35 @@ def test_grids_come_in_slices(monkeypatch):
 def test_empty_tables(spark):
     assert op13_runs.collapse_runs(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert op11_variants.word_counts(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+# --- earlier operators: cases that were wrong
+
+
+def test_texts_without_a_common_run_are_no_copies(spark):
+    """Words by a Thue-Morse pattern and by its complement: sums over places agree for any base modulo 2^64."""
+    from tidewatch.llm import op4_bagminhash
+
+    bit = lambda k: k.bit_count() & 1
+    text = lambda flip: " ".join(("alpha", "beta")[bit(k // 5) ^ flip] if k % 5 == 0 else f"w{k}" for k in range(5120))
+    rows = spark.createDataFrame([(1, text(0)), (2, text(1)), (3, text(0).replace(" ", "\n"))], "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.class_size) for r in op4_bagminhash.classes(rows).collect()}
+    assert got == {1: (1, 2), 2: (2, 1), 3: (1, 2)}
+
+
+def test_pre_split_is_the_librarys_for_all_code_points():
+    from tokenizers import Tokenizer
+
+    from tidewatch.llm import op3_bpe
+
+    path = P.path("byte_bpe_50k.json")
+    library, codec = Tokenizer.from_file(path).pre_tokenizer, op3_bpe.codec(path)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    probe = lambda c: f"a{c}b 1{c}2 {c}'s"
+    for k in range(0, len(points), 1000):
+        text = "\n".join(map(probe, points[k : k + 1000]))
+        assert codec.split(text) == [text[a:b] for _, (a, b) in library.pre_tokenize_str(text)]
+    old = [c for c in points if c.isascii() or not codec.later.search(c)]
+    for k in range(0, len(old), 1000):  # by the pattern alone
+        text = "\n".join(map(probe, old[k : k + 1000]))
+        assert codec.plain(text) == [text[a:b] for _, (a, b) in library.pre_tokenize_str(text)]

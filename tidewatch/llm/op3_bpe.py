@@ -1,6 +1,6 @@
 """BPE encoding and decoding by a tokenization automaton (see bpe.py).
 
-Texts are split at added tokens and then by the public pre-split pattern; each distinct piece is
+Texts are split at added tokens and then by the public pre-split pattern (by the library where code points are newer than Unicode 3.2, as their classes depend on the module's version); each distinct piece is
 encoded once per worker by the tables of the compiled automaton, and decoded by emitting the labels of its
 arcs. Nothing is shuffled: a document needs only itself.
 
@@ -11,8 +11,11 @@ rows and other columns are not read. A long text is one row of one task; its wor
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+import unicodedata
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import pyarrow as pa
 import regex
@@ -26,16 +29,35 @@ MEMO = 300_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+def pre_tokenizer(path: str) -> Callable[[str], list]:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+
+
+@lru_cache(maxsize=1)
+def later() -> re.Pattern[str]:
+    """Code points that Unicode 3.2 had not assigned: modules of different Unicode versions may class them differently."""
+    known = lambda c: unicodedata.ucd_3_2_0.category(chr(c)) not in ("Cn", "Cs")
+    spans = [(run[0], run[-1]) for on, group in groupby(range(0x110000), known) if on for run in [list(group)]]
+    return re.compile("[^" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in spans) + "]")
+
+
 class Codec:
-    """Encodes and decodes whole texts with one vocabulary file."""
+    """Encodes and decodes whole texts with one vocabulary file. A text with code points that are newer than Unicode 3.2 is pre-split by the library itself, others by the same pattern."""
 
     def __init__(self, path: str):
         self.vocabulary = ByteVocabulary(path)
-        self.split = regex.compile(PIECES).findall
+        self.plain, self.later, self.library = regex.compile(PIECES).findall, later(), pre_tokenizer(path)
         added = self.vocabulary.added
         self.added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.memo: dict[str, tuple[str, bytes]] = {}
 
+    def split(self, text: str) -> list[str]:
+        if text.isascii() or not self.later.search(text):
+            return self.plain(text)
+        return [text[a:b] for _, (a, b) in self.library(text)]
+
     def pieces(self, text: str) -> list[str]:
         if self.added is None or not self.added.search(text):
             return self.split(text)

@@ -9,7 +9,7 @@ are drawn up to a time by which all components are met; texts where one is not g
 Two documents are similar if they have at least 0.8 of the runs of the larger one in common, as multisets. All pairs of weighted
 Jaccard similarity 0.8 are among them, and so are copies with a few words edited: an edit changes up to five runs of both sides.
 
-Exact copies are one node from the start: their word sequences agree in two hashes of 64 bits. Nodes that share a band meet through a pivot of the band (a star, never all pairs);
+Exact copies are one node from the start: their words, joined, agree in a hash of 128 bits. Nodes that share a band meet through a pivot of the band (a star, never all pairs);
 pairs whose signatures agree too little to be similar go, the others are verified on their texts, and
 verified links join classes. Rounds with other pivots follow in bands that are still hot, only between nodes whose classes still
 differ; what is left of those goes by narrower keys. Last, all pairs of different classes that are left in a band are compared by their signatures, in blocks
@@ -29,6 +29,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +105,13 @@ def signatures(owner: np.ndarray, runs: np.ndarray, weight: np.ndarray, texts: i
     return out
 
 
+def copies(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Two halves of a 128-bit hash of each text's words, joined by spaces. It isn't linear in the words: sums over places, as for runs, can agree for long unlike texts under any base."""
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], w.ends]), pa.int32()), w.flat), " ")
+    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t) for t in joined.to_pylist()), U).reshape(-1, 2)
+    return digests[:, 0].copy(), digests[:, 1].copy()
+
+
 def signed(docs: DataFrame) -> DataFrame:
     """(doc_id, row_key, node, other, bands, sig) of each document: node and other are two hashes of its words; no bands where there are none."""
 
@@ -110,7 +119,7 @@ def signed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             w = Words(batch.column("text"))
             owner, runs, weight = bags(w)
-            whole, other = (mix(w.runs(b, w.ends - w.sizes, w.sizes) + w.sizes.astype(U)) for b in (B2, B1))
+            whole, other = copies(w)
             sig = signatures(owner, runs, weight, batch.num_rows)
             powers = np.array([pow(int(B1), k, 1 << 64) for k in range(ROWS)], U)
             keys = mix((sig.reshape(-1, BANDS, ROWS) * powers).sum(axis=2, dtype=U) + np.arange(BANDS, dtype=U) * B2)
