@@ -382,11 +382,6 @@ def _judged(scored: DataFrame) -> DataFrame:
     return X.metrics(scored.withColumn("p", (F.col("score") >= 0.5).cast("int")), ["fold"])
 
 
-@query()
-def loso_boosting(spark, sf_dir):
-    return _judged(M.held_out(T.features(spark, sf_dir, len(ALL)), ALL, "boosting"))
-
-
 @query()
 def loso_forest(spark, sf_dir):
     return _judged(M.held_out(T.features(spark, sf_dir, len(ALL)), ALL, "forest"))
@@ -413,4 +408,4 @@ def manifest_counts(spark, sf_dir):
     return M.manifest(T.features(spark, sf_dir), "fold", "target").withColumn("share", F.round("share", 6))
 
 
-from tidewatch.plans import builder, relational, reports  # noqa: E402, F401, I001  these register their queries
+from tidewatch.plans import builder, relational, reports, trees  # noqa: E402, F401, I001  these register their queries
