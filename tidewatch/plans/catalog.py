@@ -408,4 +408,4 @@ def manifest_counts(spark, sf_dir):
     return M.manifest(T.features(spark, sf_dir), "fold", "target").withColumn("share", F.round("share", 6))
 
 
-from tidewatch.plans import builder, relational, reports, trees  # noqa: E402, F401, I001  these register their queries
+from tidewatch.plans import builder, relational, reports, stored, trees  # noqa: E402, F401, I001  these register their queries

@@ -42,17 +42,19 @@ def features(spark: SparkSession, sf_dir: str, n: int = 8, folds: int = 14) -> D
 
 
 def device_csv(spark: SparkSession, path: str, value_col: str, time_col: str = "LocalTimestamp") -> DataFrame:
-    """Irregular device series from CSV: first row of each timestamp, seconds since the start, explicit types."""
-    raw = spark.read.option("header", True).csv(path)
-    rows = raw.select(F.input_file_name().alias("session_id"), F.col(time_col).cast("double").alias("ts"), F.col(value_col).cast("double").alias("value"), F.monotonically_increasing_id().alias("line"))
+    """Irregular device series from CSV: first row of each timestamp, seconds since the start. Fields that are no numbers are null, and rows without a time go; a file with other columns before, between or after keeps its own order."""
+    head = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    number = lambda c: F.expr(f"try_cast(trim(`{c}`) as double)")
+    rows = head.select(F.col("_metadata.file_path").alias("session_id"), number(time_col).alias("ts"), number(value_col).alias("value"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("line"))
     first = Window.partitionBy("session_id", "ts").orderBy("line")
     rows = rows.where("ts is not null").withColumn("k", F.row_number().over(first)).where("k = 1")
-    return rows.withColumn("t", F.col("ts") - F.min("ts").over(Window.partitionBy("session_id"))).select("session_id", "t", "ts", "value")
+    start = rows.groupBy("session_id").agg(F.min("ts").alias("t0"))
+    return rows.join(start, "session_id").select("session_id", (F.col("ts") - F.col("t0")).alias("t"), "ts", "value")
 
 
-def sampling_rate(rows: DataFrame, time_col: str = "t") -> DataFrame:
-    """Estimated rate of each session: intervals over their total duration."""
-    return rows.groupBy("session_id").agg(F.try_divide(F.count(time_col) - 1, F.max(time_col) - F.min(time_col)).alias("fs"))
+def sampling_rate(rows: DataFrame, time_col: str = "t", intervals: bool = True) -> DataFrame:
+    """Estimated rate of each session: intervals over their total duration, or all samples over it."""
+    return rows.groupBy("session_id").agg(F.try_divide(F.count(time_col) - (1 if intervals else 0), F.max(time_col) - F.min(time_col)).alias("fs"))
 
 
 #: One recording: a channel of a session as an array, for ingest from files of whole recordings.
