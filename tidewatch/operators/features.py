@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -141,11 +145,73 @@ def auc(rows: DataFrame, by: list[str], y: str = "y", score: str = "score") -> D
     return g.select(*by, F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * n).alias("auc"))
 
 
+#: Fixed values of the two-rule classifier: intervals below 800 ms, more than 3.5 responses a minute.
 def rule_threshold(rr: str, scr: str, rr_below: float = 800.0, scr_above: float = 3.5) -> Column:
     """Both conditions; a missing value makes its condition false."""
     return (F.coalesce(F.col(rr) < rr_below, F.lit(False)) & F.coalesce(F.col(scr) > scr_above, F.lit(False))).cast("int")
 
 
+@dataclass(frozen=True)
+class Rule:
+    """Points for a feature that lies below or above a limit, an SQL expression of its baseline b."""
+
+    feature: str
+    side: str
+    limit: str
+    points: int
+
+
+#: The points of the weighted scoring, and the score from which a window is a target.
+WEIGHTED, LEAST_SCORE = (
+    Rule("hrv_time_mean_hr", "<", "b - 50", 20), Rule("hrv_time_rmssd", "<", "0.7 * b", 10), Rule("eda_scr_rate", ">", "b + 1.5", 20), Rule("eda_phasic_std", ">", "1.5 * b", 20), Rule("acc_activity_intensity", ">", "1.3 * b", 15), Rule("temp_mean", "<", "b - 0.3", 15),
+), 35
+
+
+def scoring_baseline(rows: DataFrame, rules: Sequence[Rule] = WEIGHTED, target: str = "y") -> DataFrame:
+    """One row: the mean of each rule's feature over all training rows that are no target. Features that rows lack are left out."""
+    return rows.where(F.col(target) == 0).agg(*[F.avg(r.feature).alias(f"_b_{r.feature}") for r in rules if r.feature in rows.columns] or [F.count("*").alias("_n")])
+
+
+def weighted_scores(rows: DataFrame, base: DataFrame, rules: Sequence[Rule] = WEIGHTED, least: int = LEAST_SCORE) -> DataFrame:
+    """Rows with points, the sum of the rules that hold against the baseline, and p, whether they reach the limit. A missing value or baseline makes its rule false."""
+    held = rows.crossJoin(F.broadcast(base))  # one row
+    tests = [(F.expr(f"`{r.feature}` {r.side} {re.sub(r'[b]', f'`_b_{r.feature}`', r.limit)}"), r.points) for r in rules if f"_b_{r.feature}" in base.columns]
+    points = sum((F.when(F.coalesce(t, F.lit(False)), F.lit(k)).otherwise(F.lit(0)) for t, k in tests), F.lit(0))
+    return held.withColumn("points", points).withColumn("p", (F.col("points") >= least).cast("int")).drop(*base.columns)
+
+
+def class_counts(rows: DataFrame, label: str, names: dict[int, str], target: int, normalised: Sequence[str]) -> DataFrame:
+    """(session_id, a count for each class, other, total, no_baseline, all_null): windows by class; the first class named is the baseline; all_null counts windows without any normalised value."""
+    code = F.col(label)
+    first = next(iter(names))
+    none = F.lit(len(normalised) > 0)
+    for c in normalised:
+        none = none & F.col(c).isNull()
+    return rows.groupBy("session_id").agg(
+        *[F.count_if(code == k).alias(name) for k, name in names.items()], F.count_if(code.isin([k for k in names if k != target])).alias("other"), F.count("*").alias("total"),
+        (F.count_if(code == first) == 0).alias("no_baseline"), F.count_if(none).alias("all_null"),
+    )
+
+
+def phase_table(cleaned: DataFrame, bounds: DataFrame, rates: dict[str, float], low: float = 40.0, high: float = 180.0) -> DataFrame:
+    """(session_id, phase, t0, t1, tonic_mean, phasic_std, hr_mean, hr_std, rmssd, temp_mean, acc_std) of cleaned rows (session_id, kind, i, v0..) in phases [t0, t1) of their session.
+
+    Rates a minute lie in the middle of the interval between two beats, within the plausible range; successive differences are of intervals whose beats all lie in the phase, more than two of them.
+    Phases of a session are few; rows meet them by session.
+    """
+    fs = F.coalesce(*[F.when(F.col("kind") == k, F.lit(float(v))) for k, v in rates.items()])
+    rows = cleaned.where(F.col("kind").isin(*rates)).withColumn("t", F.col("i") / fs)
+    before, before2 = F.col("v0") / rates["beat"], F.col("v1") / rates["beat"]
+    held = rows.join(bounds, "session_id").where((F.col("t") >= F.col("t0")) & ((F.col("t") < F.col("t1")) | ((F.col("kind") == "beat") & ((F.col("t") + before) / 2 < F.col("t1")))))
+    of = lambda kind, k: F.when((F.col("kind") == kind) & (F.col("t") < F.col("t1")), F.col(f"v{k}"))
+    middle, rate = (F.col("t") + before) / 2, F.try_divide(F.lit(60.0), F.col("t") - before)
+    hr = F.when((F.col("kind") == "beat") & (middle >= F.col("t0")) & (middle < F.col("t1")) & rate.between(low, high), rate)
+    change = F.when((F.col("kind") == "beat") & (F.col("t") < F.col("t1")) & (before2 >= F.col("t0")), 1000.0 * ((F.col("t") - before) - (before - before2)))
+    return held.groupBy("session_id", "phase", "t0", "t1").agg(
+        F.avg(of("eda", 1)).alias("tonic_mean"), F.stddev_pop(of("eda", 2)).alias("phasic_std"), F.avg(hr).alias("hr_mean"), F.stddev_pop(hr).alias("hr_std"), F.sqrt(F.avg(change * change)).alias("rmssd"), F.avg(of("temp", 0)).alias("temp_mean"), F.stddev_pop(of("acc", 3)).alias("acc_std"),
+    )
+
+
 def rule_score(tests: list[tuple[Column, int]], least: int) -> Column:
     """Sum of the points whose test holds, against a limit."""
     total = sum((F.when(F.coalesce(t, F.lit(False)), F.lit(k)).otherwise(F.lit(0)) for t, k in tests), F.lit(0))

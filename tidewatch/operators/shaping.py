@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.sources.scratch import written
+
 
 def chained_left(base: DataFrame, others: list[DataFrame], on: list[str]) -> DataFrame:
     """base with each of the others joined on its keys; rows of base always stay."""
@@ -70,6 +72,18 @@ def first_rows(rows: DataFrame, order: list[Column], k: int, by: list[str] | Non
     return rows.orderBy(*order).limit(k).withColumn("place", F.row_number().over(Window.orderBy(*order)))
 
 
+def ranked(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Rows with their place in an order of all rows: range partitions are ordered apart, and each adds the rows of those before it."""
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    keys = [f"_k{k}" for k in range(len(order))]
+    dealt = written(rows.select("*", *[c.alias(k) for c, k in zip(order, keys, strict=True)]).repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()), "ranked")
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))  # one row for each range
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) + F.col("_before")
+    return dealt.join(F.broadcast(before), "_part").withColumn(name, place.cast("long")).drop("_part", "_before", *keys)
+
+
 def natural(name: str) -> list[Column]:
     """Sort keys under which S2 comes before S10."""
     return [F.regexp_extract(name, r"^(\D*)", 1), F.regexp_extract(name, r"(\d+)", 1).cast("long"), F.col(name)]

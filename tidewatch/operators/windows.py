@@ -54,6 +54,11 @@ def difference(value: str = "value") -> Column:
     return F.col(value) - F.coalesce(F.lag(value).over(order()), F.col(value))
 
 
+def jerk(fs: float, axes: tuple[str, ...] = ("x", "y", "z")) -> Column:
+    """Length of the axes' backward difference a second; the first is 0. A turn at equal magnitude has jerk."""
+    return F.sqrt(sum((difference(a) * difference(a) for a in axes), F.lit(0.0))) * float(fs)
+
+
 def gradient(value: str = "value") -> Column:
     """Central difference, one-sided at both ends."""
     before, after, x = F.lag(value).over(order()), F.lead(value).over(order()), F.col(value)

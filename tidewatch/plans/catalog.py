@@ -152,12 +152,12 @@ def hrv_time(spark, sf_dir):
     return rows.groupBy("session_id", F.col("window").alias("win")).agg(*X.rounded(X.heart())).where("n_beats >= 2")
 
 
-@query(f"""WITH {A}, m AS (SELECT *, sqrt(x*x + y*y + z*z) AS mag FROM a), j AS (SELECT *, abs(mag - coalesce(lag(mag) {O}, mag)) AS jerk, i // 50 AS win FROM m)
+@query(f"""WITH {A}, m AS (SELECT *, sqrt(x*x + y*y + z*z) AS mag FROM a), j AS (SELECT *, 2 * sqrt(power(x - coalesce(lag(x) {O}, x), 2) + power(y - coalesce(lag(y) {O}, y), 2) + power(z - coalesce(lag(z) {O}, z), 2)) AS jerk, i // 50 AS win FROM m)
 SELECT session_id, win, round(stddev_pop(x), 5) AS x_std, round(stddev_pop(y), 5) AS y_std, round(stddev_pop(z), 5) AS z_std, round(avg(mag), 5) AS mag_mean, round(stddev_pop(mag), 5) AS mag_std, round(max(mag), 5) AS mag_max, round(avg(abs(x) + abs(y) + abs(z)), 5) AS sma, round(avg(mag * mag), 5) AS energy,
-round(avg(jerk), 5) AS jerk_mean, round(stddev_pop(jerk), 5) AS jerk_std, round(quantile_cont(jerk, 0.95), 5) AS jerk_p95, quantile_cont(jerk, 0.95) > 35 AS corrupted FROM j GROUP BY ALL HAVING count(*) = 50""")
+round(avg(jerk), 5) AS jerk_mean, round(stddev_pop(jerk), 5) AS jerk_std, round(quantile_cont(jerk, 0.95), 5) AS jerk_p95, quantile_cont(jerk, 0.95) > 75 AS corrupted FROM j GROUP BY ALL HAVING count(*) = 50""")
 def acc_features(spark, sf_dir):
-    rows = W.tumbling(T.axes(spark, sf_dir), 50).withColumn("mag", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))).withColumn("jerk", F.abs(W.difference("mag")))
-    g = rows.groupBy("session_id", F.col("window").alias("win")).agg(F.count("*").alias("n"), *X.rounded(X.motion(), 5), (F.percentile("jerk", F.lit(0.95)) > 35).alias("corrupted"))
+    rows = W.tumbling(T.axes(spark, sf_dir), 50).withColumn("mag", F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))).withColumn("jerk", W.jerk(2))
+    g = rows.groupBy("session_id", F.col("window").alias("win")).agg(F.count("*").alias("n"), *X.rounded(X.motion(), 5), (F.percentile("jerk", F.lit(0.95)) > 75).alias("corrupted"))
     return g.where("n = 50").drop("n")
 
 
@@ -255,6 +255,27 @@ def anova_rank(spark, sf_dir):
 LONG_ALL = " UNION ALL ".join(f"SELECT row_id, {k} AS k, '{a}' AS feature, target, {a} AS v FROM e" for k, a in enumerate(ALL))
 
 
+SCORING = {"rr": ("mean", "<", "b - 5", 20), "rmssd": ("std", "<", "0.7 * b", 10), "scr": ("slope", ">", "b + 1.5", 20), "phasic": ("range", ">", "1.5 * b", 20), "activity": ("max", ">", "1.3 * b", 15), "temp": ("min", "<", "b - 0.3", 15)}
+POINTS = " + ".join(f"CASE WHEN {f} {op} {limit.replace('b', 'b_' + name)} THEN {points} ELSE 0 END" for name, (f, op, limit, points) in SCORING.items())
+
+
+@query(f"{WINDOW_SQL}, held AS (SELECT DISTINCT session_id FROM s ORDER BY session_id DESC LIMIT 2), t AS (SELECT {', '.join(f'avg({f}) AS b_{name}' for name, (f, *_) in SCORING.items())} FROM f WHERE label <> 2 AND session_id NOT IN (SELECT session_id FROM held)), p AS (SELECT f.session_id, f.win, {POINTS} AS points, label FROM f, t WHERE session_id IN (SELECT session_id FROM held)) SELECT session_id, win, points::INT AS points, (points >= 35)::INT AS p, (label = 2)::INT AS y FROM p")
+def weighted_scoring(spark, sf_dir):
+    """The points of the two last sessions' windows against the mean of the other sessions' windows that are no target."""
+    rows = _windows(spark, sf_dir).withColumn("y", (F.col("label") == 2).cast("int"))
+    held = [r[0] for r in rows.select("session_id").distinct().orderBy(F.desc("session_id")).limit(2).collect()]
+    rules = [X.Rule(f, op, limit, points) for f, op, limit, points in SCORING.values()]
+    base = X.scoring_baseline(rows.where(~F.col("session_id").isin(held)), rules)
+    return X.weighted_scores(rows.where(F.col("session_id").isin(held)), base, rules, 35).select("session_id", "win", "points", "p", "y")
+
+
+@query(f"{WINDOW_SQL}, z AS (SELECT f.*, CASE WHEN bm IS NULL THEN NULL WHEN coalesce(bs, 0) = 0 THEN 0 ELSE (mean - bm) / bs END AS mean_z FROM f LEFT JOIN b USING (session_id)) SELECT session_id, count(*) FILTER (label = 1) AS baseline, count(*) FILTER (label = 2) AS target, count(*) FILTER (label = 3) AS amusement, count(*) FILTER (label = 4) AS meditation, count(*) FILTER (label IN (1, 3, 4)) AS other, count(*) AS total, count(*) FILTER (label = 1) = 0 AS no_baseline, count(*) FILTER (mean_z IS NULL) AS all_null FROM z GROUP BY 1")
+def baseline_check(spark, sf_dir):
+    """Windows of each session by class, whether it has a baseline, and how many of its windows lack all normalised values."""
+    rows = X.baseline(_windows(spark, sf_dir), ["mean"], "label").withColumn("mean_z", X.z_score("mean"))
+    return X.class_counts(rows, "label", {1: "baseline", 2: "target", 3: "amusement", 4: "meditation"}, target=2, normalised=["mean_z"])
+
+
 @query(f"WITH {E_ALL}, l AS ({LONG_ALL}), p AS (SELECT x.feature AS a, y.feature AS b, round(corr(x.v, y.v), 6) AS r FROM l x JOIN l y ON x.row_id = y.row_id AND x.k < y.k GROUP BY ALL) SELECT * FROM p WHERE abs(r) > 0.05")
 def correlated_pairs_all(spark, sf_dir):
     return X.correlations(T.features(spark, sf_dir, len(ALL)), ALL).select("a", "b", r("r", "r")).where("abs(r) > 0.05")
@@ -308,10 +329,11 @@ def rule_classifiers(spark, sf_dir):
     return w.select("session_id", "win", X.rule_threshold("mean", "std", 75.0, 20.0).alias("threshold_rule"), score.alias("score_rule"))
 
 
-@query(f"WITH {E}, l AS (SELECT fold, 'f0' AS feature, avg(f0) AS m FROM e GROUP BY 1 UNION ALL SELECT fold, 'f1', avg(f1) FROM e GROUP BY 1 UNION ALL SELECT fold, 'f2', avg(f2) FROM e GROUP BY 1 UNION ALL SELECT fold, 'f3', avg(f3) FROM e GROUP BY 1), k AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY round(m, 9) DESC, feature) AS rn FROM l) SELECT feature, count(*) AS picked, round(count(*)::DOUBLE / 14, 6) AS stability FROM k WHERE rn <= 2 GROUP BY 1")
+@query(f"WITH {E_ALL}, l AS ({' UNION ALL '.join(f"SELECT fold, '{f}' AS feature, avg({f}) AS m FROM e GROUP BY 1" for f in ALL)}), k AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY round(m, 9) DESC, feature) AS rn FROM l) SELECT feature, count(*) AS picked, round(count(*)::DOUBLE / 14, 6) AS stability FROM k WHERE rn <= 15 GROUP BY 1")
 def topk_stability(spark, sf_dir):
-    g = T.features(spark, sf_dir).groupBy("fold").agg(*[F.avg(f).alias(f) for f in NAMES[:4]]).unpivot("fold", NAMES[:4], "feature", "m")
-    top = g.withColumn("rn", F.row_number().over(Window.partitionBy("fold").orderBy(F.desc(F.round("m", 9)), "feature"))).where("rn <= 2")
+    """Share of folds in which a feature is among the fifteen of greatest mean."""
+    g = T.features(spark, sf_dir, len(ALL)).groupBy("fold").agg(*[F.avg(f).alias(f) for f in ALL]).unpivot("fold", ALL, "feature", "m")
+    top = g.withColumn("rn", F.row_number().over(Window.partitionBy("fold").orderBy(F.desc(F.round("m", 9)), "feature"))).where("rn <= 15")
     return top.groupBy("feature").agg(F.count("*").alias("picked")).withColumn("stability", F.round(F.col("picked") / 14, 6))
 
 

@@ -9,7 +9,7 @@ from tidewatch.operators import features as X
 from tidewatch.operators import reports as P
 from tidewatch.operators import shaping as H
 from tidewatch.operators import windows as W
-from tidewatch.plans.registry import E, NAMES, O, A, S, query, r
+from tidewatch.plans.registry import ALL, E, E_ALL, O, A, S, query, r
 from tidewatch.sources import tables as T
 
 WIN = f"{S}, w AS (SELECT *, i // 10 AS win FROM s)"
@@ -88,10 +88,10 @@ def prefixed_buckets(spark, sf_dir):
     return H.bucketed(rows, ["session_id", "i"], ["value"], {"value": r(F.coalesce(X.z_score("value"), F.lit(0.0)), digits=5)}).withColumn("raw_value", F.round("raw_value", 6))
 
 
-@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey % 7 = 0")
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def column_selection(spark, sf_dir):
     """A duplicate column, columns to drop, and an order of columns."""
-    rows = T.scan(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").withColumn("again", F.col("o_custkey"))
+    rows = T.scan(spark, sf_dir, "orders").withColumn("again", F.col("o_custkey"))
     wanted = ["o_orderkey", "o_custkey", "o_totalprice"]
     return rows.drop("again").select(*wanted)
 
@@ -136,8 +136,8 @@ def head_sorted(spark, sf_dir):
 def session_orders(spark, sf_dir):
     """Session names in text order, where S10 comes before S2, and in natural order."""
     n = T.samples(spark, sf_dir).select(F.concat(F.lit("S"), F.col("session_id")).alias("name")).distinct()
-    place = lambda *by: F.row_number().over(Window.orderBy(*by)).cast("long")  # noqa: E731  over names, not samples
-    return n.select("name", place("name").alias("as_text"), place(*H.natural("name")).alias("natural"))
+    return H.ranked(H.ranked(n, [F.col("name")], "as_text"), H.natural("name"), "natural")
+
 
 
 @query(f"WITH {S}, m AS (SELECT session_id, max(value) AS top FROM s GROUP BY 1) SELECT session_id, min(i) AS i, round(max(value), 6) AS value FROM s JOIN m USING (session_id) WHERE value = top GROUP BY 1")
@@ -186,11 +186,11 @@ def array_functions(spark, sf_dir):
     )
 
 
-@query("SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS seconds, round(epoch(o_orderdate) / 60, 3) AS minutes, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS iso, (date_diff('day', DATE '1995-01-01', o_orderdate::DATE))::INT AS days FROM orders WHERE o_orderkey % 11 = 0")
+@query("SELECT o_orderkey, epoch(o_orderdate)::BIGINT AS seconds, round(epoch(o_orderdate) / 60, 3) AS minutes, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS iso, (date_diff('day', DATE '1995-01-01', o_orderdate::DATE))::INT AS days FROM orders")
 def time_functions(spark, sf_dir):
     d = F.col("o_orderdate").cast("timestamp_ntz")
     s = T.seconds("o_orderdate")
-    return T.scan(spark, sf_dir, "orders").where("o_orderkey % 11 = 0").select("o_orderkey", s.cast("long").alias("seconds"), F.round(s / 60, 3).alias("minutes"), F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.datediff(d, F.lit("1995-01-01").cast("date")).alias("days"))
+    return T.scan(spark, sf_dir, "orders").select("o_orderkey", s.cast("long").alias("seconds"), F.round(s / 60, 3).alias("minutes"), F.date_format(d, "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.datediff(d, F.lit("1995-01-01").cast("date")).alias("days"))
 
 
 @query(f"WITH {S}, n AS (SELECT session_id, count(*) AS n FROM s GROUP BY 1), w AS (SELECT s.*, k AS win FROM s JOIN n USING (session_id), unnest(range(greatest(0, ceil((i - 19) / 10.0)::BIGINT), least(i // 10 + 1, (n - 20) // 10))) u(k)) SELECT session_id, win, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM w GROUP BY ALL")
@@ -236,13 +236,16 @@ def guarded_pearson(spark, sf_dir):
     return e.groupBy("fold").agg(r(P.guarded_correlation("f0", "f1"), "r")).select(F.lit("f0").alias("a"), F.lit("f1").alias("b"), "r", "fold")
 
 
-@query(f"WITH {E}, k AS (SELECT DISTINCT a, b, r FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM e" for k, a in enumerate(NAMES) for b in NAMES[k + 1 :]) + ") WHERE abs(r) > 0.05), f AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, round(avg({f}), 9) AS f FROM e" for f in NAMES) + """)),
+LONG_ALL = " UNION ALL ".join(f"SELECT row_id, {k} AS k, '{a}' AS feature, {a} AS v FROM e" for k, a in enumerate(ALL))
+
+
+@query(f"WITH {E_ALL}, l AS ({LONG_ALL}), k AS (SELECT x.feature AS a, y.feature AS b, round(corr(x.v, y.v), 9) AS r FROM l x JOIN l y ON x.row_id = y.row_id AND x.k < y.k GROUP BY ALL HAVING abs(r) > 0.12), f AS (SELECT feature, round(avg(v), 9) AS f FROM l GROUP BY 1)," + """
  o AS (SELECT *, row_number() OVER (ORDER BY abs(r) DESC, a, b) AS k FROM k), p AS (SELECT o.*, fa.f AS fa, fb.f AS fb FROM o JOIN f fa ON fa.feature = a JOIN f fb ON fb.feature = b),
  z AS (WITH RECURSIVE step(k, gone) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL SELECT p.k, CASE WHEN list_contains(gone, a) OR list_contains(gone, b) THEN gone ELSE list_append(gone, CASE WHEN fa >= fb THEN b ELSE a END) END FROM step JOIN p ON p.k = step.k + 1) SELECT gone FROM step ORDER BY k DESC LIMIT 1)
  SELECT unnest(gone) AS feature FROM z""")
 def correlated_elimination(spark, sf_dir):
     """Features that go because a stronger one is correlated with them."""
-    e = T.features(spark, sf_dir)
-    pairs = X.correlations(e, NAMES).where("abs(r) > 0.05")
-    score = e.agg(*[F.round(F.avg(f), 9).alias(f) for f in NAMES]).unpivot([], NAMES, "feature", "f")
+    e = T.features(spark, sf_dir, len(ALL))
+    pairs = X.correlations(e, ALL).withColumn("r", F.round("r", 9)).where("abs(r) > 0.12")
+    score = e.agg(*[F.round(F.avg(f), 9).alias(f) for f in ALL]).unpivot([], ALL, "feature", "f")
     return spark.createDataFrame([(f,) for f in P.eliminated(pairs, score)], "feature string")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import features as X
 from tidewatch.operators import reports as P
 from tidewatch.operators import windows as W
-from tidewatch.plans.registry import E, NAMES, O, A, S, query, r
+from tidewatch.plans.registry import ALL, E, E_ALL, O, A, S, query, r
 from tidewatch.sources import tables as T
 
 WIN = f"{S}, w AS (SELECT *, i // 10 AS win FROM s)"
@@ -43,9 +43,9 @@ def session_coverage(spark, sf_dir):
     return T.samples(spark, sf_dir).groupBy("session_id").agg(c.alias("samples"), F.round(c / 700.0, 9).alias("seconds"), r(P.share(F.col("value") >= 20), "valid_pct"), r(P.share(F.col("value") > 120), "motion_pct"))
 
 
-@query(f"WITH {E} SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS parameter, round(median({f}), 6) AS median, round(avg({f}), 6) AS mean, round(min({f}), 6) AS min, round(max({f}), 6) AS max, round(stddev_samp({f}), 6) AS std FROM e" for f in NAMES) + ")")
+@query(f"WITH {E_ALL} SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS parameter, round(median({f}), 6) AS median, round(avg({f}), 6) AS mean, round(min({f}), 6) AS min, round(max({f}), 6) AS max, round(stddev_samp({f}), 6) AS std FROM e" for f in ALL) + ")")
 def parameter_statistics(spark, sf_dir):
-    out = P.transposed(T.features(spark, sf_dir), NAMES)
+    out = P.transposed(T.features(spark, sf_dir, len(ALL)), ALL)
     return out.select("parameter", *[r(c, c) for c in ("median", "mean", "min", "max", "std")])
 
 
@@ -109,12 +109,12 @@ def precision_recall_curve(spark, sf_dir):
     return m.select("threshold", r("precision", "precision"), r("recall", "recall"), F.row_number().over(Window.orderBy("threshold")).cast("long").alias("place"))
 
 
-@query(f"WITH {E}, l AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, round(avg({f}), 9) AS s, round(stddev_pop({f}), 9) AS v FROM e" for f in NAMES) + "), k AS (SELECT *, rank() OVER (ORDER BY s DESC) AS rank_a, rank() OVER (ORDER BY v DESC) AS rank_b FROM l) SELECT feature, rank_a, rank_b, rank_a - rank_b AS rank_diff, rank() OVER (ORDER BY (rank_a + rank_b) / 2.0) AS combined FROM k")
+@query(f"WITH {E_ALL}, l AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, round(avg({f}), 9) AS s, round(stddev_pop({f}), 9) AS v FROM e" for f in ALL) + "), k AS (SELECT *, rank() OVER (ORDER BY s DESC) AS rank_a, rank() OVER (ORDER BY v DESC) AS rank_b FROM l) SELECT feature, rank_a, rank_b, rank_a - rank_b AS rank_diff, rank() OVER (ORDER BY (rank_a + rank_b) / 2.0) AS combined FROM k")
 def rank_merge(spark, sf_dir):
     """Two rankings of features and their combination by mean rank; ties share the best rank."""
-    e = T.features(spark, sf_dir)
-    a = e.agg(*[F.round(F.avg(f), 9).alias(f) for f in NAMES]).unpivot([], NAMES, "feature", "s")
-    b = e.agg(*[F.round(F.stddev_pop(f), 9).alias(f) for f in NAMES]).unpivot([], NAMES, "feature", "v")
+    e = T.features(spark, sf_dir, len(ALL))
+    a = e.agg(*[F.round(F.avg(f), 9).alias(f) for f in ALL]).unpivot([], ALL, "feature", "s")
+    b = e.agg(*[F.round(F.stddev_pop(f), 9).alias(f) for f in ALL]).unpivot([], ALL, "feature", "v")
     rank = lambda c: F.rank().over(Window.orderBy(c)).cast("long")  # noqa: E731  over features, not rows
     k = a.join(b, "feature", "full").withColumns({"rank_a": rank(F.desc("s")), "rank_b": rank(F.desc("v"))})
     return k.select("feature", "rank_a", "rank_b", (F.col("rank_a") - F.col("rank_b")).alias("rank_diff"), rank((F.col("rank_a") + F.col("rank_b")) / 2).alias("combined"))
