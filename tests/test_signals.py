@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import kernels as K
 from tidewatch.operators import windows as W
 from tidewatch.plans import catalog
-from tidewatch.streaming import causal
+from tidewatch.streaming import causal, latency
 
 SF = "/root/testdata/sf0.001"
 
@@ -96,23 +96,42 @@ def test_tumbling_drops_nothing(spark):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    rows = pd.DataFrame({"session_id": np.repeat([1, 2], 60), "i": np.tile(np.arange(60), 2), "value": np.random.default_rng(2).normal(size=120)})
-    for k in range(3):
-        spark.createDataFrame(rows[rows.i // 20 == k]).coalesce(1).write.parquet(f"{tmp_path}/in/part{k}")
+    """Samples come shuffled, some late and some twice; a far later one of another session ends the streams."""
+    n, rng = 200, np.random.default_rng(2)
+    rows = pd.DataFrame({"session_id": np.repeat([1, 2], n), "i": np.tile(np.arange(n), 2), "value": rng.normal(size=2 * n)})
+    rows["ts"] = pd.Timestamp("2024-01-01") + pd.to_timedelta(rows.i / 4, unit="s")
+    comes = rows.i // 40 + (rng.random(2 * n) < 0.1)
+    sent = pd.concat([rows.assign(k=comes), rows.assign(k=comes + 1).iloc[::17], pd.DataFrame({"session_id": [9], "i": [0], "value": [0.0], "ts": [pd.Timestamp("2024-01-02")], "k": [9]})])
+    for k in sorted(sent.k.unique()):
+        spark.createDataFrame(sent[sent.k == k].drop(columns="k").sample(frac=1, random_state=int(k))).coalesce(1).write.parquet(f"{tmp_path}/in/part{k}")
     b, a = K.lowpass(0.5, 4, 2)
-    stream = spark.readStream.schema("session_id long, i long, value double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    q = causal.stateful_filter(stream, b, a).writeStream.format("memory").queryName("filtered").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").start()
-    q.processAllAvailable()
+    stream = spark.readStream.schema("session_id long, i long, value double, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    q = causal.stateful_filter(stream, b, a, late="15 seconds", idle=60).writeStream.format("memory").queryName("filtered").outputMode("append").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination(200)
+    told = latency.progress(spark, q)
     q.stop()
     got = spark.table("filtered").toPandas().sort_values(["session_id", "i"])
     want = np.concatenate([K.recur(g.sort_values("i").value.to_numpy(), b, a)[0] for _, g in rows.groupby("session_id")])
-    assert len(got) == 120 and np.allclose(got.filtered, want)
+    assert len(got) == 2 * n and np.allclose(got.filtered, want)
+    rows = told.orderBy("batch").collect()
+    assert sum(r.rows for r in rows) == len(sent) and rows[-1].state_rows == 1 and max(r.state_rows for r in rows) >= 2  # ended sessions leave the state
+    s = latency.summary(told.where("rows > 0"), "trigger_ms").first()
+    assert s.n >= 6 and 0 < s.p50 <= s.p95 <= s.longest
+
+
+def test_score_times(spark):
+    rows = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0)], "a double, b double")
+    took = latency.score_times(rows, ["a", "b"], {"sum": lambda x: x.sum(axis=1), "exp": lambda x: np.exp(x).sum(axis=1)}, warm=2, repeats=50)
+    got = {r.model: r for r in latency.summary(took, "ms", ["model"]).collect()}
+    assert set(got) == {"sum", "exp"} and all(r.n == 50 and 0 < r.p50 <= r.p95 for r in got.values())
+    assert latency.score_times(rows.limit(0), ["a", "b"], {"sum": lambda x: x}).isEmpty()
 
 
 def test_whole_feature_matrix(spark, monkeypatch):
     seen = {}
     for module, name in ((catalog.X, "correlations"), (catalog.X, "anova"), (catalog.M, "held_out"), (catalog.M, "fold_information"), (catalog.G, "leave_one_out")):
         monkeypatch.setattr(module, name, lambda rows, names, *a, f=getattr(module, name), n=name: seen.update({(n, *a): (len(names), set(names) <= set(rows.columns))}) or f(rows, names, *a))
+    monkeypatch.setattr(catalog.trees.tuning, "held_out", lambda rows, names, fit, f=catalog.trees.tuning.held_out, **more: seen.update({("trees",): (len(names), set(names) <= set(rows.columns))}) or f(rows, names, fit, **more))
     for name in ("correlated_pairs_all", "anova_rank_all", "mi_stability", "loso_eval", "loso_boosting", "loso_forest", "loso_svm", "loso_ensemble"):
         catalog.QUERIES[name](spark, SF)
     assert len(seen) == 8 and set(seen.values()) == {(64, True)}
