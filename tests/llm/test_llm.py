@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import time
 import zlib
 from collections import Counter
@@ -549,18 +550,25 @@ def test_tags_end_where_browsers_end_them():
     assert [t for _, t in got] == ["a", "q r", "z 1 < 2 <3", "left"]
 
 
+def checked(digest: int) -> int:
+    """The check hash of a digest: of its eight bytes, then of the number 7."""
+    return xxhash.xxh64_intdigest(struct.pack("<i", 7), xxhash.xxh64_intdigest(struct.pack("<Q", digest), 42)) & 0xFFFFFFFF
+
+
 def test_fingerprints_are_sketches(spark):
     """The cells of a fingerprint by hand, and exact differences where sketches of any size fail."""
     text = "\n".join(f"paragraph number {k}" for k in range(40))
     (r,) = op8_iblt.fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     digests = {xxhash.xxh64_intdigest(u.encode(), 42) for u in re.findall("(?:[^ \n]+ *){1,16}", text)}
-    cells = ""
-    for j in range(12):
-        own = [d for d in digests if (d >> (j // 4 * 2)) & 3 == j % 4]
-        x = 0
-        for d in own:
-            x ^= d
-        cells += f"{len(own):X}".zfill(4) + f"{x:X}".zfill(16)
+    cells = f"{len(digests):X}".zfill(8)
+    for bits, shift in ((2, 0), (5, 6)):
+        for j in range(3 << bits):
+            own = [d for d in digests if (d >> (shift + (j >> bits) * bits)) & ((1 << bits) - 1) == j & ((1 << bits) - 1)]
+            x = c = 0
+            for d in own:
+                x ^= d
+                c ^= checked(d)
+            cells += f"{len(own):X}".zfill(4) + f"{x:X}".zfill(16) + f"{c:X}".zfill(8)
     assert r.fingerprint == cells
     (n,) = spark.sql("select " + op8_iblt.group("array(1L, 2L, 3L)", "array(3L, 7L)") + " as n").first()
     assert n == 3
@@ -568,6 +576,44 @@ def test_fingerprints_are_sketches(spark):
     assert spark.sql(f"select {op8_iblt.group(f'array({same})', 'array(5L)')} as n").first()[0] == 60
 
 
+def near_by_strings(a: str, b: str) -> float | None:
+    """Likeness from two fingerprints and nothing else; none if neither sketch can be peeled."""
+    m, other = int(a[:8], 16), int(b[:8], 16)
+    read = lambda t: [(int(t[k : k + 4], 16), int(t[k + 4 : k + 20], 16), int(t[k + 20 : k + 28], 16)) for k in range(8, len(t), 28)]
+    x, y = read(a), read(b)
+    for bits, shift, lo, hi in ((2, 0, 0, 12), (5, 6, 12, 108)):
+        cells = [[(p[0] - q[0] + 98304) % 65536 - 32768, p[1] ^ q[1], p[2] ^ q[2]] for p, q in zip(x[lo:hi], y[lo:hi], strict=True)]
+        found = 0
+        while one := next((c for c in cells if abs(c[0]) == 1 and c[2] == checked(c[1])), None):
+            n, k, c = one
+            found += 1
+            for t in range(3):
+                cell = cells[(t << bits) + ((k >> (shift + t * bits)) & ((1 << bits) - 1))]
+                cell[0], cell[1], cell[2] = cell[0] - n, cell[1] ^ k, cell[2] ^ c
+            if found > len(cells):
+                break
+        if not any(c[0] or c[1] for c in cells):
+            return 1.0 if m + other == 0 else (m + other - found) / (m + other + found)
+    return None
+
+
+def test_likeness_is_a_function_of_two_fingerprints(docs, spark):
+    """Null and repeated ids and repeated rows too: each row's likeness to its edited text follows from its two strings, and to the next document from that one's string."""
+    rows = op8_iblt.fingerprints(docs.unionByName(docs.where("doc_id in (3, 40)"))).collect()
+    assert len({len(r.fingerprint) for r in rows} | {len(r.edited_fingerprint) for r in rows}) == 1
+    alone = [r for r in rows if r.edited_by_fingerprint]
+    assert len(alone) > 0.9 * len(rows) and sum(r.next_by_fingerprint for r in rows) > 0.8 * len(rows)
+    for r in alone:
+        assert near_by_strings(r.fingerprint, r.edited_fingerprint) == pytest.approx(r.near_edited)
+    prints = {r.fingerprint for r in rows}
+    for r in rows:
+        if r.next_by_fingerprint:
+            assert any(near_by_strings(r.fingerprint, f) == pytest.approx(r.near_next) for f in prints)
+    twice = [r for r in rows if r.doc_id in (3, 40)]
+    assert len(twice) == 2 + 4 and len({tuple(r) for r in twice if r.doc_id == 3}) == 1  # repeated rows have equal results
+    assert len({r.fingerprint for r in twice if r.doc_id == 40}) == 1 and sum(r.doc_id is None for r in rows) == 1
+
+
 def test_word_splits_agree():
     w = op2_substring.Words(pa.array(["  a b\x0bc ", "", "d\x85e f"]))
     assert w.flat.to_pylist() == ["a", "b", "c", "d\x85e", "f"] and w.sizes.tolist() == [3, 0, 2]

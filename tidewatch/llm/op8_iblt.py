@@ -1,12 +1,12 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
 A text is cut into paragraphs, and long ones into runs of ``RUN`` words; the distinct digests of these
-go into a sketch of three subtables of cells, each cell holding how many digests fell in, their xor, and the xor of
-their check hashes. Sketches of two versions subtract cell by cell: what both have cancels. Peeling then recovers what differs: a
+go into two sketches of three subtables of cells, 3 x 4 and 3 x 32, each cell holding how many digests fell in, their xor, and the xor of
+their check hashes. The fingerprint is the number of digests and these cells, of one length for all texts. Fingerprints of two versions subtract cell by cell: what both have cancels. Peeling then recovers what differs: a
 cell with one digest (its check agrees) gives it up, it leaves its other cells, and so on until all are
-empty. If cells stay, the pair is sketched again, larger: digests are dealt to as many groups of cells as
+empty. The small sketch is tried first, then the large one, which gives up some 75 digests. If cells stay, the pair is sketched again, larger: digests are dealt to as many groups of cells as
 their number needs, and a group that still fails is sketched with twice the cells under other hashes, then with four times those; digests that no such sketch gives up are
-compared as sets, so the difference is always exact. Likeness is
+compared as sets, so the difference is always exact. Two columns tell which likenesses come from the fingerprints alone. Likeness is
 the Jaccard share that the recovered difference leaves: (union - difference) / union; two texts without paragraphs are alike.
 
 All of it is SQL expressions. The next document in descending doc_id is found over ids alone: range
@@ -26,6 +26,8 @@ from tidewatch.llm.common import let, materialise, table, with_text
 
 #: Words of a run; digests that a group of cells should hold on average.
 RUN, LOAD = 16, 3
+#: Bits of a cell's number in the small and in the large sketch of a fingerprint; rounds of peeling.
+SMALL, LARGE, ROUNDS = 2, 5, 20
 FIRST = -(1 << 63)
 
 
@@ -80,16 +82,58 @@ def difference(u: str, v: str) -> str:
     return let(side, "g", f"aggregate(transform(sequence(0, g - 1), a -> {outer}), 0, (t, n) -> t + n)")
 
 
-def likeness(u: str, v: str, cells_u: str, cells_v: str) -> str:
-    """SQL: Jaccard likeness by peeling; the small sketches that are the fingerprints first, larger ones on failure."""
-    small = f"if(abs(size({u}) - size({v})) > 12, null, {peel(minus(cells_u, cells_v), 2, 0, '12')})"
-    share = f"if(size({u}) + size({v}) = 0, 1.0D, (size({u}) + size({v}) - d) / double(size({u}) + size({v}) + d))"
-    return let(f"coalesce({small}, {difference(u, v)})", "d", share)
+def place(x: str, j: str, bits: int, shift: int) -> str:
+    """SQL: whether digest x falls into cell j of the fingerprint's sketch of 3 subtables of 2^bits cells, by bits of its own from ``shift`` on."""
+    mask = (1 << bits) - 1
+    return f"(shiftrightunsigned({x}, {shift} + {j} div {mask + 1} * {bits}) & {mask}) = {j} % {mask + 1}"
+
+
+def check(x: str) -> str:
+    return f"(xxhash64({x}, 7) & {(1 << 32) - 1})"
+
+
+def shown_cells(keys: str, bits: int, shift: int) -> str:
+    """SQL: cells of the fingerprint: counts modulo 2^16, xor of digests, xor of 32-bit checks."""
+    body = let(f"filter(ks, p -> {place('p.k', 'j', bits, shift)})", "f", "named_struct('n', size(f) & 65535, 'k', aggregate(f, 0L, (a, p) -> a ^ p.k), 'c', aggregate(f, 0L, (a, p) -> a ^ p.c))")
+    return let(f"transform({keys}, x -> named_struct('k', x, 'c', {check('x')}))", "ks", f"transform(sequence(0, {3 * (1 << bits) - 1}), j -> {body})")
 
 
-def shown(cells: str) -> str:
-    """SQL: a sketch as text."""
-    return f"array_join(transform({cells}, c -> concat(lpad(hex(c.n), 4, '0'), lpad(hex(c.k), 16, '0'))), '')"
+def printed(keys: str) -> str:
+    """SQL: the fingerprint of an array of digests as it is held: its count and both sketches."""
+    return f"named_struct('m', size({keys}), 's', {shown_cells(keys, SMALL, 0)}, 'l', {shown_cells(keys, LARGE, 3 * SMALL)})"
+
+
+def less(a: str, b: str) -> str:
+    """SQL: cells of one text less those of another."""
+    return f"zip_with({a}, {b}, (s, t) -> named_struct('n', (s.n - t.n + 98304) % 65536 - 32768, 'k', s.k ^ t.k, 'c', s.c ^ t.c))"
+
+
+def peeled(cells: str, bits: int, shift: int) -> str:
+    """SQL: how many digests peeling recovers from the difference of two sketches, or null if cells are left. Each round takes the digests of all cells that hold one."""
+    alone = f"array_distinct(filter(s.cells, x -> abs(x.n) = 1 and x.c = {check('x.k')}))"
+    gone = let(f"filter(ones, o -> {place('o.k', 'j', bits, shift)})", "f", "if(size(f) = 0, x, named_struct('n', x.n - aggregate(f, 0, (a, o) -> a + o.n), 'k', x.k ^ aggregate(f, 0L, (a, o) -> a ^ o.k), 'c', x.c ^ aggregate(f, 0L, (a, o) -> a ^ o.c)))")
+    step = f"if(s.done, s, {let(alone, 'ones', f"if(size(ones) = 0, named_struct('cells', s.cells, 'found', s.found, 'done', true), named_struct('cells', transform(s.cells, (x, j) -> {gone}), 'found', s.found + size(ones), 'done', false))")})"
+    end = "if(exists(s.cells, x -> x.n != 0 or x.k != 0), null, s.found)"
+    return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'found', 0, 'done', false), (s, i) -> {step}, s -> {end})"
+
+
+def spread(cells: str, bits: int) -> str:
+    """SQL: about how many digests differ, by the counts of a difference: each subtable's sum of squares exceeds that number by what the difference of the texts' counts adds."""
+    total = f"(aggregate({cells}, 0L, (a, x) -> a + x.n) / 3.0D)"
+    return f"((aggregate({cells}, 0L, (a, x) -> a + x.n * x.n) / 3.0D - {total} * {total} / {1 << bits}) / {1 - 1 / (1 << bits)})"
+
+
+def likeness(u: str, v: str, a: str, b: str) -> str:
+    """SQL: Jaccard likeness of two fingerprints a and b by peeling their difference, and whether that was enough; if cells stay, their digests u and v are sketched again, larger, in groups."""
+    small = let(less(f"{a}.s", f"{b}.s"), "ds", f"if(abs({a}.m - {b}.m) > {3 << SMALL}, null, {peeled('ds', SMALL, 0)})")
+    large = let(less(f"{a}.l", f"{b}.l"), "dl", f"if(abs({a}.m - {b}.m) > {3 << LARGE} or {spread('dl', LARGE)} > {3 << LARGE}, null, {peeled('dl', LARGE, 3 * SMALL)})")
+    share = lambda d: f"if({a}.m + {b}.m = 0, 1.0D, ({a}.m + {b}.m - {d}) / double({a}.m + {b}.m + {d}))"
+    return let(f"coalesce({small}, {large})", "d0", f"named_struct('near', {let(f'coalesce(d0, {difference(u, v)})', 'd1', share('d1'))}, 'own', d0 is not null)")
+
+
+def shown(f: str) -> str:
+    """SQL: a fingerprint as text: its count in 8 hexadecimal digits, then 28 for each cell of both sketches."""
+    return f"concat(lpad(hex({f}.m), 8, '0'), array_join(transform(concat({f}.s, {f}.l), c -> concat(lpad(hex(c.n), 4, '0'), lpad(hex(c.k), 16, '0'), lpad(hex(c.c), 8, '0'))), ''))"
 
 
 def following(keys: DataFrame) -> DataFrame:
@@ -111,7 +155,7 @@ def following(keys: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each document."""
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, and whether the fingerprints alone gave these two) of each document."""
     base = with_text(docs).select(F.coalesce("doc_id", F.lit(FIRST)).alias("doc_id"), "text", F.xxhash64("text").alias("row_key"))
     keys = base.groupBy("doc_id", "row_key").agg(F.max(F.length("text")).alias("n_chars"))
     own = base.join(following(keys), ["doc_id", "row_key"]).withColumn("units", F.expr(digests("text")))
@@ -120,14 +164,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     both = own.select("doc_id", "row_key", "text", "units").join(heads, ["doc_id", "row_key"])
     both = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), "units", F.col("h.next_units").alias("next_units"), F.expr("concat(substring(text, 1, length(text) - length(text) div 3), h.head)").alias("edited"))
     both = both.withColumn("edited_units", F.expr(digests("edited")))
-    result = let(
-        sketch("units", 2), "cu",
-        let(sketch("edited_units", 2), "ce", let(sketch("next_units", 2), "cn", f"named_struct('a', {shown('cu')}, 'b', {shown('ce')}, 'x', {likeness('units', 'edited_units', 'cu', 'ce')}, 'y', {likeness('units', 'next_units', 'cu', 'cn')})")),
-    )
+    pairs = f"named_struct('a', {shown('fu')}, 'b', {shown('fe')}, 'x', {likeness('units', 'edited_units', 'fu', 'fe')}, 'y', {likeness('units', 'next_units', 'fu', 'fn')})"
+    result = let(printed("units"), "fu", let(printed("edited_units"), "fe", let(printed("next_units"), "fn", pairs)))
     both = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.expr(let("units", "units", let("edited_units", "edited_units", let("next_units", "next_units", result)))).alias("r"))
     return both.select(
         F.when(F.col("doc_id") != FIRST, F.col("doc_id")).alias("doc_id"), "n_chars", "edited_sha256",
-        F.col("r.a").alias("fingerprint"), F.col("r.b").alias("edited_fingerprint"), F.col("r.x").alias("near_edited"), F.col("r.y").alias("near_next"),
+        F.col("r.a").alias("fingerprint"), F.col("r.b").alias("edited_fingerprint"), F.col("r.x.near").alias("near_edited"), F.col("r.y.near").alias("near_next"),
+        F.col("r.x.own").alias("edited_by_fingerprint"), F.col("r.y.own").alias("next_by_fingerprint"),
     )
 
 
