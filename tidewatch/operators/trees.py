@@ -100,7 +100,8 @@ def binned(rows: DataFrame, names: list[str], cuts: list[list[float]], group: st
                 out[:, k] = np.where(np.isnan(x), 0, np.searchsorted(edges[k], x, "left") + 1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([r.tobytes() for r in out], pa.binary())], ["row_id", "grp", "y", "bins"])
 
-    own = rows.select(F.col("row_id").cast("long").alias("row_id"), F.col(group).cast("long").alias("grp"), F.col(target).cast("int").alias("y"), *[F.col(f).cast("double").alias(f"x{k}") for k, f in enumerate(names)])
+    own = rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "row_id")  # small files would be one task in every job to come
+    own = own.select(F.col("row_id").cast("long").alias("row_id"), F.col(group).cast("long").alias("grp"), F.col(target).cast("int").alias("y"), *[F.col(f).cast("double").alias(f"x{k}") for k, f in enumerate(names)])
     return own.mapInArrow(run, "row_id long, grp long, y int, bins binary")
 
 
@@ -171,15 +172,14 @@ def _cells(table: DataFrame, model: Model, since: int, growing: dict[int, tuple[
 
 def _splits(cells: DataFrame, fits: list[Fit]) -> DataFrame:
     """Each node's totals and best split. Bins are ordered within (fit, node, feature), missing values are tried on both sides."""
-    spark = cells.sparkSession
-    limits = spark.createDataFrame([(k, f.least_rows, float(f.l2)) for k, f in enumerate(fits)], "fit int, least int, l2 double")
+    of_fit = lambda values: F.get(F.array(*map(F.lit, values)), F.col("fit"))  # noqa: E731  a value for each fit
     key = ["fit", "node", "feature"]
     cells = cells.repartition(*key).groupBy(*key, "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
     whole = Window.partitionBy(*key)
     upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     real = lambda c: F.when(F.col("bin") > 0, F.col(c)).otherwise(0)
     rows = cells.withColumns({f"{c}l": F.sum(real(c)).over(upto) for c in "ghn"} | {f"{c}t": F.sum(c).over(whole) for c in "ghn"} | {f"{c}m": F.sum(F.when(F.col("bin") == 0, F.col(c)).otherwise(0)).over(whole) for c in "ghn"})
-    rows = rows.where("bin > 0").join(F.broadcast(limits), "fit")  # one row for each fit
+    rows = rows.where("bin > 0").withColumns({"least": of_fit([f.least_rows for f in fits]), "l2": of_fit([float(f.l2) for f in fits])})
     side = F.explode(F.when(F.col("nm") > 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
     rows = rows.withColumn("missing_left", side)
     left = {c: F.col(f"{c}l") + F.when(F.col("missing_left"), F.col(f"{c}m")).otherwise(0) for c in "ghn"}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import kernels as K
 from tidewatch.operators import features as X
+from tidewatch.operators import linear
 from tidewatch.operators import models as M
 from tidewatch.operators import signals as G
 from tidewatch.operators import windows as W
@@ -396,7 +397,7 @@ def zero_phase_lowpass(spark, sf_dir):
 @query()
 def loso_eval(spark, sf_dir):
     """Held-out scores of a model per fold, and each fold's metrics."""
-    scored = G.leave_one_out(T.features(spark, sf_dir, len(ALL)), ALL).withColumn("p", (F.col("score") >= 0.5).cast("int"))
+    scored = linear.held_out(T.features(spark, sf_dir, len(ALL)), ALL).withColumn("p", (F.col("score") >= 0.5).cast("int"))
     return X.metrics(scored, ["fold"])
 
 
