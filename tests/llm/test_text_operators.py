@@ -255,3 +255,35 @@ def test_pre_split_is_the_librarys_for_all_code_points():
     for k in range(0, len(old), 1000):  # by the pattern alone
         text = "\n".join(map(probe, old[k : k + 1000]))
         assert codec.plain(text) == [text[a:b] for _, (a, b) in library.pre_tokenize_str(text)]
+
+
+def test_files_and_scans_of_odd_rows(spark, tmp_path):
+    """Null and repeated ids, repeated rows, empty texts and empty tables through the file format, the licence scan and packing."""
+    from tokenizers import Tokenizer
+
+    from tidewatch.llm import op1_packing, op9_simple8b, op10_licences, stages
+
+    rows = [(None, "no id here"), (5, "two words"), (5, "two words"), (5, "another text"), (6, None), (7, ""), (None, "no id here"), (8, "long " * 30_000)]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, start string, part string").repartition(3)
+    path = P.path("word_bpe_49k.json")
+    op9_simple8b.write_files(docs, path, f"{tmp_path}/ids", 2, partitions=3)
+    got = op9_simple8b.read_files(spark, f"{tmp_path}/ids").collect()
+    library = Tokenizer.from_file(path)
+    want = Counter((i, zlib.crc32(np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())) for i, t in rows)
+    assert Counter((r.doc_id, r.ids_crc32) for r in got) == want
+    ordered = sorted(got, key=lambda r: r.start)
+    assert [r.start for r in ordered] == [sum(x.n_tokens for x in ordered[:k]) for k in range(len(ordered))]
+    assert [r.doc_id for r in ordered] == [None, None, 5, 5, 5, 6, 7, 8]
+    op9_simple8b.write_files(docs.limit(0), path, f"{tmp_path}/none", 2)
+    assert op9_simple8b.read_files(spark, f"{tmp_path}/none").collect() == []
+    pieces = stages.packing_stage(spark, docs, "").collect()
+    lengths = Counter()
+    for r in pieces:
+        lengths[r.doc_id] += r.length
+    encode = Tokenizer.from_file(P.path("byte_bpe_50k.json")).encode
+    assert lengths[5] == 3 + sum(len(encode(t, add_special_tokens=False).ids) for i, t in rows if i == 5)
+    assert lengths[6] == lengths[7] == 1 and lengths[None] == 2 * next(r.doc_tokens for r in pieces if r.doc_id is None)
+    assert stages.packing_stage(spark, docs.limit(0), "").collect() == [] and op1_packing.pack(docs.limit(0), P.path("byte_bpe_50k.json")).collect() == []
+    found = op10_licences.scan(docs.union(spark.createDataFrame([(None, "Released under the MIT License.", "", "")] * 2, docs.schema))).collect()
+    assert len(found) == 10 and sum(r.doc_id is None and r.n_license_lines == 1 for r in found) == 2 and sum(r.license is not None for r in found) == 2
+    assert op10_licences.scan(docs.limit(0)).collect() == []

@@ -10,7 +10,8 @@ The best unit wins; equal ones go to the first line, then to the smaller unit (l
 in the alphabet. A line counts as a licence line if it or a window inside it reaches the threshold. ORACLE states the result of lines, paragraphs and whole
 texts without windows: the same wherever each notice is a line of its own that equals a template.
 
-Null or empty text has no line and no licence. Units of one word have no bigram and match nothing.
+Null or empty text has no line and no licence. Units of one word have no bigram and match nothing. Repeated rows give repeated rows, a null doc_id stays null, an empty table gives no rows; a very long text is
+one row of one task, its windows are bounded by the templates' sizes. Columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

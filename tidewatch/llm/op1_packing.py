@@ -10,7 +10,8 @@ pattern takes are laid end to end, in order of length and rank, and cut at seque
 sequence is cut into powers of two. So no sequence has padding.
 
 Ranks come from counts by (partition, length), so no length needs to be sorted in one place.
-Null text counts as empty (one end id). Repeated rows are packed each on its own.
+Null and empty texts are one end id. Repeated rows, repeated and null doc_ids are packed each on its own; a null doc_id stays null. A very long text is encoded by one task, and is full sequences but
+for its tail. An empty table gives no pieces; columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ A row of the file table is a run of whole documents: the ids before it in its fi
 offsets, the escapes. Rows lie in ascending doc_id order: documents are range-partitioned by doc_id and
 each partition is one file, so no task holds more than its range. Spark's committer writes the files.
 
-Null or empty texts hold just the end id. Equal doc_ids stay side by side, in the order of their texts.
+Null or empty texts hold just the end id. Equal doc_ids stay side by side, in the order of their texts, so repeated rows are told each with its own start; null doc_ids come first and stay null. A very long
+text is one run of ids, cut into blocks. An empty table gives files without rows; columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

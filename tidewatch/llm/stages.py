@@ -16,7 +16,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the kept texts, packed into sequences."""
+    """Pieces of the kept texts, packed into sequences. Null and empty texts are one end id, repeated rows and null doc_ids are packed each on its own, an empty table gives no pieces; other columns of docs fall away."""
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
