@@ -287,3 +287,21 @@ def test_files_and_scans_of_odd_rows(spark, tmp_path):
     found = op10_licences.scan(docs.union(spark.createDataFrame([(None, "Released under the MIT License.", "", "")] * 2, docs.schema))).collect()
     assert len(found) == 10 and sum(r.doc_id is None and r.n_license_lines == 1 for r in found) == 2 and sum(r.license is not None for r in found) == 2
     assert op10_licences.scan(docs.limit(0)).collect() == []
+
+
+def test_what_wrappers_hold_is_told_apart(spark):
+    """Sidebars, notices, forms and comments inside a main element or an article go; an article's own sections stay; loosely named ones go where the neighbour shares them."""
+    from tidewatch.llm import op5_pages
+
+    text = lambda page: op5_pages.main_text(op5_pages.lines(page), None)
+    for extra in ('<div class="sidebar">', '<div class="related-posts">', '<div class="newsletter-signup">', '<section class="user-comments">', '<div class="comments-area">', '<div id="respond">', '<div class="cookie-banner">', '<div class="notice">', '<div class="sponsored">'):
+        end = "</section>" if "section" in extra else "</div>"
+        for wrapper in ("main", "article"):
+            assert text(f"<{wrapper}><h1>Title</h1><p>Body</p>{extra}<p>extra</p>{end}<p>More</p></{wrapper}>") == "Title\nBody\nMore", extra
+        assert text(f"<main><article><p>Body</p>{extra}x{end}</article>{extra}<p>y</p>{end}</main>") == "Body"
+    kept = '<article><section id="notice"><p>On notices</p></section><div class="legal-history"><p>Laws</p></div><section class="post-content"><p>Body</p></section></article>'
+    assert text(kept) == "On notices\nLaws\nBody"
+    page = '<main><div class="menu-like"><p>Site menu</p></div><article><p>{0}</p><div class="copyright"><p>All rights</p></div><div class="social"><p>Only {0}</p></div></article><p>A standfirst beside it, {0}</p><p>Foot</p></main>'
+    rows = [(1, "http://h.x/a", page.format("first")), (2, "http://h.x/b", page.format("second"))]
+    got = {r.page_id: r.text for r in op5_pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "first\nOnly first\nA standfirst beside it, first", 2: "second\nOnly second\nA standfirst beside it, second"}

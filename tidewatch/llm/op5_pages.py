@@ -4,8 +4,8 @@ Pages are ordered by host, URL path and page_id and dealt to ranges of that orde
 many tasks. Each page is paired with its neighbour of the same host: the nearest page before that is no copy of it, or else the
 nearest after, among NEAR pages on each side. Each range also gets the NEAR pages before and after it, so the pairing is the same under any ranges. Pages are
 told apart into lines (blocks of text); the lines of every page are aligned with its neighbour's by their longest common
-subsequence, and shared lines go. Structure assists where the alignment can't be right: a line inside an article or main element
-stays although the neighbour shows it too (a host may repeat a paragraph), and a line that is not shared still goes where its container
+subsequence, and shared lines go. Structure assists where the alignment can't be right: a line inside an article (or, on a page without one, the main element)
+stays although the neighbour shows it too (a host may repeat a paragraph), unless its container is named like what is not content, and a line that is not shared still goes where its container
 is by element or by name a menu, advert, notice or the like, as those differ from page to page. All other lines stay. A neighbour that
 shares nearly all lines outside articles (a print view, a page of the template alone) is a copy and is passed over; a page among copies
 alone keeps its lines. ``shared_lines`` tells how many lines went by the alignment, ``named_lines`` how many by structure alone.
@@ -54,13 +54,16 @@ LOOSE = set(
     "discussion copyright legal skip complementary contentinfo".split()
 )
 #: Words of place and shape, which alone name nothing.
-PLACES = set("site page main top bottom left right global primary secondary bar box block list links buttons container wrapper inner area".split())
+PLACES = set("site page main top bottom left right global primary secondary bar box block list links buttons container wrapper inner area user users post posts article articles story stories form section panel content".split())
+#: Whole classes that name notices, adverts and comments on containers, and the usual id of a comment form.
+ALONE, FORM_ID = set("notice notices alert sponsored respond replies reply related recommended recommendations trending".split()), "respond"
 ROLES = set("navigation complementary contentinfo banner search menu menubar toolbar dialog alertdialog".split())
 ROLES_INSIDE = set("navigation menu menubar toolbar".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)(?:>|\Z)""", re.S)
+ARTICLE = re.compile(r"<article[\s/>]", re.I)
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^a-zA-Z]+")
-STAY, GO, OPEN = 1, 0, 2
+STAY, GO, OPEN, LIKELY = 1, 0, 2, 3
 #: Share of the open characters from which two pages are copies, and pages that are looked at on each side for one that is none.
 COPY, NEAR = 0.9, 4
 #: Between the parts of a key; sorts before what URLs hold.
@@ -78,8 +81,8 @@ def named(value: str) -> bool:
 def unwanted(attributes: str, tag: str = "div", inside: bool = False) -> bool:
     """Whether an element's attributes name it as something other than content, or hide it.
 
-    Names count as a whole. An id is an anchor except on containers. Inside an article only adverts, navigation, share bars and comments
-    count, and of paragraphs, headings and inline elements adverts alone. Other names are left to the alignment.
+    Names count as a whole. An id is an anchor except on containers. Inside an article ids of adverts, navigation, share bars and comments
+    count, classes of containers as outside and those that name a notice or the like alone, and of paragraphs, headings and inline elements adverts alone. Other names are left to the alignment.
     """
     if not attributes.strip():
         return False
@@ -92,13 +95,28 @@ def unwanted(attributes: str, tag: str = "div", inside: bool = False) -> bool:
             return True
         if name == "class" or name == "id" and container:
             for whole in value.split():
-                if whole.lower() in (INSIDE if container else ADVERTS) or not inside and named(whole):
+                low = whole.lower()
+                if low in (INSIDE if container else ADVERTS) or not inside and named(whole):
+                    return True
+                if container and (low in ALONE or named(whole) if name == "class" else low == FORM_ID):
+                    return True
+    return False
+
+
+def likely(attributes: str) -> bool:
+    """Whether a container inside an article has a name of loose words: its lines go where the neighbour shares them."""
+    for m in ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id"):
+            for whole in (m[2] or m[3] or m[4] or "").split():
+                found = [w.lower() for w in CAMEL.split(whole) if w]
+                if any(w in LOOSE for w in found) and all(w in LOOSE or w in PLACES for w in found):
                     return True
     return False
 
 
 def lines(page: str) -> list[tuple[int, str]]:
-    """The page's blocks in order, each with STAY (inside an article), GO (known not to be content) or OPEN."""
+    """The page's blocks in order, each with STAY (inside an article, or the main element of a page without one), LIKELY (there too, in a container named like what is not content), GO (known not to be content) or OPEN."""
+    content = {"article"} if ARTICLE.search(page) else CONTENT
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = [("", OPEN)]
     held: list[str] = []
@@ -150,12 +168,15 @@ def lines(page: str) -> list[tuple[int, str]]:
         if tag in VOID or m[3].endswith("/"):
             continue
         role = stack[-1][1]
-        bad = unwanted(m[3], tag, role == STAY)
+        inside = role in (STAY, LIKELY)
+        bad = unwanted(m[3], tag, inside)
         if tag in CONTAINERS:
-            if tag in DROPPED or bad or (tag == "header" and role != STAY):
+            if tag in DROPPED or bad or (tag == "header" and not inside):
                 role = GO
-            elif tag in CONTENT and role != GO:
+            elif tag in content and role != GO:
                 role = STAY
+            elif role == STAY and likely(m[3]):
+                role = LIKELY
             stack.append((tag, role))
             opened[tag] = opened.get(tag, 0) + 1
         elif bad and tag in BLOCKS:
