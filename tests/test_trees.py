@@ -187,3 +187,42 @@ def test_plateau_rule(spark):
     curve = spark.createDataFrame([(2, 0.8, 0.6), (4, 0.898, 0.2), (8, 0.897, 0.7), (16, 0.9, 0.4)], "n_features int, f1 double, min_recall double")
     assert R.plateau(curve).first().n_features == 8  # 4 is near the best too, but its worst fold is under the floor
     assert R.plateau(curve, floor=0.9).first().n_features == 16 and R.plateau(curve, slack=0.2, floor=0.0).first().n_features == 2
+
+
+def test_leaf_by_leaf(spark):
+    """A tree cut to its leaves is the one that splits the leaf of greatest gain each time."""
+    x, y, g = data(200, 7)
+    fits = [T.Fit(rounds=1, depth=6, rate=1.0, least_rows=3, l2=0.1, leaves=n) for n in (1, 2, 5, 9)] + [T.Fit(rounds=1, depth=6, rate=1.0, least_rows=3, l2=0.1)]
+    model, _ = T.fitted(frame(spark, x, y, g), NAMES, fits, bins=16)
+    full = model.trees[4][0]
+    for fit, (t,) in zip(fits[:4], model.trees, strict=False):
+        splits, open_ = [], [0]
+        while len(open_) < fit.leaves:
+            node = max((n for n in open_ if full.feature[n] >= 0), key=lambda n: full.gain[n])
+            splits.append(node)
+            open_ = [n for n in open_ if n != node] + [full.left[node], full.right[node]]
+        reached, todo = [], [0]
+        while todo:
+            n = todo.pop()
+            if t.feature[n] >= 0:
+                reached.append(n)
+                todo += [t.left[n], t.right[n]]
+        assert sorted(reached) == sorted(splits) and t.value == full.value
+
+
+def test_target_weights(spark):
+    x, y, g = data(100, 8)
+    n0, n1 = int((y == 0).sum()), int((y == 1).sum())
+    rows = frame(spark, x, y, g)
+    model, _ = T.fitted(rows, NAMES, [T.Fit(rounds=0), T.Fit(rounds=0, positive="ratio"), T.Fit(rounds=0, positive=3.0)], bins=8)
+    assert model.weights == [(100 / (2 * n0), 100 / (2 * n1)), (1.0, n0 / n1), (1.0, 3.0)]
+
+
+def test_feature_sets(spark):
+    from tidewatch.operators import tuning as U
+
+    x, y, g = data(200, 5)
+    fit = T.Fit(rounds=4, depth=2, rate=0.5, least_rows=2, l2=0.1)
+    got = {r.variant: r for r in U.feature_sets(frame(spark, x, y, g), NAMES, {"both": ["a", "b"], "one": ["b"], "noise": ["c", "d"]}, fit, bins=8).collect()}
+    assert {v.n_features for v in got.values()} == {1, 2} and all(r.tp + r.fp + r.fn + r.tn == 200 for r in got.values())
+    assert got["both"].f1 > max(got["one"].f1, got["noise"].f1) + 0.1

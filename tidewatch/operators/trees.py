@@ -5,7 +5,7 @@ over one table of binned rows, and no row is copied for them. A level of all tre
 (fit, node, feature, bin), these cells are summed by Spark, and running sums over bins give each node's best split. Only splits reach the driver, one for each node: a model's own size. Margins
 are added up from the trees so far, from a written table every ``KEEP`` rounds.
 
-Missing values have a bin of their own and go left or right as each split learns. Rows count by balanced class weights, n / (2 n_class) of the fit's rows; a fit whose rows have one class has no trees
+Missing values have a bin of their own and go left or right as each split learns. Rows count by balanced class weights, n / (2 n_class) of the fit's rows, unless the fit gives the target's; a fit whose rows have one class has no trees
 and a margin of infinity. Ties of splits go to the smaller feature number and bin, so that a result does not depend on partitions.
 """
 
@@ -37,6 +37,10 @@ class Fit:
     rate: float = 0.05
     least_rows: int = 20
     l2: float = 0.0
+    #: Leaves of a tree at most: the splits of greatest gain, each when its node is a leaf, as trees that grow leaf by leaf have them.
+    leaves: int | None = None
+    #: Weight of target rows against others; by default both classes weigh the same in the fit's rows, "ratio" is their ratio there.
+    positive: float | str | None = None
 
 
 @dataclass
@@ -57,6 +61,17 @@ class Tree:
             column.append(v)
         return len(self.feature) - 1
 
+    def cut_to(self, leaves: int) -> None:
+        """Keep the splits that growing leaf by leaf would make first: of all leaves that can split, the one of greatest gain, until there are as many leaves. A node's gain depends on its own rows alone, so growing level by level and cutting gives that very tree."""
+        open_, kept = [0], 1
+        while kept < leaves and (able := [n for n in open_ if self.feature[n] >= 0]):
+            node = max(able, key=lambda n: (self.gain[n], -n))
+            open_.remove(node)
+            open_ += [self.left[node], self.right[node]]
+            kept += 1
+        for n in open_:
+            self.feature[n] = -1
+
     def nodes_of(self, bins: np.ndarray) -> np.ndarray:
         """The node that each row of bins is in."""
         at = np.zeros(len(bins), np.int64)
@@ -118,7 +133,9 @@ def _weights(table: DataFrame, fits: list[Fit]) -> tuple[list[tuple[float, float
     constant = []
     for f in fits:
         n0, n1 = (total.get(c, 0) - sum(by.get((g, c), 0) for g in f.out) for c in (0, 1))
-        weights.append(((n0 + n1) / (2 * n0), (n0 + n1) / (2 * n1)) if n0 and n1 else None)
+        balanced = f.positive is None
+        ratio = 1.0 if balanced or not n1 else n0 / n1 if f.positive == "ratio" else float(f.positive)
+        weights.append((((n0 + n1) / (2 * n0), (n0 + n1) / (2 * n1)) if balanced else (1.0, ratio)) if n0 and n1 else None)
         constant.append(0.0 if (n0 > 0) == (n1 > 0) else np.inf if n1 else -np.inf)
     return weights, constant
 
@@ -228,6 +245,8 @@ def boosted(table: DataFrame, names: list[str], cuts: list[list[float]], fits: l
                     levels[r.fit] += [tree.left[node], tree.right[node]]
             growing = {k: (tree, sorted(levels[k])) for k, (tree, _) in growing.items()}
         for k, tree in grown.items():
+            if fits[k].leaves is not None:
+                tree.cut_to(fits[k].leaves)
             model.trees[k].append(tree)
         if (round_ + 1) % KEEP == 0 and round_ + 1 < max(f.rounds for f in fits):
             table, since = written(_with_margins(table, model, since), "margins"), round_ + 1

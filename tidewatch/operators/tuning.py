@@ -123,6 +123,19 @@ def size_sweep(rows: DataFrame, names: list[str], ranked: list[str], sizes: list
     return found.groupBy(size_of.alias("n_features")).agg(F.avg("f1").alias("f1"), F.stddev_samp("f1").alias("std_f1"), F.avg(recall).alias("recall"), F.min(recall).alias("min_recall"), F.count_if(recall < 0.5).alias("n_below"))
 
 
+def feature_sets(rows: DataFrame, names: list[str], sets: dict[str, list[str]], fit: T.Fit, group: str = "fold", target: str = "target", bins: int = 255) -> DataFrame:
+    """(variant, n_features, pooled metrics over all held-out rows) of named feature sets; all sets and folds are fitted together."""
+    cuts = T.cut_points(rows, names, bins)
+    table = written(T.binned(rows, names, cuts, group, target), "binned")
+    groups = list(group_counts(table))
+    fits = [replace(fit, out=frozenset({g}), features=tuple(names.index(f) for f in some)) for some in sets.values() for g in groups]
+    scored = T.scores(table, T.boosted(table, names, cuts, fits))
+    at = F.floor(F.col("fit") / max(len(groups), 1)).cast("int")
+    of = lambda values: F.get(F.array(*map(F.lit, values)), at)
+    scored = scored.select(of(list(sets)).alias("variant"), of([len(v) for v in sets.values()]).alias("n_features"), "y", (F.col("score") >= 0.5).cast("int").alias("p"))
+    return X.metrics(scored, ["variant", "n_features"])
+
+
 def nested(rows: DataFrame, names: list[str], space: dict[str, Space], trials: int, inner: int = 5, parallel: int = 4, seed: int = 42, group: str = "fold", target: str = "target", bins: int = 255, sampler: Callable = suggest) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nested held-out tuning: (outcome by outer group, trials, held-out scores).
 

@@ -10,7 +10,7 @@ from tidewatch.operators import trees, tuning
 from tidewatch.plans.registry import ALL, query
 from tidewatch.sources import tables as T
 
-FIT = trees.Fit(rounds=6, depth=3, rate=0.3, least_rows=5, l2=1.0)
+FIT = trees.Fit(rounds=4, depth=3, rate=0.4, least_rows=5, l2=1.0)
 BINS = 32
 
 
@@ -55,6 +55,23 @@ def size_sweep(spark, sf_dir):
     return curve.crossJoin(F.broadcast(pick))
 
 
+@query()
+def leafwise_boosting(spark, sf_dir):
+    """Metrics of held-out folds by trees that grow leaf by leaf, the target weighted by the ratio of classes in each fold's training rows."""
+    fit = trees.Fit(rounds=2, depth=4, rate=0.5, least_rows=5, l2=1.0, leaves=8, positive="ratio")
+    scored = tuning.held_out(_matrix(spark, sf_dir), ALL, fit, bins=BINS)[0]
+    return X.metrics(scored.withColumn("p", (F.col("score") >= 0.5).cast("int")), ["grp"]).withColumnRenamed("grp", "fold")
+
+
+@query()
+def feature_sets(spark, sf_dir):
+    """Pooled held-out metrics of feature sets: all, pruned of correlated ones, and without a family; all sets and folds are fitted together."""
+    rows = _matrix(spark, sf_dir)
+    gone = R.eliminated(X.correlations(rows, ALL).where("abs(r) > 0.12"), rows.agg(*[F.avg(f).alias(f) for f in ALL]).unpivot([], ALL, "feature", "f"))
+    sets = {"all": ALL, "pruned": [f for f in ALL if f not in gone], "no_first_16": ALL[16:]}
+    return tuning.feature_sets(rows, ALL, sets, trees.Fit(rounds=3, depth=2, rate=0.3, least_rows=5, l2=1.0), bins=BINS)
+
+
 SPACE = {"rate": tuning.Space(0.05, 0.5, log=True), "rounds": tuning.Space(1, 3, whole=True), "depth": tuning.Space(1, 3, whole=True), "least_rows": tuning.Space(5, 30, whole=True), "l2": tuning.Space(1e-3, 10.0, log=True), "share": tuning.Space(0.3, 1.0)}
 
 
