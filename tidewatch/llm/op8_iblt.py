@@ -82,10 +82,10 @@ def difference(u: str, v: str) -> str:
     return let(side, "g", f"aggregate(transform(sequence(0, g - 1), a -> {outer}), 0, (t, n) -> t + n)")
 
 
-def place(x: str, j: str, bits: int, shift: int) -> str:
-    """SQL: whether digest x falls into cell j of the fingerprint's sketch of 3 subtables of 2^bits cells, by bits of its own from ``shift`` on."""
-    mask = (1 << bits) - 1
-    return f"(shiftrightunsigned({x}, {shift} + {j} div {mask + 1} * {bits}) & {mask}) = {j} % {mask + 1}"
+def placed(x: str, bits: int, shift: int, more: str = "") -> str:
+    """SQL: a digest with its check and the three cells that it falls into, one in each subtable of 2^bits cells, by bits of its own from ``shift`` on."""
+    cells = ", ".join(f"'p{t}', cast({t << bits} + (shiftrightunsigned({x}, {shift + t * bits}) & {(1 << bits) - 1}) as int)" for t in range(3))
+    return f"named_struct('k', {x}, 'c', {check(x)}, {cells}{more})"
 
 
 def check(x: str) -> str:
@@ -94,8 +94,9 @@ def check(x: str) -> str:
 
 def shown_cells(keys: str, bits: int, shift: int) -> str:
     """SQL: cells of the fingerprint: counts modulo 2^16, xor of digests, xor of 32-bit checks."""
-    body = let(f"filter(ks, p -> {place('p.k', 'j', bits, shift)})", "f", "named_struct('n', size(f) & 65535, 'k', aggregate(f, 0L, (a, p) -> a ^ p.k), 'c', aggregate(f, 0L, (a, p) -> a ^ p.c))")
-    return let(f"transform({keys}, x -> named_struct('k', x, 'c', {check('x')}))", "ks", f"transform(sequence(0, {3 * (1 << bits) - 1}), j -> {body})")
+    body = "named_struct('n', size(f) & 65535, 'k', aggregate(f, 0L, (a, p) -> a ^ p.k), 'c', aggregate(f, 0L, (a, p) -> a ^ p.c))"
+    tables = ", ".join(f"transform(sequence({t << bits}, {(t + 1 << bits) - 1}), j -> {let(f'filter(ks, p -> p.p{t} = j)', 'f', body)})" for t in range(3))
+    return let(f"transform({keys}, x -> {placed('x', bits, shift)})", "ks", f"concat({tables})")
 
 
 def printed(keys: str) -> str:
@@ -110,8 +111,8 @@ def less(a: str, b: str) -> str:
 
 def peeled(cells: str, bits: int, shift: int) -> str:
     """SQL: how many digests peeling recovers from the difference of two sketches, or null if cells are left. Each round takes the digests of all cells that hold one."""
-    alone = f"array_distinct(filter(s.cells, x -> abs(x.n) = 1 and x.c = {check('x.k')}))"
-    gone = let(f"filter(ones, o -> {place('o.k', 'j', bits, shift)})", "f", "if(size(f) = 0, x, named_struct('n', x.n - aggregate(f, 0, (a, o) -> a + o.n), 'k', x.k ^ aggregate(f, 0L, (a, o) -> a ^ o.k), 'c', x.c ^ aggregate(f, 0L, (a, o) -> a ^ o.c)))")
+    alone = f"transform(array_distinct(filter(s.cells, x -> (x.n = 1 or x.n = -1) and x.c = {check('x.k')})), y -> {placed('y.k', bits, shift, ", 'n', y.n")})"
+    gone = let("filter(ones, o -> o.p0 = j or o.p1 = j or o.p2 = j)", "f", "if(size(f) = 0, x, named_struct('n', x.n - aggregate(f, 0, (a, o) -> a + o.n), 'k', x.k ^ aggregate(f, 0L, (a, o) -> a ^ o.k), 'c', x.c ^ aggregate(f, 0L, (a, o) -> a ^ o.c)))")
     step = f"if(s.done, s, {let(alone, 'ones', f"if(size(ones) = 0, named_struct('cells', s.cells, 'found', s.found, 'done', true), named_struct('cells', transform(s.cells, (x, j) -> {gone}), 'found', s.found + size(ones), 'done', false))")})"
     end = "if(exists(s.cells, x -> x.n != 0 or x.k != 0), null, s.found)"
     return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'found', 0, 'done', false), (s, i) -> {step}, s -> {end})"
@@ -126,7 +127,7 @@ def spread(cells: str, bits: int) -> str:
 def likeness(u: str, v: str, a: str, b: str) -> str:
     """SQL: Jaccard likeness of two fingerprints a and b by peeling their difference, and whether that was enough; if cells stay, their digests u and v are sketched again, larger, in groups."""
     small = let(less(f"{a}.s", f"{b}.s"), "ds", f"if(abs({a}.m - {b}.m) > {3 << SMALL}, null, {peeled('ds', SMALL, 0)})")
-    large = let(less(f"{a}.l", f"{b}.l"), "dl", f"if(abs({a}.m - {b}.m) > {3 << LARGE} or {spread('dl', LARGE)} > {3 << LARGE}, null, {peeled('dl', LARGE, 3 * SMALL)})")
+    large = let(less(f"{a}.l", f"{b}.l"), "dl", f"if(abs({a}.m - {b}.m) > {3 << LARGE} or {spread('dl', LARGE)} > {int(0.85 * (3 << LARGE))}, null, {peeled('dl', LARGE, 3 * SMALL)})")
     share = lambda d: f"if({a}.m + {b}.m = 0, 1.0D, ({a}.m + {b}.m - {d}) / double({a}.m + {b}.m + {d}))"
     return let(f"coalesce({small}, {large})", "d0", f"named_struct('near', {let(f'coalesce(d0, {difference(u, v)})', 'd1', share('d1'))}, 'own', d0 is not null)")
 
