@@ -126,7 +126,9 @@ def near_pairs(words: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(word), blocks) as int)")).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.select("longer", "side", "gram", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), "word", "n", "block")
     key = ["longer", "side", "gram", "one", "two"]
-    dealt = rows.repartition(*key).sortWithinPartitions(*key, "word")
+    # a fixed number of tasks: rows are small and their work is not, so partitions must not be joined by their bytes
+    n = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), words.sparkSession.sparkContext.defaultParallelism)
+    dealt = rows.repartition(n, *key).sortWithinPartitions(*key, "word")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
