@@ -5,6 +5,7 @@ import random
 import re
 import struct
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -617,3 +618,21 @@ def test_likeness_is_a_function_of_two_fingerprints(docs, spark):
 def test_word_splits_agree():
     w = op2_substring.Words(pa.array(["  a b\x0bc ", "", "d\x85e f"]))
     assert w.flat.to_pylist() == ["a", "b", "c", "d\x85e", "f"] and w.sizes.tolist() == [3, 0, 2]
+
+
+@pytest.mark.parametrize(("module", "call"), [(op4_bagminhash, lambda m: m.signed(None)), (op2_substring, lambda m: m.occurrences(None, 50, 12, 0))])
+def test_arrays_of_a_batch_are_small(monkeypatch, module, call):
+    """A worker works on parts of a batch, as two workers and Spark share an executor's memory; parts give the rows of the whole batch."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"word{x}" for x in rng.integers(0, 3000, 450)) for _ in range(1500)]
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, pa.array(texts)], ["doc_id", "row_key", "text"])
+    held = []
+    monkeypatch.setattr(module, "arrow_map", lambda docs, run, schema: held.append(run))
+    call(module)
+    tracemalloc.start()
+    n = sum(out.num_rows for out in held[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    assert n == sum(out.num_rows for k in range(0, 1500, 100) for out in held[0](iter([batch.slice(k, 100)]))) >= 1500

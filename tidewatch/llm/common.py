@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of an Arrow batch: whole texts are large, so batches are kept short.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+#: Rows and bytes of the parts in which functions work that make many arrays of a batch's words: a worker keeps what its largest part took.
+PART_ROWS, PART_BYTES = 500, 2 << 20
 
 
 def tune(spark: SparkSession) -> None:
@@ -91,6 +93,14 @@ def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
         yield pa.concat_batches(held)
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = PART_ROWS, size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in parts of at most so many rows and about size bytes."""
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * size // max(batch.nbytes, 1)))
+        for k in range(0, batch.num_rows, step):
+            yield batch.slice(k, step)
+
+
 def let(value: str, name: str, body: str) -> str:
     """SQL that evaluates value once and names it in body; a column would be expanded inside lambdas, once per element."""
     return f"transform(array({value}), {name} -> {body})[0]"

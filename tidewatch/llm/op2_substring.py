@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.bpe import U, mix
-from tidewatch.llm.common import arrow_map, materialise, table, with_text
+from tidewatch.llm.common import arrow_map, materialise, parts, table, with_text
 
 SPAN, EDGE = 50, 12
 B1, B2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
@@ -93,7 +93,7 @@ def occurrences(docs: DataFrame, span: int, edge: int, salt: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kmer", "back", "ahead", "gap", "cover", "doc_id", "row_key", "at", "first", "n", "n_words", "sha"]
-        for batch in batches:
+        for batch in parts(batches):
             w = Words(batch.column("text"), salt)
             ids, keys = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("row_key").to_numpy()
             sha = [hashlib.sha256(" ".join(x).encode()).hexdigest() for x in pa.ListArray.from_arrays(pa.array(np.concatenate([[0], w.ends]), pa.int32()), w.flat).to_pylist()]
@@ -152,7 +152,7 @@ def windows(texts: DataFrame, span: int, edge: int, salt: int) -> DataFrame:
     """One row per window of the runs in ``ranges`` that reaches over an end of its path; place counts from the path's first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             w = Words(batch.column("text"), salt)
             begin = w.ends - w.sizes
             lists = batch.column("ranges")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.bpe import U, mix
-from tidewatch.llm.common import arrow_map, materialise, table
+from tidewatch.llm.common import arrow_map, materialise, parts, table
 from tidewatch.llm.op2_substring import B1, B2, LAST, Words, chosen, source
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -48,7 +48,7 @@ BLOCK = 1000
 #: Members from which a band takes more star rounds, and then narrower keys: from there on these are fewer rows than blocks would be.
 HOT = 50 * BLOCK
 #: Bytes of text in a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 SIGNED = "doc_id long, row_key long, node long, other long, bands array<long>, sig binary"
 
 
@@ -116,7 +116,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """(doc_id, row_key, node, other, bands, sig) of each document: node and other are two hashes of its words; no bands where there are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             w = Words(batch.column("text"))
             owner, runs, weight = bags(w)
             whole, other = copies(w)
@@ -282,7 +282,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: flo
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             sides = [batch.column(c).to_pylist() for c in ("text_a", "text_b")]
             w = Words(pa.array([t for two in zip(*sides, strict=True) for t in two], pa.string()))
             owner, runs, weight = bags(w)
