@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import sys
 import time
 import tracemalloc
 import zlib
@@ -445,6 +446,23 @@ def test_unequal_words_are_told(spark):
     assert [tuple(r) for r in op2_substring.unequal(docs, claims).collect()] == [(8, 0)]
 
 
+def test_unequal_words_at_any_place(spark):
+    rng = random.Random(4)
+    texts = ["", *(rng.choice(["", "\n "]) + "".join(rng.choice(["é", "b", "日本c"]) + rng.choice([" ", " \t"]) for _ in range(rng.randint(0, 12))) for _ in range(12)), "b"]
+    words, rows, want = [re.findall(SPACE, t) for t in texts], [], {}
+    for k in range(600):
+        d, key, first, n = rng.randrange(len(texts)), k // 2, rng.randint(0, 6), rng.randint(0, 4)
+        but, upto = (rng.randint(0, 8), rng.randint(0, 12)) if key % 3 == 0 else (None, None)
+        rows.append((d, key, -key, first, n, but, upto))
+        b, w = first + n, words[d]
+        want.setdefault(key, set()).add(tuple(w[first:b] if but is None else [*w[first : max(first, but)], "", *w[min(b, upto) : b]]))
+    docs = op2_substring.source(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).coalesce(2)
+    claims = spark.createDataFrame(rows, "doc_id long, k1 long, k2 long, first int, n int, but int, upto int").join(docs.drop("text"), "doc_id")
+    got = [tuple(r) for r in op2_substring.unequal(docs, claims).collect()]
+    differ = sorted((k, -k) for k, v in want.items() if len(v) > 1)
+    assert sorted(got) == differ and 50 < len(differ) < 290
+
+
 def test_substrings_do_not_depend_on_hashes(docs):
     one, two = (op2_substring.repeats(docs, salt=k)[1].select("doc_id", "row_key").collect() for k in (0, 1))
     assert sorted(one) == sorted(two) and len(one) > 5
@@ -620,6 +638,32 @@ def test_word_splits_agree():
     assert w.flat.to_pylist() == ["a", "b", "c", "d\x85e", "f"] and w.sizes.tolist() == [3, 0, 2]
 
 
+def test_word_hashes():
+    words = ["", *(c * n for c in ("a", "b", "\0", "é") for n in (1, 2, 7, 8, 9, 15, 16, 17, 31, 32, 33, 63, 64, 65, 200)), "a\0", "\0a", "日本", *map(str, range(20000))]
+    for kind in (pa.string(), pa.large_string()):
+        one, two = (op2_substring.word_hashes(pa.array(words, kind), salt) for salt in (0, 1))
+        assert len({*one.tolist(), *two.tolist()}) == 2 * len(words)
+        assert (op2_substring.word_hashes(pa.array(words, kind).slice(30, 500)) == one[30:530]).all()
+    assert len(op2_substring.word_hashes(pa.array([], pa.string()))) == 0
+
+
+def test_words_take_no_python_each(monkeypatch):
+    """Hashes and digests of a batch take a few calls a text, not some for each word."""
+    texts = [" ".join(f"{k}x{j}" for j in range(300)) for k in range(200)]
+    ids = pa.array(range(len(texts)), pa.int64())
+    held = []
+    monkeypatch.setattr(op2_substring, "arrow_map", lambda docs, run, schema: held.append(run))
+    op2_substring.occurrences(None, 50, 12, 0)
+    calls = Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        out = list(held[0](iter([pa.RecordBatch.from_arrays([ids, ids, pa.array(texts)], ["doc_id", "row_key", "text"])])))
+    finally:
+        sys.setprofile(None)
+    assert calls["call"] + calls["c_call"] < 6000
+    assert out[0].column("sha").to_pylist() == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+
+
 @pytest.mark.parametrize(("module", "call"), [(op4_bagminhash, lambda m: m.signed(None)), (op2_substring, lambda m: m.occurrences(None, 50, 12, 0))])
 def test_arrays_of_a_batch_are_small(monkeypatch, module, call):
     """A worker works on parts of a batch, as two workers and Spark share an executor's memory; parts give the rows of the whole batch."""

@@ -12,7 +12,7 @@ whole run. Where runs differ at the ends, the path branches: windows inside the
 end are compared one by one, once for each variant. What counts as a repeat is decided on the input, never on what is left.
 
 Hashes only propose. Before anything is removed, the words at the source coordinates of all that was found equal are
-read and compared; if any differ, the whole is done again with other hashes.
+read and compared by their sha256; if any differ, the whole is done again with other hashes.
 
 Joins are on k-mers, labels, paths and windows, whose counts are pre-aggregated; a passage that a third of the corpus shares is
 one row per run, never a pair. Texts are shuffled only for documents that have something to remove or compare.
@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ SPAN, EDGE = 50, 12
 B1, B2 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F)
 OCCURRENCES = "kmer long, back long, ahead long, gap int, cover long, doc_id long, row_key long, at int, first int, n int, n_words long, sha string"
 WINDOWS = "w1 long, w2 long, doc_id long, head long, cover long, place int"
+#: Bytes of a word up to which whole arrays of words are hashed at once.
+SHORT = 64
 #: Stands for a null doc_id inside: after all others.
 LAST = (1 << 63) - 1
 CUT = "doc_id long, row_key long, n_removed long, sha string, text string"
@@ -56,10 +59,37 @@ ORACLE = """WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0) AS n_removed, sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE coalesce(t, '') END) AS kept_sha256 FROM d LEFT JOIN n USING (k) LEFT JOIN kept USING (k)"""
 
 
+def strings(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all the strings, end to end, with eight more, and where each begins and the last ends."""
+    texts = texts.cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    held = np.zeros(offsets[-1] - offsets[0] + 8, np.uint8)
+    if len(held) > 8:
+        held[:-8] = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]
+    return held, offsets - offsets[0]
+
+
+def word_hashes(words: pa.Array, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of words: the length and eight bytes after eight are mixed in, all words at once; long words by xxh3."""
+    held, offsets = strings(words)
+    sizes, eights = np.diff(offsets), np.ndarray(len(held) - 7, "<u8", held, strides=(1,))
+    out = mix(sizes.astype(U) + mix(np.full(1, salt, U) + B1))
+    live = np.flatnonzero(sizes <= SHORT)
+    for k in range(0, SHORT, 8):
+        live = live[sizes[live] > k]
+        unused = U(8) * (U(8) - np.minimum(sizes[live] - k, 8).astype(U))
+        out[live] = mix(out[live] * B2 + (eights[offsets[live] + k] << unused))
+    for i in np.flatnonzero(sizes > SHORT):
+        out[i] = xxhash.xxh3_64_intdigest(held[offsets[i] : offsets[i + 1]], salt)
+    return mix(out)
+
+
 class Words:
     """The words of a batch of texts, as hashes in one row, with prefix sums for the hash of any run."""
 
     def __init__(self, texts: pa.Array, salt: int = 0):
+        self.salt = salt
         lists = pc.ascii_split_whitespace(texts)
         sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         flat = lists.flatten()
@@ -68,9 +98,15 @@ class Words:
         self.flat = flat.filter(pa.array(real))
         self.sizes = np.bincount(owner[real], minlength=len(sizes))
         self.ends = np.cumsum(self.sizes)
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
         coded = self.flat.dictionary_encode()
-        distinct = np.fromiter((xxhash.xxh3_64_intdigest(w, salt) for w in coded.dictionary.to_pylist()), U, len(coded.dictionary))
-        self.hashes = mix(distinct)[coded.indices.to_numpy()] if len(distinct) else np.zeros(0, U)
+        return word_hashes(coded.dictionary, self.salt)[coded.indices.to_numpy()]
+
+    def joined(self, ends: np.ndarray) -> pa.Array:
+        """The words up to each of the ends, from the one before on, joined by one space."""
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), self.flat), " ")
 
     def runs(self, base: np.uint64, at: np.ndarray, size) -> np.ndarray:
         """The hash of the size words from each place on."""
@@ -96,7 +132,7 @@ def occurrences(docs: DataFrame, span: int, edge: int, salt: int) -> DataFrame:
         for batch in parts(batches):
             w = Words(batch.column("text"), salt)
             ids, keys = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("row_key").to_numpy()
-            sha = [hashlib.sha256(" ".join(x).encode()).hexdigest() for x in pa.ListArray.from_arrays(pa.array(np.concatenate([[0], w.ends]), pa.int32()), w.flat).to_pylist()]
+            sha = [hashlib.sha256(x).hexdigest() for x in w.joined(w.ends).cast(pa.large_binary()).to_pylist()]
             m, none, short = len(sha), lambda n: pa.nulls(n, pa.int64()), lambda n: pa.nulls(n, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [none(m), none(m), none(m), short(m), none(m), batch.column("doc_id"), batch.column("row_key"), short(m), short(m), short(m), pa.array(w.sizes, pa.int64()), pa.array(sha)], names
@@ -188,24 +224,32 @@ def compacted(kmers: DataFrame) -> DataFrame:
 
 
 def unequal(docs: DataFrame, claims: DataFrame) -> DataFrame:
-    """Keys (k1, k2) whose claims (doc_id, row_key, first, n, but, upto) are not all of the same words, by the words at those coordinates; words from but to upto are left out, as another claim has them."""
+    """Keys (k1, k2) whose claims (doc_id, row_key, first, n, but, upto) are not all of the same words, by the sha256 of the words at those coordinates; words from but to upto are left out, as another claim has them."""
+    quarters = [f"s{k}" for k in range(4)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-                words = re.findall(r"[^ \t-\r]+", text)
-                rows = []
-                for r in ranges:
-                    a, b = r["first"], r["first"] + r["n"]
-                    shown = words[a:b] if r["but"] is None else [*words[a : max(a, r["but"])], "", *words[min(b, r["upto"]) : b]]
-                    rows.append((r["k1"], r["k2"], " ".join(shown)))
-                for k in range(0, len(rows), 5000):
-                    some = list(zip(*rows[k : k + 5000], strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(some[0], pa.int64()), pa.array(some[1], pa.int64()), pa.array(some[2], pa.string())], ["k1", "k2", "words"])
+        for batch in parts(batches):
+            w = Words(batch.column("text"))
+            shown = memoryview(w.joined(np.array([len(w.flat)]))[0].as_buffer())
+            at = strings(w.flat)[1] + np.arange(len(w.flat) + 1)  # where each word begins in them
+            lists = batch.column("ranges")
+            owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            r = {f: lists.flatten().field(f) for f in ("k1", "k2", "first", "n", "but", "upto")}
+            whole = r["but"].is_null().to_numpy(zero_copy_only=False)
+            first, n, but, upto = (r[f].fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("first", "n", "but", "upto"))
+            last, begin = first + n, (w.ends - w.sizes)[owner]
+            # two stretches of words, the second for claims with words left out
+            words = [first, np.where(whole, last, np.maximum(first, but)), np.minimum(last, upto), last]
+            a, b, c, d = (at[begin + np.minimum(x, w.sizes[owner])] for x in words)
+            rows = zip(a.tolist(), np.maximum(a, b - 1).tolist(), c.tolist(), np.maximum(c, d - 1).tolist(), whole.tolist(), strict=True)
+            digests = b"".join([hashlib.sha256(shown[a:b] if w else b"  ".join((shown[a:b], shown[c:d]))).digest() for a, b, c, d, w in rows])
+            digests = np.frombuffer(digests, np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([r["k1"], r["k2"], *(pa.array(x) for x in digests.T)], ["k1", "k2", *quarters])
 
     by_text = materialise(claims.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("k1", "k2", "first", "n", "but", "upto")).alias("ranges")), "claims")
-    shown = arrow_map(chosen(docs, by_text), run, "k1 long, k2 long, words string")
-    return shown.groupBy("k1", "k2", "words").agg(F.count("*").alias("n")).groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")
+    shown = arrow_map(chosen(docs, by_text), run, "k1 long, k2 long, " + ", ".join(f"{c} long" for c in quarters))
+    ends = shown.groupBy("k1", "k2").agg(*[x for c in quarters for x in (F.min(c).alias(f"{c}_lo"), F.max(c).alias(f"{c}_hi"))])
+    return ends.where(" or ".join(f"{c}_lo < {c}_hi" for c in quarters)).select("k1", "k2")
 
 
 def repeats(docs: DataFrame, span: int = SPAN, edge: int = EDGE, salt: int = 0) -> tuple[DataFrame, DataFrame]:
