@@ -141,6 +141,13 @@ def test_chat_tokens_and_empty_table(spark):
     assert op12_chat.read_back(op12_chat.format_conversations(rows.limit(0), path)).collect() == []
 
 
+def test_chats_are_read_back_without_a_table_between(spark, tmp_path):
+    d = table(spark, tmp_path, "conversations", [(k, t, ("user", "assistant")[t % 2], f"{k} </s> {t} " * 50) for k in range(40) for t in range(4)], "conv_id long, turn long, role string, text string")
+    got = op12_chat.op12_chat_format(spark, d)
+    assert got.inputFiles() and all(f"{d}/conversations.parquet/" in f for f in got.inputFiles())
+    assert got.count() == 41 and {r.n_turns for r in got.collect()} == {2, 4}
+
+
 def test_escapes_are_reversible():
     rng = random.Random(1)
     for _ in range(3000):
