@@ -30,7 +30,7 @@ from tidewatch.llm.common import arrow_map, gathered, id_bytes, scratch, table,
 
 #: Ids per word and bits per id, by selector; the first two hold only zeros.
 SLOTS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
-COUNTS = np.array([n for n, _ in SLOTS])
+COUNTS, BITS = np.array([n for n, _ in SLOTS]), np.array([b for _, b in SLOTS], np.uint64)
 MARK = (1 << 28) - 1
 #: Bits of each id that a token vocabulary can have.
 WIDTH = np.frexp(np.arange(1 << 18, dtype=np.float64))[1].astype(np.uint8)
@@ -40,7 +40,9 @@ ROW_IDS = 1 << 16
 #: Bytes of text that a worker encodes together.
 TOGETHER = 24 << 20
 #: Words of letters that a worker remembers from batch to batch, and their longest.
-KNOWN, KNOWN_LENGTH = 1 << 17, 32
+KNOWN, KNOWN_LENGTH = 1 << 19, 32
+#: Longest punctuation after letters that is a unit of its own; words with more are encoded whole.
+TAIL = 8
 FILE_SCHEMA = "part int, before long, doc_ids array<long>, lengths array<long>, n_ids long, words binary, block_words array<long>, escape_at array<long>, escape_value array<long>"
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -50,47 +52,33 @@ def encode_block(ids: np.ndarray) -> np.ndarray:
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64)
-    padded = np.concatenate([ids.astype(np.uint64), np.zeros(240, np.uint64)])  # a last word may be part empty
-    width = WIDTH[padded] if int(ids.max()) < len(WIDTH) else np.frexp(padded.astype(np.float64))[1].astype(np.uint8)
-    widest = int(width.max())
-    whole = next(k for k in range(16) if SLOTS[k][1] >= widest)
-    best = np.full(n, whole, np.int64)
-    for k in range(whole - 1, -1, -1):
-        size, bits = SLOTS[k]
-        narrow = np.flatnonzero(width <= bits)
-        # places from which the next size ids are all narrow enough
-        run = narrow[: len(narrow) - size + 1][narrow[size - 1 :] - narrow[: len(narrow) - size + 1] == size - 1]
-        best[run[run < n]] = k
-    step = (np.arange(n) + COUNTS[best]).tolist()
+    ids = ids.astype(np.uint64)
+    wide = WIDTH[ids] if int(ids.max()) < len(WIDTH) else np.frexp(ids.astype(np.float64))[1].astype(np.uint8)
+    wide = np.concatenate([wide, np.zeros(239, np.uint8)])  # a last word may be part empty
+    best, span = np.full(n, 15, np.uint8), 1
+    for size, bits in SLOTS[14::-1]:
+        # the widest of the next size ids: no size is more than twice the one before; what fits a selector fits all after it
+        wide, span = np.maximum(wide[: len(wide) - (size - span)], wide[size - span :]), size
+        best -= wide[:n] <= bits
+    step = COUNTS.astype(np.uint8)[best].tobytes()
     starts, i = [], 0
     while i < n:
         starts.append(i)
-        i = step[i]
+        i += step[i]
     first = np.array(starts)
     chosen = best[first]
-    words = chosen.astype(np.uint64) << np.uint64(60)
-    for k in np.unique(chosen):
-        size, bits = SLOTS[k]
-        if bits:
-            rows = np.flatnonzero(chosen == k)
-            for j in range(size):
-                words[rows] |= padded[first[rows] + j] << np.uint64(j * bits)
-    return words
+    held = np.diff(first, append=n)
+    shift = (np.arange(n) - np.repeat(first, held)).astype(np.uint64) * np.repeat(BITS[chosen], held)
+    return np.bitwise_or.reduceat(ids << shift, first) | chosen.astype(np.uint64) << np.uint64(60)
 
 
 def decode_block(words: np.ndarray, n: int) -> np.ndarray:
-    """The n ids of a block, all words of a selector at once."""
+    """The n ids of a block, all words at once."""
     chosen = (words >> np.uint64(60)).astype(np.int64)
-    sizes = COUNTS[chosen]
-    first = np.cumsum(sizes) - sizes
-    out = np.zeros(int(sizes.sum()) if len(sizes) else 0, np.int64)
-    for k in np.unique(chosen):
-        size, bits = SLOTS[k]
-        if bits:
-            rows = np.flatnonzero(chosen == k)
-            shifts = np.arange(size, dtype=np.uint64) * np.uint64(bits)
-            out[first[rows][:, None] + np.arange(size)] = ((words[rows][:, None] >> shifts) & np.uint64((1 << bits) - 1)).astype(np.int64)
-    return out[:n]
+    sizes, bits = COUNTS[chosen], BITS[chosen]
+    place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    payload = np.repeat(words, sizes) >> place.astype(np.uint64) * np.repeat(bits, sizes)
+    return (payload & np.repeat((np.uint64(1) << bits) - np.uint64(1), sizes)).astype(np.int64)[:n]
 
 
 def encode_ids(ids: np.ndarray) -> tuple[bytes, list[int], list[int], list[int]]:
@@ -136,11 +124,17 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        # lower-case ASCII letters pass the normalizer and the split patterns unchanged, so the library's model needs neither for them
+        self.bare = Tokenizer(self.library.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        probe = " ".join(w for w in (t.removesuffix(self.END) for t in sorted(self.library.get_vocab())[::20]) if w.isascii() and w.isalpha() and w.islower())
+        if self.bare.encode(probe, add_special_tokens=False).ids != self.library.encode(probe, add_special_tokens=False).ids:
+            self.bare = self.library  # another vocabulary
         last = [t.endswith(self.END) for t, _ in sorted(self.library.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])]
         self.ends = np.array(last)
         self.known, self.known_ids, self.known_sizes = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(0, np.int64)
@@ -148,10 +142,13 @@ class WordEncoder:
     def remembered(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and sizes of units, and the unit of each of the distinct words of letters; the first ones met are kept."""
         at = pc.index_in(words, value_set=self.known)
-        new = words.filter(at.is_null())
-        ids, sizes = self.letters(new.to_pylist())
         place = at.fill_null(0).to_numpy().astype(np.int64)
-        place[at.is_null().to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
+        missing = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+        ascii = pc.string_is_ascii(words.take(pa.array(missing))).to_numpy(zero_copy_only=False).astype(bool)
+        missing = np.concatenate([missing[ascii], missing[~ascii]])
+        new = words.take(pa.array(missing))
+        ids, sizes = self.letters(new.to_pylist())
+        place[missing] = len(self.known) + np.arange(len(new))
         units = np.concatenate([self.known_ids, ids]), np.concatenate([self.known_sizes, sizes])
         keep = np.flatnonzero(pc.utf8_length(new).to_numpy() <= KNOWN_LENGTH)[: KNOWN - len(self.known)]
         if len(keep):
@@ -165,11 +162,12 @@ class WordEncoder:
         return np.frombuffer(b"".join(raw), "<u4"), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
 
     def letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same for words of letters alone: each is one unit to the library, so many share a call and last tokens tell them apart."""
+        """The same for lower-case words of letters alone: each is one unit to the library, so many share a call and last tokens tell them apart."""
         flat, counts = [], []
         for k in range(0, len(words), 2000):
             part = words[k : k + 2000]
-            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            text = " ".join(part)
+            ids = np.array((self.bare if text.isascii() else self.library).encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
             if len(sizes) != len(part):
                 ids, sizes = self.units(part)
@@ -185,14 +183,20 @@ class WordEncoder:
         # letters, and the punctuation after them, are units of their own
         cores = pc.utf8_rtrim(distinct, characters=self.STOPS)
         plain = pc.and_(pc.utf8_is_alpha(cores), pc.invert(pc.match_substring(cores, "\u0130"))).to_numpy(zero_copy_only=False).astype(bool)
+        trimmed = (pc.binary_length(distinct).to_numpy() - pc.binary_length(cores).to_numpy()).astype(np.int64)  # punctuation is one byte each
+        plain &= trimmed <= TAIL
         rows = np.flatnonzero(plain)
         own = pc.utf8_lower(cores.take(pa.array(rows))).dictionary_encode()  # the library folds case
-        tails = [w[n:] for w, n in zip(distinct.take(pa.array(rows)).to_pylist(), pc.utf8_length(cores).to_numpy(zero_copy_only=False)[rows].tolist(), strict=True)]
-        stops = {"": 0}
-        tail_of = np.fromiter((stops.setdefault(t, len(stops)) for t in tails), np.int64, len(tails))
+        stops, tail_of = [""], np.zeros(len(rows), np.int64)
+        for n in np.unique(trimmed[rows]).tolist():
+            if n:
+                at = np.flatnonzero(trimmed[rows] == n)
+                tails = pc.utf8_slice_codeunits(distinct.take(pa.array(rows[at])), start=-n).dictionary_encode()
+                tail_of[at] = len(stops) + tails.indices.to_numpy()
+                stops += tails.dictionary.to_pylist()
         others = np.flatnonzero(~plain)
         *letters, place = self.remembered(own.dictionary)
-        parts = [letters, self.units(list(stops)), self.units(distinct.take(pa.array(others)).to_pylist()), (np.array([end], "<u4"), np.array([1]))]
+        parts = [letters, self.units(stops), self.units(distinct.take(pa.array(others)).to_pylist()), (np.array([end], "<u4"), np.array([1]))]
         ids, sizes = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
         shift = np.cumsum([0, *(len(x[1]) for x in parts)])
         # each distinct word is two units, the second often empty; the end id is a word after them
