@@ -9,7 +9,8 @@ where a tail lies follows from its length and rank by arithmetic on the plan. Ta
 pattern takes are laid end to end, in order of length and rank, and cut at sequence ends; the last part
 sequence is cut into powers of two. So no sequence has padding.
 
-Ranks come from counts by (partition, length), so no length needs to be sorted in one place.
+Ranks come from counts by (partition, length), so no length needs to be sorted in one place. Only tails that no pattern takes go through the shuffle with their ids, as only these may be cut;
+which these are follows from one partition and rank for each length.
 Null and empty texts are one end id. Repeated rows, repeated and null doc_ids are packed each on its own; a null doc_id stays null. A very long text is encoded by one task, and is full sequences but
 for its tail. An empty table gives no pieces; columns other than doc_id and text are not read, whatever their names.
 """
@@ -180,6 +181,7 @@ class TextEncoder:
         vocabulary = ByteVocabulary(path)
         self.added = vocabulary.added
         ranks = {label: i for i, label in vocabulary.label.items() if i not in self.added.values()}
+        self.largest = max(vocabulary.label)
         self.core = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
         del vocabulary
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split if self.added else None
@@ -203,6 +205,7 @@ def tokenize(docs: DataFrame, vocabulary_path: str, end_id: int, size: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, rank, full = encoder(vocabulary_path), np.zeros(size, np.int64), 0
+        kind = "<u2" if max(enc.largest, end_id) < 1 << 16 else "<u4"
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
             for text in texts_of(batch.column("text")):
@@ -210,7 +213,7 @@ def tokenize(docs: DataFrame, vocabulary_path: str, end_id: int, size: int) -> D
                 n = len(ids)
                 q, r = divmod(n, size)
                 tail = ids[q * size :]
-                row = (n, [zlib.crc32(ids[k * size : (k + 1) * size].tobytes()) for k in range(q)], r, zlib.crc32(tail.tobytes()), tail.tobytes(), int(rank[r]), full)
+                row = (n, [zlib.crc32(ids[k * size : (k + 1) * size].tobytes()) for k in range(q)], r, zlib.crc32(tail.tobytes()), tail.astype(kind).tobytes(), int(rank[r]), full)
                 rank[r] += 1
                 full += q
                 for c, v in zip(cols, row, strict=True):
@@ -224,6 +227,19 @@ def tokenize(docs: DataFrame, vocabulary_path: str, end_id: int, size: int) -> D
     return arrow_map(with_text(docs).withColumn("pid", F.spark_partition_id()), run, TABLE)
 
 
+def placed(tails: DataFrame, covered: dict[int, int]) -> DataFrame:
+    """Tails with the number of those of their length in partitions before; ids only of those that no pattern takes, null in the others. covered: of each length the tails that patterns take."""
+    counts = tails.groupBy("pid", "r").agg(F.count("*").alias("n"))
+    above = Window.partitionBy("r").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("pid", "r", F.col("n").alias("here"), F.coalesce(F.sum("n").over(above), F.lit(0)).alias("ranked_before"))
+    taken = tails.sparkSession.createDataFrame(sorted(covered.items()), "r int, covered long")
+    # a row for each length, size - 1 at most: the first tail that no pattern takes
+    first = bases.join(F.broadcast(taken), "r").where("covered >= ranked_before and covered < ranked_before + here").select("r", F.col("pid").alias("first_pid"), (F.col("covered") - F.col("ranked_before")).alias("first_rank"))
+    free = F.expr("pid > first_pid or (pid = first_pid and rank >= first_rank)")
+    slim = tails.join(F.broadcast(first), "r", "left").withColumn("tail", F.when(free, F.col("tail"))).drop("first_pid", "first_rank")
+    return slim.join(bases.drop("here"), ["pid", "r"])
+
+
 def pack(docs: DataFrame, vocabulary_path: str, end_id: int = 0, size: int = SIZE) -> DataFrame:
     """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
     spark = docs.sparkSession
@@ -234,9 +250,6 @@ def pack(docs: DataFrame, vocabulary_path: str, end_id: int = 0, size: int = SIZ
     first_full, before = {}, plan.sequences
     for x in sorted(tails.groupBy("pid").agg(F.sum(F.size("crcs")).alias("n")).collect()):
         first_full[x["pid"]], before = before, before + x["n"]
-    counts = tails.groupBy("pid", "r").agg(F.count("*").alias("n"))
-    above = Window.partitionBy("r").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("pid", "r", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("ranked_before"))
     shared = spark.sparkContext.broadcast((plan, first_full))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,13 +264,16 @@ def pack(docs: DataFrame, vocabulary_path: str, end_id: int = 0, size: int = SIZ
                 if r:
                     places = plan.places(r, c["rank"][i] + c["ranked_before"][i])
                     raw = tail[i].as_buffer() if len(places) > 1 else b""
+                    ids = np.frombuffer(raw, f"<u{len(raw) // r}").astype("<u4") if raw else None
                     for a, length, seq, offset in places:
-                        crc = c["tail_crc"][i] if len(places) == 1 else zlib.crc32(memoryview(raw)[4 * a : 4 * (a + length)])
+                        crc = c["tail_crc"][i] if len(places) == 1 else zlib.crc32(ids[a : a + length].tobytes())
                         rows.append((doc, n - r + a, length, crc, n, seq, offset))
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in range(7)], names)
 
-    return arrow_map(tails.join(bases, ["pid", "r"]), run, SCHEMA)
+    # no more tasks, and so no more files of the result, than texts were encoded in
+    joined = placed(tails, plan.covered).coalesce(max(len(first_full), spark.sparkContext.defaultParallelism))
+    return arrow_map(joined, run, SCHEMA)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
