@@ -58,3 +58,14 @@ def test_only_tails_that_may_be_cut_are_shuffled_with_their_ids(spark):
             assert offset == end
             end += length
         assert end == 1024 or end & (end - 1) == 0
+
+
+def test_texts_are_read_in_short_batches_only_while_they_are_encoded(spark, monkeypatch):
+    from tidewatch.llm import op1_packing
+
+    reader = "spark.sql.parquet.columnarReaderBatchSize"
+    before, seen = spark.conf.get(reader), []
+    monkeypatch.setattr(op1_packing, "materialise", lambda df, name, f=op1_packing.materialise: (seen.append(spark.conf.get(reader)), f(df, name))[1])
+    docs = spark.createDataFrame([(1, "one text")], "doc_id long, text string")
+    assert op1_packing.pack(docs, P.path("byte_bpe_50k.json")).count() > 0
+    assert seen == [str(op1_packing.READ_ROWS)] and spark.conf.get(reader) == before

@@ -32,6 +32,8 @@ from tidewatch.llm.bpe import PIECES, ByteVocabulary
 from tidewatch.llm.common import arrow_map, materialise, table, texts_of, with_text
 
 SIZE = 1024
+#: Rows that the Parquet reader holds at once while texts are encoded: 4096 whole texts are large arrays of each task.
+READ_ROWS = 512
 TABLE = "doc_id long, n long, crcs array<long>, r int, tail_crc long, tail binary, pid int, rank long, full_before long"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -243,7 +245,13 @@ def placed(tails: DataFrame, covered: dict[int, int]) -> DataFrame:
 def pack(docs: DataFrame, vocabulary_path: str, end_id: int = 0, size: int = SIZE) -> DataFrame:
     """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
     spark = docs.sparkSession
-    tails = materialise(tokenize(docs, vocabulary_path, end_id, size), "pack")
+    reader = "spark.sql.parquet.columnarReaderBatchSize"
+    rows = spark.conf.get(reader)
+    spark.conf.set(reader, str(READ_ROWS))
+    try:
+        tails = materialise(tokenize(docs, vocabulary_path, end_id, size), "pack")
+    finally:
+        spark.conf.set(reader, rows)
     # at most size - 1 lengths, and one row per partition: neither grows with the rows
     histogram = {x["r"]: x["n"] for x in tails.where("r > 0").groupBy("r").agg(F.count("*").alias("n")).collect()}
     plan = make_plan(histogram, size)
